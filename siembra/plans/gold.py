@@ -21,9 +21,9 @@ WITH s AS ({SALES_SQL}), a AS (
          COUNT(*) AS n_lineas
   FROM s GROUP BY agency, anio, mes)
 SELECT agency, anio, mes, total_ventas, total_devoluciones, total_neto, costo_total, n_lineas,
-       round(CASE WHEN n_lineas > 0 THEN total_neto / n_lineas ELSE 0.0 END, 4) AS ticket_promedio,
-       round(least(CASE WHEN total_ventas > 0 THEN total_devoluciones / total_ventas * 100 ELSE 0.0 END, 100.0), 4) AS pct_devolucion,
-       round(CASE WHEN total_neto > 0 THEN (total_neto - costo_total) / total_neto * 100 ELSE 0.0 END, 4) AS pct_margen
+       CASE WHEN n_lineas > 0 THEN total_neto / n_lineas ELSE 0.0 END AS ticket_promedio,
+       least(CASE WHEN total_ventas > 0 THEN total_devoluciones / total_ventas * 100 ELSE 0.0 END, 100.0) AS pct_devolucion,
+       CASE WHEN total_neto > 0 THEN (total_neto - costo_total) / total_neto * 100 ELSE 0.0 END AS pct_margen
 FROM a
 """,
 )
@@ -43,8 +43,8 @@ def executive_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return rows.withColumns(
         {
-            "ticket_promedio": F.round(ratio(F.col("total_neto"), F.col("n_lineas")), 4),
-            "pct_devolucion": F.round(F.least(ratio(F.col("total_devoluciones"), F.col("total_ventas")) * 100, F.lit(100.0)), 4),
-            "pct_margen": F.round(ratio(F.col("total_neto") - F.col("costo_total"), F.col("total_neto")) * 100, 4),
+            "ticket_promedio": ratio(F.col("total_neto"), F.col("n_lineas")),
+            "pct_devolucion": F.least(ratio(F.col("total_devoluciones"), F.col("total_ventas")) * 100, F.lit(100.0)),
+            "pct_margen": ratio(F.col("total_neto") - F.col("costo_total"), F.col("total_neto")) * 100,
         }
     )
