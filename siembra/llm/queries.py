@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siembra.llm.exact_dedup import exact_dedup
+from siembra.llm.url_filters import filter_urls, parse_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,10 +26,36 @@ g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) O
 SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_id AS kept, sha256(t) AS text_sha256 FROM g
 """
 
+#: Rules of op5, as the contract states them.
+URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
+
+
+def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rules = parse_rules(spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+    return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
+
+
+OP5_SQL = """
+WITH p AS (
+  SELECT page_id, CASE WHEN position('://' IN coalesce(url, '')) > 0 THEN substr(url, position('://' IN url) + 3) ELSE '' END AS rest FROM pages),
+s AS (
+  SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(rest, '^[^/?#]*(/[^?#]*)', 1) AS path FROM p),
+r(rule, verdict, rhost, rpath) AS (
+  VALUES ('com/', 'allow', 'com', '/'), ('example.com/en/', 'block', 'example.com', '/en/'),
+         ('www.example.com/en/', 'allow', 'www.example.com', '/en/'), ('net/es/', 'block', 'net', '/es/'), ('net/fr/', 'block', 'net', '/fr/')),
+m AS (
+  SELECT page_id, host, path, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.verdict, length(r.rule)) AS verdict
+  FROM s LEFT JOIN r ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)
+  GROUP BY page_id, host, path)
+SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m
+"""
+
 _QUERIES: dict[str, Query] = {
+    "op5_url_filters": op5_url_filters,
     "op9_exact_dedup": op9_exact_dedup,
 }
-_ORACLES: dict[str, str] = {"op9_exact_dedup": OP9_SQL}
+_ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op9_exact_dedup": OP9_SQL}
 
 
 def queries() -> dict[str, Query]:
