@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siembra.llm.exact_dedup import exact_dedup
+from siembra.llm.quality_classifier import fit_quality, score_quality
 from siembra.llm.url_filters import filter_urls, parse_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,7 +52,15 @@ m AS (
 SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m
 """
 
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    model = fit_quality(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model)
+
+
 _QUERIES: dict[str, Query] = {
+    "op8_quality_classifier": op8_quality_classifier,
     "op5_url_filters": op5_url_filters,
     "op9_exact_dedup": op9_exact_dedup,
 }
