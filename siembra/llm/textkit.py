@@ -32,8 +32,10 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if len(_POWERS.get("up", ())) < n:
         size = max(n, 1 << 21)
         with np.errstate(over="ignore"):
-            _POWERS["up"] = np.cumprod(np.concatenate([[1], np.full(size - 1, _BASE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
-            _POWERS["down"] = np.cumprod(np.concatenate([[1], np.full(size - 1, _INVERSE, np.uint64)]).astype(np.uint64), dtype=np.uint64)
+            for name, factor in (("up", _BASE), ("down", _INVERSE)):
+                steps = np.full(size, factor, np.uint64)
+                steps[0] = 1
+                _POWERS[name] = np.cumprod(steps, dtype=np.uint64)
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
