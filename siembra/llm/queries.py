@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from siembra.llm.exact_dedup import exact_dedup
+from siembra.llm.ngram_join import near_classes
 from siembra.llm.quality_classifier import fit_quality, score_quality
 from siembra.llm.url_filters import filter_urls, parse_rules
 
@@ -59,7 +60,12 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(_documents(spark, sf_dir))
+
+
 _QUERIES: dict[str, Query] = {
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_classifier": op8_quality_classifier,
     "op5_url_filters": op5_url_filters,
     "op9_exact_dedup": op9_exact_dedup,
