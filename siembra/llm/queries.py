@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siembra.llm.exact_dedup import exact_dedup
 from siembra.llm.ngram_join import near_classes
 from siembra.llm.quality_classifier import fit_quality, score_quality
+from siembra.llm.source_mix import mix_sources
 from siembra.llm.url_filters import filter_urls, parse_rules
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -64,7 +65,12 @@ def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_classes(_documents(spark, sf_dir))
 
 
+def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(_documents(spark, sf_dir).select("doc_id", "source"))
+
+
 _QUERIES: dict[str, Query] = {
+    "op1_source_mix": op1_source_mix,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_classifier": op8_quality_classifier,
     "op5_url_filters": op5_url_filters,
