@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siembra.llm.exact_dedup import exact_dedup
 from siembra.llm.ngram_join import near_classes
 from siembra.llm.quality_classifier import fit_quality, score_quality
+from siembra.llm.sentencepiece_codec import encode_pieces
 from siembra.llm.source_mix import mix_sources
 from siembra.llm.url_filters import filter_urls, parse_rules
 
@@ -69,7 +70,16 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(_documents(spark, sf_dir).select("doc_id", "source"))
 
 
+#: The model file of op4 and of the pipeline.
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
+
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(_documents(spark, sf_dir), PIECES)
+
+
 _QUERIES: dict[str, Query] = {
+    "op4_sentencepiece": op4_sentencepiece,
     "op1_source_mix": op1_source_mix,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_quality_classifier": op8_quality_classifier,
