@@ -344,3 +344,13 @@ def _paths(classes: DataFrame, runs: range, similarity: float, least: float) ->
         edges.append(step.where("bucket is null").select(F.col("cls").alias("u"), F.col("held").alias("v")))
         frontier = step.where("bucket is not null")
         depth += 1
+
+
+def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df`` that stay when every class keeps the row with its smallest id.
+
+    Rows without an id stay: they can't be named as the ones to drop.
+    """
+    found = near_classes(df, id_col, text_col, **options)
+    drop = materialise(found.where((F.col("class_size") > 1) & (F.col(id_col) != F.col("class_id"))).select(F.col(id_col).alias("__drop")).distinct(), "near-drop")
+    return df.join(drop, F.col(id_col) == F.col("__drop"), "left_anti")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from siembra.llm.exact_dedup import exact_dedup
@@ -79,6 +80,7 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _QUERIES: dict[str, Query] = {
+    "pipeline": corpus_pipeline.run,
     "op4_sentencepiece": op4_sentencepiece,
     "op1_source_mix": op1_source_mix,
     "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
@@ -94,4 +96,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_ORACLES)
+    return dict(_ORACLES) | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
