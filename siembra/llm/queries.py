@@ -8,6 +8,7 @@ import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
 from siembra.llm.exact_dedup import exact_dedup
+from siembra.llm.feature_digest import compare_with_next, corpus_ranks
 from siembra.llm.ngram_join import near_classes
 from siembra.llm.quality_classifier import fit_quality, score_quality
 from siembra.llm.sentencepiece_codec import encode_pieces
@@ -79,7 +80,13 @@ def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_pieces(_documents(spark, sf_dir), PIECES)
 
 
+def op10_feature_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return compare_with_next(docs, corpus_ranks(docs))
+
+
 _QUERIES: dict[str, Query] = {
+    "op10_feature_digest": op10_feature_digest,
     "pipeline": corpus_pipeline.run,
     "op4_sentencepiece": op4_sentencepiece,
     "op1_source_mix": op1_source_mix,
