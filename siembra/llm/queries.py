@@ -11,6 +11,7 @@ from siembra.llm.exact_dedup import exact_dedup
 from siembra.llm.feature_digest import compare_with_next, corpus_ranks
 from siembra.llm.ngram_join import near_classes
 from siembra.llm.quality_classifier import fit_quality, score_quality
+from siembra.llm.repeated_passages import repeated_passages
 from siembra.llm.sentencepiece_codec import encode_pieces
 from siembra.llm.source_mix import mix_sources
 from siembra.llm.url_filters import filter_urls, parse_rules
@@ -85,7 +86,12 @@ def op10_feature_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare_with_next(docs, corpus_ranks(docs))
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_documents(spark, sf_dir))
+
+
 _QUERIES: dict[str, Query] = {
+    "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op10_feature_digest": op10_feature_digest,
     "pipeline": corpus_pipeline.run,
     "op4_sentencepiece": op4_sentencepiece,
