@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from siembra.llm.exact_dedup import exact_dedup
 from siembra.llm.feature_digest import compare_with_next, corpus_ranks
 from siembra.llm.ngram_join import near_classes
+from siembra.llm.pii_surrogates import pseudonymise
 from siembra.llm.quality_classifier import fit_quality, score_quality
 from siembra.llm.repeated_passages import repeated_passages
 from siembra.llm.sentencepiece_codec import encode_pieces
@@ -90,7 +91,16 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_documents(spark, sf_dir))
 
 
+#: A fixed key, so that the query can be repeated; a user gives a secret one.
+PII_KEY = "siembra-example-key"
+
+
+def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(_documents(spark, sf_dir), PII_KEY)
+
+
 _QUERIES: dict[str, Query] = {
+    "op2_pii_surrogates": op2_pii_surrogates,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op10_feature_digest": op10_feature_digest,
     "pipeline": corpus_pipeline.run,
