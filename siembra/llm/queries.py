@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from siembra.llm.exact_dedup import exact_dedup
 from siembra.llm.feature_digest import compare_with_next, corpus_ranks
+from siembra.llm.license_scan import scan_licenses
 from siembra.llm.ngram_join import near_classes
 from siembra.llm.pii_surrogates import pseudonymise
 from siembra.llm.quality_classifier import fit_quality, score_quality
@@ -99,7 +100,12 @@ def op2_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonymise(_documents(spark, sf_dir), PII_KEY)
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(_documents(spark, sf_dir))
+
+
 _QUERIES: dict[str, Query] = {
+    "op6_license_scan": op6_license_scan,
     "op2_pii_surrogates": op2_pii_surrogates,
     "op3_suffix_array_dedup": op3_suffix_array_dedup,
     "op10_feature_digest": op10_feature_digest,
