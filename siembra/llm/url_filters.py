@@ -20,7 +20,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 ALLOW, BLOCK = "allow", "block"
-_AFTER = F.unhex(F.lit("FF"))  # above every byte of UTF-8: closes a prefix interval
+
+
+def _after(key: Column) -> Column:
+    """A key above all that start with ``key``: no byte of UTF-8 is FF."""
+    return F.concat(key, F.unhex(F.lit("FF")))
 
 
 def url_host(url: Column) -> Column:
@@ -89,7 +93,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_co
     placed = placed.select("slot", "rule", "verdict", "path", "rhost").unionByName(wide.select("slot", "rule", "verdict", "path", "rhost")).distinct()
     key = F.encode("rhost", "UTF-8")
     hosts = placed.select("slot", "rhost").distinct()
-    ends = hosts.select("slot", "rhost", F.explode(F.array(F.struct(F.lit(0).alias("kind"), key.alias("at"), F.lit(1).alias("step")), F.struct(F.lit(2).alias("kind"), F.concat(key, _AFTER).alias("at"), F.lit(-1).alias("step")))).alias("e")).select("slot", "rhost", "e.*")
+    ends = hosts.select("slot", "rhost", F.explode(F.array(F.struct(F.lit(0).alias("kind"), key.alias("at"), F.lit(1).alias("step")), F.struct(F.lit(2).alias("kind"), _after(key).alias("at"), F.lit(-1).alias("step")))).alias("e")).select("slot", "rhost", "e.*")
     own = placed.select("slot", "rhost", "rule", "verdict", "path", F.lit(3).alias("kind"), key.alias("at"), F.lit(0).alias("step"))
     events = points.withColumns({"kind": F.lit(1), "step": F.lit(0)}).unionByName(ends, allowMissingColumns=True).unionByName(own, allowMissingColumns=True)
 
@@ -105,7 +109,7 @@ def filter_urls(df: DataFrame, rules: DataFrame, id_col: str = "page_id", url_co
 
     # Second sweep, over the paths below each active host.
     path_key = F.encode("path", "UTF-8")
-    moves = F.when(F.col("kind") == 3, F.array(F.struct(F.lit(0).alias("turn"), path_key.alias("pat"), F.lit(1).alias("move")), F.struct(F.lit(2).alias("turn"), F.concat(path_key, _AFTER).alias("pat"), F.lit(-1).alias("move")))).otherwise(F.array(F.struct(F.lit(1).alias("turn"), path_key.alias("pat"), F.lit(0).alias("move"))))
+    moves = F.when(F.col("kind") == 3, F.array(F.struct(F.lit(0).alias("turn"), path_key.alias("pat"), F.lit(1).alias("move")), F.struct(F.lit(2).alias("turn"), _after(path_key).alias("pat"), F.lit(-1).alias("move")))).otherwise(F.array(F.struct(F.lit(1).alias("turn"), path_key.alias("pat"), F.lit(0).alias("move"))))
     paths = hosted.select("slot", "holder", "id", "host", "path", "level", "rule", "verdict", F.explode(moves).alias("m")).select("*", "m.turn", "m.pat", "m.move").drop("m")
     pdepth = F.sum("move").over(upto(Window.partitionBy("slot", "holder").orderBy("pat", "turn")))
     nested = paths.withColumn("pdepth", pdepth).where("turn <> 2")
