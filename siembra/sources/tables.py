@@ -77,3 +77,13 @@ def money_sum(column: str | F.Column) -> F.Column:
     """A sum that doesn't depend on the order of the rows: exact decimals, then double."""
     col = F.col(column) if isinstance(column, str) else column
     return F.sum(col.cast("decimal(18,4)")).cast("double")
+
+
+def monthly_panel(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
+    """(product_id, periodo, target_qty) from the sales lines, by brand (dense) or by part (sparse)."""
+    lines = sales(spark, sf_dir)
+    return lines.groupBy(F.col(by).cast("string").alias("product_id"), "periodo").agg(money_sum("cant_venta").alias("target_qty"))
+
+
+def panel_sql(by: str = "brand") -> str:
+    return f"SELECT CAST({by} AS VARCHAR) AS product_id, periodo, CAST(SUM(CAST(cant_venta AS DECIMAL(18,4))) AS DOUBLE) AS target_qty FROM ({SALES_SQL}) GROUP BY ALL"
