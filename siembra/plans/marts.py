@@ -158,7 +158,7 @@ def template(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = monthly_panel(spark, sf_dir)
     last = p.agg(F.max("periodo").alias("m")).scalar()
     months = F.explode(F.sequence(F.add_months(last, 1), F.add_months(last, 6), F.expr("interval 1 month")))
-    return p.select("product_id").distinct().select("product_id", months.cast("string").alias("periodo"), F.lit(0.0).alias("cantidad"))
+    return p.select("product_id").distinct().select("product_id", months.alias("m")).select("product_id", F.col("m").cast("string").alias("periodo"), F.lit(0.0).alias("cantidad"))
 
 
 @query("r07_pivot", "SELECT l_returnflag, coalesce(avg(CASE WHEN l_linestatus = 'F' THEN l_quantity END), 0.0) AS F, coalesce(avg(CASE WHEN l_linestatus = 'O' THEN l_quantity END), 0.0) AS O FROM lineitem GROUP BY l_returnflag")
@@ -189,7 +189,7 @@ def product_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", X.normalize_product_name(raw).alias("nombre"), X.extract_product_code(raw).alias("codigo"), X.stable_hash(F.col("p_name")).alias("hash"))
 
 
-@query("c12_product_ids", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'PT_' || p_partkey ELSE 'PT_' || sha1(p_name)[1:10] END AS product_id, lpad(CAST(p_partkey AS VARCHAR), greatest(4, length(CAST(p_partkey AS VARCHAR))), '0') AS codigo FROM part")
+@query("c12_product_ids", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'PT_' || p_partkey ELSE 'PT_' || sha1(p_name)[1:10] END AS product_id, CASE WHEN p_partkey < 1000 THEN lpad(CAST(p_partkey AS VARCHAR), 4, '0') ELSE CAST(p_partkey AS VARCHAR) END AS codigo FROM part")
 def product_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = F.when(F.col("p_partkey") % 2 == 0, F.col("p_partkey").cast("string")).otherwise("")
     return table(spark, sf_dir, "part").select("p_partkey", X.make_product_id("PT", code, F.col("p_name")).alias("product_id"), X.zfill(F.col("p_partkey").cast("string")).alias("codigo"))
