@@ -107,7 +107,8 @@ def half_even(c: Column, digits: int = 0) -> Column:
 def to_decimal(c: Column, precision: int, scale: int) -> Column:
     """A double clipped to what numeric(precision, scale) holds and rounded; NaN and infinities are null."""
     most = 10.0 ** (precision - scale) - 10.0**-scale
-    return F.bround(F.greatest(F.least(finite(c), F.lit(most)), F.lit(-most)), scale).try_cast(f"decimal({precision},{scale})")
+    kept = finite(c)
+    return F.when(kept.isNotNull(), F.bround(F.greatest(F.least(kept, F.lit(most)), F.lit(-most)), scale)).try_cast(f"decimal({precision},{scale})")
 
 
 def z_score_of(service: float) -> float:
@@ -126,6 +127,6 @@ def to_lot(c: Column, lot: int = 5) -> Column:
 
 def history_cap(prediction: Column, *history: Column, times: float = 3.0) -> Column:
     """At most ``times`` the largest of the history columns, and no cap without history."""
-    most = F.greatest(*(F.coalesce(h, F.lit(0.0)) for h in history)) * times
+    most = F.greatest(F.lit(0.0), *(F.coalesce(h, F.lit(0.0)) for h in history)) * times
     value = F.coalesce(finite(prediction), F.lit(0.0))
     return F.greatest(F.when(most > 0, F.least(value, most)).otherwise(value), F.lit(0.0))
