@@ -8,7 +8,7 @@
    is first linked to a pivot; its rows go on to the children, but children whose rows all hang
    on the same pivot have nothing new to tell and end there. What is still large at
    ``MAX_DEPTH`` is compared in tiles. Runs repeat until a pair at the threshold is met with
-   probability ``recall``, by the survival of the branching process at the depth reached.
+   probability ``recall``, by the survival of the branching process at that depth.
 3. Candidates are closed to components, and each component's whole texts are compared exactly
    (all pairs, as one matrix product in tiles of ``TILE``), so a path that misses one of many
    links inside a component loses nothing.
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siembra.llm.components import connected_components
+from siembra.llm.components import connected_components, stars
 from siembra.llm.shared import bit_filter, chunks, materialise, may_hold, text_of
 from siembra.llm.textkit import mix, shingles, span_hashes, word_bounds
 
 COORDS = 64
 #: Classes of a bucket that are compared directly; a larger bucket is split.
-BUCKET = 500
-MAX_DEPTH = 6
+BUCKET = 1000
+#: Splits of a bucket at most; then tiles of LAST rows are compared with each other.
+MAX_DEPTH, LAST = 3, 4096
+#: Estimated similarity that links a row of a large bucket to its pivot. Links only close
+#: candidates to components, which are compared exactly, so it may lie below the threshold.
+PIVOT = 0.5
+#: Estimates may be off by so much where a row is left out by the triangle inequality.
+SLACK = 0.1
 TILE = 256
 _SEEDS = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(7919))
 _TOKEN_BITS = np.uint64(20)  # tokens are the upper 44 bits, so that a sort key also holds the text
@@ -60,14 +67,14 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.nda
 
 
 def sketches(tokens: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """(texts x COORDS) 16-bit names of the least-hashed token by coordinate; 0 for an empty set."""
-    out = np.zeros((len(offsets) - 1, COORDS), np.uint16)
+    """(texts x COORDS) 32-bit names of the least-hashed token by coordinate; 0 for an empty set."""
+    out = np.zeros((len(offsets) - 1, COORDS), np.uint32)
     full = np.flatnonzero(np.diff(offsets))
     if len(full):
         base = mix(tokens)
         for k in range(COORDS):
             least = np.minimum.reduceat((base ^ _SEEDS[k]) * (_SEEDS[k] | np.uint64(1)), offsets[:-1][full])
-            out[full, k] = mix(least) >> np.uint64(48)
+            out[full, k] = mix(least) >> np.uint64(32)
     return out
 
 
@@ -104,34 +111,7 @@ def _children(nodes: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(-1, COORDS)
-
-
-class _Sets:
-    """Union-find over 0..n-1."""
-
-    def __init__(self, n: int) -> None:
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, a: int, b: int) -> None:
-        a, b = self.root(a), self.root(b)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-
-
-def _stars(n: int, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from every linked item to the root of its set."""
-    sets = _Sets(n)
-    for a, b in zip(left.tolist(), right.tolist(), strict=True):
-        sets.join(a, b)
-    touched = np.unique(np.concatenate([left, right]))
-    roots = np.array([sets.root(x) for x in touched.tolist()], np.int64)
-    return touched[roots != touched], roots[roots != touched]
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, COORDS)
 
 
 def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -173,25 +153,33 @@ def _brute(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             us.append(left[near])
             vs.append(right[near])
             at = to
-        a, b = _stars(len(bucket), np.concatenate(us), np.concatenate(vs))
-        if len(a):
-            yield pa.RecordBatch.from_pydict({"u": cls[a], "v": cls[b]})
+        u, v = stars(cls[np.concatenate(us)], cls[np.concatenate(vs)])
+        if len(u):
+            yield pa.RecordBatch.from_pydict({"u": u, "v": v})
 
 
 def _split(batches: Iterator[pa.RecordBatch], similarity: float, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows of large buckets: an edge to the pivot if near, and a row for each child bucket."""
+    """Rows of large buckets: an edge to the pivot if near, and a row for each child bucket.
+
+    A row so near the pivot that whatever is similar to it must hang on the pivot too (distances
+    obey the triangle inequality) has nothing to find in the children.
+    """
     need = math.ceil(least * COORDS)
+    settled = math.ceil((least + 1 - similarity + SLACK) * COORDS)
     for batch in batches:
         if not batch.num_rows:
             continue
         cls, pivot = batch.column("cls").to_numpy(), batch.column("pivot").to_numpy()
         sketch, other = _matrix(batch.column("sketch")), _matrix(batch.column("pivot_sketch"))
-        near = (sketch == other).sum(1) >= need
-        row, child = _children(batch.column("bucket").to_numpy().astype(np.uint64), sketch, similarity)
+        agree = (sketch == other).sum(1)
+        near = agree >= need
+        go_on = np.flatnonzero(agree < settled)
+        row, child = _children(batch.column("bucket").to_numpy().astype(np.uint64)[go_on], sketch[go_on], similarity)
+        row = go_on[row]
         held = np.where(near, pivot, cls)
-        yield pa.RecordBatch.from_pydict({"bucket": child, "cls": cls[row], "held": held[row], "sketch": batch.column("sketch").take(pa.array(row))})
+        yield pa.RecordBatch.from_pydict({"bucket": child, "cls": cls[row], "held": held[row]})
         linked = np.flatnonzero(near & (cls != pivot))
-        yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(len(linked), pa.int64()), "cls": cls[linked], "held": pivot[linked], "sketch": pa.nulls(len(linked), pa.binary())})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(len(linked), pa.int64()), "cls": cls[linked], "held": pivot[linked]})
 
 
 def jaccard_matrix(tokens: np.ndarray, offsets: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
@@ -240,10 +228,10 @@ def _verify(batches: Iterator[pa.RecordBatch], size: int, similarity: float) ->
             if not len(left):
                 continue
             c = cls[pick]
-            u, v = _stars(len(pick), left, right)
+            u, v = stars(c[left], c[right])
             hit = np.flatnonzero(near.any(1))
             none = pa.nulls(len(hit), pa.int64())
-            yield pa.RecordBatch.from_pydict({"u": pa.array(c[u]), "v": pa.array(c[v]), "cls": pa.nulls(len(u), pa.int64()), "links": pa.nulls(len(u), pa.int64())})
+            yield pa.RecordBatch.from_pydict({"u": pa.array(u), "v": pa.array(v), "cls": pa.nulls(len(u), pa.int64()), "links": pa.nulls(len(u), pa.int64())})
             yield pa.RecordBatch.from_pydict({"u": none, "v": none, "cls": pa.array(c[hit]), "links": pa.array((near[hit] @ copies[pick]).astype(np.int64))})
 
 
@@ -274,16 +262,8 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # equal sets have equal sketches, so any of them stands for the class
     classes = materialise(rows.where("n > 0").groupBy("cls", "sketch").agg(F.count("*").alias("copies"), F.min("id").alias("least_id"), F.min("text_hash").alias("text_hash")), "near-classes")
 
-    edges, done, wanted, deepest = [], 0, runs_for(recall, similarity, 2), 1
-    while done < wanted:
-        found, depth = _paths(classes, range(done, wanted), similarity, least)
-        edges += found
-        done, deepest = wanted, max(deepest, depth)
-        wanted = max(wanted, runs_for(recall, similarity, deepest))
-    linked = edges[0]
-    for more in edges[1:]:
-        linked = linked.unionByName(more)
-    candidates = connected_components(linked)
+    edges = _paths(classes, runs_for(recall, similarity, MAX_DEPTH), similarity, least)
+    candidates = connected_components(reduce(DataFrame.unionByName, edges))
 
     # Exact comparison of whole texts, component by component, in tiles.
     sized = candidates.join(candidates.groupBy("label").agg(F.count("*").alias("m")), "label").withColumn("groups", F.ceil(F.col("m") / TILE).cast("int"))
@@ -300,50 +280,51 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     exact = materialise(exact, "near-links")
     groups = connected_components(exact.where("u is not null").select("u", "v")).withColumnRenamed("node", "cls")
     links = exact.where("cls is not null").groupBy("cls").agg(F.sum("links").alias("links"))
-    told = classes.select("cls", "copies", "least_id").join(groups, "cls", "left").join(links, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
-    whole_class = told.groupBy("label").agg(F.min("least_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    info = told.join(whole_class, "label").select("cls", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    told = groups.join(classes.select("cls", "copies", "least_id"), "cls").join(links, "cls", "left")
+    whole_class = told.groupBy("label").agg(F.min("least_id").alias("group_id"), F.sum("copies").alias("group_size"))
+    linked = materialise(told.join(whole_class, "label").select("cls", "group_id", "group_size", "links"), "near-told")
+    info = classes.select("cls", "copies", "least_id").join(linked, "cls", "left").select("cls", F.coalesce("group_id", "least_id").alias("class_id"), F.coalesce("group_size", "copies").alias("class_size"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     # a class with many copies puts many rows on one key; adaptive execution splits that side
     worded = rows.where("n > 0").select("id", "cls", "n").join(info, "cls", "left").select("id", "class_id", "class_size", "n_links", "n")
     wordless = rows.where("n = 0").select("id", F.col("id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"), "n")
     return worded.unionByName(wordless).select(F.col("id").alias(id_col), "class_id", "class_size", "n_links", F.col("n").alias("n_shingles"))
 
 
-def _paths(classes: DataFrame, runs: range, similarity: float, least: float) -> tuple[list[DataFrame], int]:
-    """Candidate edges of some runs, and the number of splits that the deepest bucket took."""
-    roots = mix(np.arange(runs.start, runs.stop, dtype=np.uint64) + np.uint64(1000))
+def _paths(classes: DataFrame, runs: int, similarity: float, least: float) -> list[DataFrame]:
+    """Candidate edges of all runs. Rows are narrow (bucket, class) until their bucket is known to be worth a sketch."""
+    roots = mix(np.arange(runs, dtype=np.uint64) + np.uint64(1000))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cls, sketch = batch.column("cls").to_numpy(), _matrix(batch.column("sketch")) if batch.num_rows else np.zeros((0, COORDS), np.uint16)
+            cls, sketch = batch.column("cls").to_numpy(), _matrix(batch.column("sketch")) if batch.num_rows else np.zeros((0, COORDS), np.uint32)
             for node in roots:
                 row, child = _children(np.full(len(cls), node), sketch, similarity)
-                yield pa.RecordBatch.from_pydict({"bucket": child, "cls": cls[row]})
-
-    first = materialise(classes.select("cls", "sketch").mapInArrow(begin, "bucket long, cls long"), "near-buckets")
-    met = first.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1").drop("size")
-    frontier = first.join(met, "bucket").join(classes.select("cls", "sketch"), "cls").select("bucket", "cls", F.col("cls").alias("held"), "sketch")
-    edges, depth = [], 1
-    while True:
-        frontier = materialise(frontier, "near-frontier")
-        about = frontier.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct(F.xxhash64("bucket", "cls"), "cls")).alias("pivot"), F.min("held").alias("low"), F.max("held").alias("high")).where("size > 1 and low <> high").select("bucket", "size", "pivot.cls")
-        about = materialise(about.withColumnRenamed("cls", "pivot"), "near-sizes")
-        small = frontier.join(about.where(F.col("size") <= BUCKET).select("bucket"), "bucket").select("bucket", "cls", "sketch")
-        large = about.where(F.col("size") > BUCKET)
-        brute = lambda df: df.repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lambda it: _brute(it, least), "u long, v long")
-        edges.append(brute(small))
+                yield pa.RecordBatch.from_pydict({"bucket": child, "cls": cls[row], "held": cls[row]})
+
+    known = classes.select("cls", "sketch")
+    brute = lambda df: df.join(known, "cls").select("bucket", "cls", "sketch").repartition(F.col("bucket")).sortWithinPartitions("bucket").mapInArrow(lambda it: _brute(it, least), "u long, v long")
+    frontier = materialise(known.mapInArrow(begin, "bucket long, cls long, held long"), "near-buckets")
+    edges = []
+    for depth in range(1, MAX_DEPTH + 1):
+        # the pivot is drawn anew for every bucket; a bucket that hangs on one row already is done
+        sizes = frontier.groupBy("bucket").agg(F.count("*").alias("size"), F.min_by("cls", F.xxhash64("bucket", "cls")).alias("pivot"), F.min("held").alias("low"), F.max("held").alias("high")).where("size > 1 and low <> high")
+        met = materialise(frontier.select("bucket", "cls").join(sizes.select("bucket", "size", "pivot"), "bucket"), "near-met")
+        edges.append(brute(met.where(F.col("size") <= BUCKET)))
+        large = met.where(F.col("size") > BUCKET)
         if large.isEmpty():
-            return edges, depth
+            break
         if depth == MAX_DEPTH:
-            parts = F.ceil(F.col("size") / BUCKET).cast("int")
-            tiled = frontier.join(large, "bucket").withColumn("part", F.pmod(F.xxhash64("cls"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
-            edges.append(brute(tiled.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "cls", "sketch")))
-            return edges, depth
-        pivots = large.join(classes.select(F.col("cls").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot").select("bucket", "pivot", "pivot_sketch")
-        step = materialise(frontier.select("bucket", "cls", "sketch").join(pivots, "bucket").mapInArrow(lambda it: _split(it, similarity, least), "bucket long, cls long, held long, sketch binary"), "near-split")
+            parts = F.ceil(F.col("size") / LAST).cast("int")
+            tiled = large.withColumn("part", F.pmod(F.xxhash64("cls"), parts)).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+            edges.append(brute(tiled.select(F.xxhash64("bucket", F.least("part", "other"), F.greatest("part", "other")).alias("bucket"), "cls")))
+            break
+        # one pivot for a bucket of more than BUCKET rows: few beside the rows
+        pivots = large.select("bucket", "pivot").distinct().join(known.select(F.col("cls").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot").select("bucket", "pivot", "pivot_sketch")
+        both = large.select("bucket", "cls").join(known, "cls").join(pivots, "bucket").select("bucket", "cls", "sketch", "pivot", "pivot_sketch")
+        step = materialise(both.mapInArrow(lambda it: _split(it, similarity, min(least, PIVOT)), "bucket long, cls long, held long"), "near-split")
         edges.append(step.where("bucket is null").select(F.col("cls").alias("u"), F.col("held").alias("v")))
         frontier = step.where("bucket is not null")
-        depth += 1
+    return edges
 
 
 def drop_near_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
