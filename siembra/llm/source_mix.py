@@ -42,12 +42,15 @@ def integer_weights(weights: Mapping[object, float], period: int = PERIOD) -> di
     if len(positive) > period:
         raise ValueError(f"{len(positive)} sources need a period of as many slots at least")
     total = sum(positive.values())
-    spare = period - len(positive)
-    exact = {k: v / total * spare for k, v in positive.items()}
-    out = {k: 1 + int(x) for k, x in exact.items()}
-    by_rest = sorted(exact, key=lambda k: (int(exact[k]) - exact[k], str(k)))
-    for k in by_rest[: period - sum(out.values())]:
-        out[k] += 1
+    exact = {k: v / total * period for k, v in positive.items()}
+    out = {k: max(1, int(x)) for k, x in exact.items()}
+    by_rest = sorted(exact, key=lambda k: (out[k] - exact[k], str(k)))  # most below its share first
+    while (spare := period - sum(out.values())) > 0:
+        for k in by_rest[:spare]:
+            out[k] += 1
+    while (spare := sum(out.values()) - period) > 0:  # tiny weights were raised to 1: the largest give
+        for k in [k for k in sorted(out, key=lambda k: (-out[k], str(k))) if out[k] > 1][:spare]:
+            out[k] -= 1
     return out
 
 
