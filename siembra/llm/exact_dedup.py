@@ -30,6 +30,8 @@ from siembra.llm.shared import bit_filter, materialise, may_hold, text_of
 MESSAGE_ROWS = 1 << 20
 #: Fingerprints that an owner gets on average, and the least number of owners.
 OWNER_ROWS, LEAST_OWNERS = 50_000, 64
+#: Groups above this share of all rows (1/HOT_SHARE) are joined by broadcast: less than HOT_SHARE rows of 60 bytes.
+HOT_SHARE = 1000
 
 
 def golomb_encode(values: np.ndarray) -> bytes:
@@ -162,8 +164,14 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     )
     best = suspects.groupBy("print", "digest").agg(F.max(F.struct("id", "sender", "place")).alias("best"))
     groups = best.join(verified, ["print", "digest"])
-    # A hot text puts many rows on one key of this join; adaptive execution splits that side.
-    paired = flagged.join(groups.withColumnRenamed("digest", "group_digest").withColumnRenamed("print", "group_print"), F.col("suspect") & (F.col("print") == F.col("group_print")) & (F.col("digest") == F.col("group_digest")), "left")
+    groups = groups.withColumnsRenamed({"print": "group_print", "digest": "group_digest"})
+    # Groups of more than 1/HOT_SHARE of all rows are less than HOT_SHARE: their many rows stay where they are.
+    groups = materialise(groups, "exact-dedup-groups")
+    hot, rest = groups.where(F.col("group_size") * HOT_SHARE > rows), groups.where(F.col("group_size") * HOT_SHARE <= rows)
+    same = F.col("suspect") & (F.col("print") == F.col("group_print")) & (F.col("digest") == F.col("group_digest"))
+    in_hot = flagged.join(F.broadcast(hot), same)
+    others = flagged.join(F.broadcast(hot), same, "left_anti").join(rest, same, "left")
+    paired = in_hot.unionByName(others)
     alone = F.col("best").isNull()
     return paired.select(
         F.col("id").alias(id_col),

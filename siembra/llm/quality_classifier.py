@@ -202,7 +202,10 @@ def keep_quality(docs: DataFrame, model: Model | None, text_col: str = "text", t
     """Rows of ``docs`` that score at least ``threshold``, with all their columns and no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in chunks(batches, "__text"):
-            yield part.filter(pa.array(score(model, encode_passages(data, offsets)) >= threshold)).drop_columns(["__text"])
+        for batch in batches:
+            # the text column itself is read, so that no second copy of the texts goes to the worker
+            texts = batch.column(text_col).cast(pa.string()).fill_null("")
+            good = [score(model, encode_passages(data, offsets)) >= threshold for _, data, offsets in chunks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))]
+            yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
-    return docs.withColumn("__text", text_of(text_col)).mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -33,7 +33,9 @@ from siembra.llm.shared import chunks, text_of
 
 MARK = "▁"
 #: Words that a Python worker remembers, and the longest one of them.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 800_000, 64
+#: Bytes of text whose new words are sorted together.
+CHUNK = 4 << 20
 _WORDS = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
 _UNIGRAM, _BPE, _NORMAL, _USER, _BYTE = 1, 2, 1, 4, 6
 
@@ -114,56 +116,63 @@ class Encoder:
 
     def encode_sorted(self, words: Iterable[str]) -> Iterator[list[int]]:
         """Pieces of every word; the words are sorted and distinct, so shared prefixes are met once."""
-        root, bpe = self.root, self.v.bpe
-        scores, follows, may_follow = self.v.scores, self.follows, self.may_follow
-        # by depth: last piece (-1: a character without one), its start, score, and the open pieces (start, node)
-        last, start, total, open_ = [-2], [0], [0.0], [[]]
+        step = self._step_bpe if self.v.bpe else self._step_unigram
+        # by depth: last piece (-1: a character without one), its start, open pieces (start, node), score
+        states: list[tuple] = [(-2, 0, [], 0.0)]
         before = ""
         for word in words:
             keep, most = 0, min(len(word), len(before))
             while keep < most and word[keep] == before[keep]:
                 keep += 1
-            del last[keep + 1 :], start[keep + 1 :], total[keep + 1 :], open_[keep + 1 :]
+            del states[keep + 1 :]
             for i in range(keep, len(word)):
-                c = word[i]
-                going = []
-                piece, at, best = -1, i, None
-                for j, node in [*open_[i], (i, root)]:
-                    node = node.get(c)
-                    if node is None:
-                        continue
-                    going.append((j, node))
-                    p = node.get("")
-                    if p is None:
-                        continue
-                    if bpe:
-                        if piece < 0:  # only one piece can follow
-                            left = last[j]
-                            fits = left < 0 or follows.get((left, p))
-                            if may_follow(left, p) if fits is None else fits:
-                                piece, at = p, j
-                    else:
-                        value = total[j] + scores[p]
-                        if best is None or value > best:
-                            piece, at, best = p, j, value
-                if piece < 0:
-                    best = total[i] + self.penalty
-                last.append(piece)
-                start.append(at)
-                total.append(best or 0.0)
-                open_.append(going)
+                states.append(step(word[i], i, states))
             before = word
-            yield self._trace(word, last, start)
-
-    def _trace(self, word: str, last: list[int], start: list[int]) -> list[int]:
+            yield self._trace(word, states)
+
+    def _step_bpe(self, c: str, i: int, states: list[tuple]) -> tuple:
+        """The state after one more character: the one piece ending there that may follow."""
+        follows = self.follows
+        going, piece, at = [], -1, i
+        for j, node in states[i][2]:
+            node = node.get(c)
+            if node is not None:
+                going.append((j, node))
+                if piece < 0 and "" in node:
+                    p, left = node[""], states[j][0]
+                    if left < 0 or (follows[left, p] if (left, p) in follows else self.may_follow(left, p)):
+                        piece, at = p, j
+        node = self.root.get(c)
+        if node is not None:
+            going.append((i, node))
+            if piece < 0 and "" in node:
+                p, left = node[""], states[i][0]
+                if left < 0 or (follows[left, p] if (left, p) in follows else self.may_follow(left, p)):
+                    piece = p
+        return piece, at, going, 0.0
+
+    def _step_unigram(self, c: str, i: int, states: list[tuple]) -> tuple:
+        """The state after one more character: the best score, of equals the longest last piece."""
+        going, piece, at, best = [], -1, i, None
+        for j, node in [*states[i][2], (i, self.root)]:
+            node = node.get(c)
+            if node is not None:
+                going.append((j, node))
+                p = node.get("")
+                if p is not None and (best is None or states[j][3] + self.v.scores[p] > best):
+                    piece, at, best = p, j, states[j][3] + self.v.scores[p]
+        return piece, at, going, states[i][3] + self.penalty if best is None else best
+
+    def _trace(self, word: str, states: list[tuple]) -> list[int]:
         out, i = [], len(word)
         while i:
-            if last[i] >= 0:
-                out.append(last[i])
+            piece, at = states[i][:2]
+            if piece >= 0:
+                out.append(piece)
             else:
-                raw = [self.v.bytes[b] for b in word[start[i] : i].encode()]
+                raw = [self.v.bytes[b] for b in word[at:i].encode()]
                 out += raw[::-1] if min(raw) >= 0 else [self.v.unknown]
-            i = start[i]
+            i = at
         return out[::-1]
 
 
@@ -259,7 +268,7 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(key, shared.value)
-        for part, data, offsets in chunks(batches, "__text", 1 << 20):
+        for part, data, offsets in chunks(batches, "__text", CHUNK):
             ids, where = codec.encode(part.column("__text").to_pylist())
             decoded, at = codec.decode(ids, where)
             lists = pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(ids))
