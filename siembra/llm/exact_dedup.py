@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siembra.llm.shared import bit_filter, materialise, may_hold, text_of
+from siembra.llm.shared import bit_filter, bound_batches, materialise, may_hold, text_of
 
 #: Rows of a partition that one message to an owner covers at most.
 MESSAGE_ROWS = 1 << 20
@@ -132,6 +132,7 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     others: a row without an id is kept only if no row of its group has one. Of repeated rows
     (same id, same text) exactly one is kept. An empty table gives an empty result.
     """
+    bound_batches(df.sparkSession)
     spark = df.sparkSession
     rows = df.count()
     bits = min(62, 20 + max(1, rows).bit_length())

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siembra.llm.shared import chunks, text_of
+from siembra.llm.shared import bound_batches, chunks, text_of
 from siembra.llm.textkit import mix
 
 WINDOW, POPULAR = 32, 8
@@ -200,6 +200,7 @@ def likeness(left: Digests, right: Digests) -> np.ndarray:
 def corpus_ranks(df: DataFrame, text_col: str = "text") -> np.ndarray:
     """Ranks of the entropies by how rare they are in all texts (BINS numbers)."""
 
+    bound_batches(df.sparkSession)
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
         for _, data, offsets in chunks(batches, "text", CHUNK):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siembra.llm.shared import chunks, text_of
+from siembra.llm.shared import bound_batches, chunks, text_of
 from siembra.llm.textkit import span_hashes, word_bounds
 
 #: Share of a template's words that have to be aligned.
@@ -162,6 +162,7 @@ def scan_licenses(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_co
     without a license have no row; repeated rows have a row each; empty templates are left out.
     A-Z count as a-z. Other columns aren't read.
     """
+    bound_batches(df.sparkSession)
     known = Templates(templates)
     schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("license", T.StringType()), T.StructField("coverage", T.DoubleType()), *(T.StructField(n, T.LongType()) for n in ("start_word", "end_word", "n_words"))])
 

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siembra.llm.components import connected_components, stars
-from siembra.llm.shared import bit_filter, chunks, materialise, may_hold, text_of
+from siembra.llm.shared import bit_filter, bound_batches, chunks, materialise, may_hold, text_of
 from siembra.llm.textkit import mix, shingles, span_hashes, word_bounds
 
 COORDS = 64
@@ -246,6 +246,7 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     wordless texts link to nothing and are classes of their own. Repeated rows are copies.
     An empty table gives an empty result.
     """
+    bound_batches(df.sparkSession)
     spark = df.sparkSession
     least = similarity - 3 * math.sqrt(similarity * (1 - similarity) / COORDS)
     id_type = df.schema[id_col].dataType

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siembra.llm.shared import materialise, text_of
+from siembra.llm.shared import bound_batches, materialise, text_of
 
 #: After so many attempts a surrogate may be longer than the entity.
 WIDEN = 4
@@ -247,6 +247,7 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     entities are unchanged. The key is text of 1 to 64 bytes; another key gives other surrogates.
     Repeated rows are treated alike. Other columns aren't read.
     """
+    bound_batches(df.sparkSession)
     secret = key.encode()
     base = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
 

@@ -21,12 +21,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siembra.llm.shared import chunks, text_of
+from siembra.llm.shared import bound_batches, chunks, text_of
 from siembra.llm.textkit import segment_sums, span_hashes, word_bounds
 
 PASSAGE_WORDS = 64
 #: Labelled rows that fit the model at most, and passages of one of them.
 MAX_TRAIN, MAX_TRAIN_PASSAGES = 4000, 4096
+#: Bytes of text whose passages are encoded at once.
+CHUNK = 1 << 20
 THRESHOLD = 0.3
 HIDDEN, ATTENTION = 24, 12
 
@@ -164,12 +166,13 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
 
     Null labels and ids don't count; of several labels of one id the smallest does.
     """
+    bound_batches(docs.sparkSession)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = usable.groupBy(F.col(id_col).alias("key")).agg(F.min(F.col(label_col)).cast("double").alias("label")).orderBy(F.xxhash64("key"), "key").limit(max_train)
     rows = docs.select(F.col(id_col).alias("key"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "key")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in chunks(batches):
+        for part, data, offsets in chunks(batches, limit=CHUNK):
             bags = encode_passages(data, offsets)
             cut = [bags.features[a:b][:: -(-(b - a) // MAX_TRAIN_PASSAGES)].tobytes() for a, b in zip(bags.offsets[:-1], bags.offsets[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"order": part.column("order"), "label": part.column("label"), "features": pa.array(cut, pa.binary())})
@@ -188,10 +191,11 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     Null and empty texts are one passage without words and get the model's score for that.
     Other columns of ``docs`` aren't read.
     """
+    bound_batches(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, offsets in chunks(batches):
+        for part, data, offsets in chunks(batches, limit=CHUNK):
             value = score(model, encode_passages(data, offsets))
             yield pa.RecordBatch.from_arrays([part.column("id"), part.column("held_out"), pa.array(value), pa.array((value >= threshold).astype(np.int32))], names=schema.names)
 
@@ -201,11 +205,12 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 def keep_quality(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` that score at least ``threshold``, with all their columns and no shuffle."""
 
+    bound_batches(docs.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # the text column itself is read, so that no second copy of the texts goes to the worker
             texts = batch.column(text_col).cast(pa.string()).fill_null("")
-            good = [score(model, encode_passages(data, offsets)) >= threshold for _, data, offsets in chunks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]))]
+            good = [score(model, encode_passages(data, offsets)) >= threshold for _, data, offsets in chunks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), limit=CHUNK)]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
     return docs.mapInArrow(run, docs.schema)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siembra.llm.shared import bit_filter, chunks, materialise, may_hold, text_of
+from siembra.llm.shared import bit_filter, bound_batches, chunks, materialise, may_hold, text_of
 from siembra.llm.textkit import shingles, span_hashes, word_bounds
 
 SEED, SPAN, LEFT, RIGHT = 8, 32, 40, 64
@@ -149,6 +149,7 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     A-Z count as a-z. Null, empty and short texts have no spans, and an empty table gives an
     empty result. ``min_words`` is at least SEED + SPAN - 1. Other columns aren't read.
     """
+    bound_batches(df.sparkSession)
     if min_words < SEED + SPAN - 1:
         raise ValueError(f"min_words must be {SEED + SPAN - 1} or more")
     kind = df.schema[id_col].dataType

@@ -29,13 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siembra.llm.shared import chunks, text_of
+from siembra.llm.shared import bound_batches, chunks, text_of
 
 MARK = "▁"
 #: Words that a Python worker remembers, and the longest one of them.
-REMEMBERED, LONGEST = 800_000, 64
+REMEMBERED, LONGEST = 300_000, 64
+#: Pairs of neighbouring pieces that a Python worker remembers.
+PAIRS = 500_000
 #: Bytes of text whose new words are sorted together.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 _WORDS = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
 _UNIGRAM, _BPE, _NORMAL, _USER, _BYTE = 1, 2, 1, 4, 6
 
@@ -109,7 +111,7 @@ class Encoder:
     def may_follow(self, left: int, right: int) -> bool:
         known = self.follows.get((left, right))
         if known is None:
-            if len(self.follows) > 2_000_000:
+            if len(self.follows) > PAIRS:
                 self.follows.clear()
             known = self.follows[left, right] = self.merge(self.strings[left] + self.strings[right]) == [left, right]
         return known
@@ -260,6 +262,7 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", keep:
     which decodes to a space, or (in a model without bytes) an unknown character. Columns of
     ``keep`` that are named like a result column are replaced by it.
     """
+    bound_batches(df.sparkSession)
     keep = [c for c in keep if c not in ("ids", "n_tokens", "round_trip")]
     vocabulary = Vocabulary.load(model_path)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)  # a model file: bounded by its number of pieces
@@ -279,6 +282,7 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", keep:
 
 def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
     """Texts of id arrays: the ``keep`` columns and ``text_col``. Null arrays give null, empty ones empty texts."""
+    bound_batches(df.sparkSession)
     keep = [c for c in keep if c != text_col]
     vocabulary = Vocabulary.load(model_path)
     shared = df.sparkSession.sparkContext.broadcast(vocabulary)
