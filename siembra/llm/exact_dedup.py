@@ -189,13 +189,15 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Rows without an id can't be told apart by it: of those with the same text one stays,
     and none beside a row with an id and that text.
     """
-    found = materialise(exact_dedup(df, id_col, text_col).where("group_size > 1"), "exact-dedup-groups")
+    found = materialise(exact_dedup(df, id_col, text_col).where("group_size > 1"), "exact-dedup-copies")
     # ids whose rows all go; an id with a kept row and a dropped one repeats whole rows
-    fate = found.groupBy(F.col(id_col).alias("fate_id"), "text_sha256").agg(F.max("kept").alias("any_kept"), F.min("kept").alias("all_kept")).where("not all_kept")
-    joined = df.withColumn("__digest", F.sha2(text_of(text_col), 256)).join(fate.withColumnRenamed("text_sha256", "fate_digest"), F.col(id_col).eqNullSafe(F.col("fate_id")) & (F.col("__digest") == F.col("fate_digest")), "left")
-    repeated = fate.where("any_kept").isEmpty()
-    once = joined.where("any_kept is null").select(*df.columns)
-    if repeated:
+    fate = found.groupBy(F.col(id_col).alias("fate_id"), F.col("text_sha256").alias("fate_digest")).agg(F.max("kept").alias("any_kept"), F.min("kept").alias("all_kept")).where("not all_kept")
+    fate = materialise(fate, "exact-dedup-fate")
+    # most rows have no fate and stay where they are; only the others' texts are shuffled
+    listed = may_hold(bit_filter(fate.select("fate_id"), "fate_id"), F.col(id_col))
+    joined = df.where(listed).withColumn("__digest", F.sha2(text_of(text_col), 256)).join(fate, F.col(id_col).eqNullSafe(F.col("fate_id")) & (F.col("__digest") == F.col("fate_digest")), "left")
+    once = df.where(~listed).unionByName(joined.where("any_kept is null").select(*df.columns))
+    if fate.where("any_kept").isEmpty():
         return once
     again = joined.where("any_kept").dropDuplicates([id_col, "__digest"]).select(*df.columns)
     return once.unionByName(again)

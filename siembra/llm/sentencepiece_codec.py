@@ -188,7 +188,7 @@ class Codec:
         sizes = np.array([len(x) for x in vocabulary.text], np.int64)
         self.piece_size, self.piece_at = sizes, np.cumsum(sizes) - sizes
         self.piece_bytes = np.frombuffer(b"".join(vocabulary.text), np.uint8)
-        self._forget()
+        self.forget()
 
     @classmethod
     def of(cls, key: int, vocabulary: Vocabulary) -> Codec:
@@ -197,7 +197,8 @@ class Codec:
             cls._held[key] = cls(vocabulary)
         return cls._held[key]
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
+        """Drop the remembered words: a worker outlives its task, its memory shouldn't."""
         self.known: dict[str, int] = {}
         self.pool, self.begin, self.count = array("i"), array("q"), array("q")
 
@@ -216,7 +217,7 @@ class Codec:
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts and their offsets."""
         if len(self.known) > REMEMBERED or len(self.pool) > 16 * REMEMBERED:
-            self._forget()
+            self.forget()
         words: list[str] = []
         ends = [0]
         for text in texts:
@@ -276,6 +277,7 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", keep:
             decoded, at = codec.decode(ids, where)
             lists = pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists, pa.array(np.diff(where)), pa.array(_same(data, offsets, decoded, at))], names=schema.names)
+        codec.forget()
 
     return df.select(*keep, text_of(text_col).alias("__text")).mapInArrow(run, schema)
 

@@ -77,6 +77,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
+    pa.default_memory_pool().release_unused()  # the worker outlives its task
 
 
 def bit_filter(keys: DataFrame, key: str, words: int = 1 << 17) -> DataFrame:
