@@ -43,6 +43,8 @@ PIVOT = 0.5
 #: Estimates may be off by so much where a row is left out by the triangle inequality.
 SLACK = 0.1
 TILE = 256
+#: Pairs of sketches compared at once: two copies of 256 bytes each.
+PAIRS = 1 << 15
 _SEEDS = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(7919))
 _TOKEN_BITS = np.uint64(20)  # tokens are the upper 44 bits, so that a sort key also holds the text
 
@@ -144,8 +146,8 @@ def _brute(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         later = end - np.arange(len(bucket)) - 1
         us, vs = [], []
         at = 0
-        while at < len(bucket):  # rows at..to have at most 2^18 pairs
-            to = max(at + 1, int(np.searchsorted(np.cumsum(later[at:]), 1 << 18, "right")) + at)
+        while at < len(bucket):  # rows at..to have at most PAIRS pairs, or the pairs of one row
+            to = max(at + 1, int(np.searchsorted(np.cumsum(later[at : at + PAIRS]), PAIRS, "right")) + at)
             left = np.repeat(np.arange(at, to), later[at:to])
             first = np.cumsum(later[at:to]) - later[at:to]
             right = left + 1 + np.arange(len(left)) - np.repeat(first, later[at:to])
