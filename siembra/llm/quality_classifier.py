@@ -28,7 +28,7 @@ PASSAGE_WORDS = 64
 #: Labelled rows that fit the model at most, and passages of one of them.
 MAX_TRAIN, MAX_TRAIN_PASSAGES = 4000, 4096
 #: Bytes of text whose passages are encoded at once.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 THRESHOLD = 0.3
 HIDDEN, ATTENTION = 24, 12
 

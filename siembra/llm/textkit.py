@@ -30,7 +30,7 @@ _POWERS: dict[str, np.ndarray] = {}
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 21)
+        size = max(n, 1 << 19)
         with np.errstate(over="ignore"):
             for name, factor in (("up", _BASE), ("down", _INVERSE)):
                 steps = np.full(size, factor, np.uint64)
