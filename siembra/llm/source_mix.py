@@ -4,7 +4,7 @@ One slot holds one block of documents of one source. A source of weight w (its i
 a period of W slots) gives its j-th block the release ``floor(j * W / w)`` and the deadline
 ``ceil((j + 1) * W / w)``; in every slot the released block with the earliest deadline goes
 (ties: larger weight, then source). The weights add up to W, so every block meets its window
-and after any number of slots each source is less than one block from its share.
+and after any number of slots each source is less than one block from its share, until it runs out.
 
 The schedule repeats every W slots. The pattern of one period (W rows, a parameter) is made
 once; the slot of any block is ``(j div w) * W + pattern[source, j mod w]``, so the
@@ -75,9 +75,11 @@ def mix_sources(df: DataFrame, weights: Mapping[object, float] | None = None, so
 
     Added columns (an input column of such a name is replaced): ``mix_rank`` in its source,
     ``mix_block`` (rank div block_size), ``mix_release``, ``mix_deadline`` and ``mix_slot`` in slots, and
-    ``in_mix``: the mix ends with the slot before the first one whose block isn't full
-    any more, so that all slots of the mix hold their targets. Rows beyond keep their slot.
-    A source without a weight has no slot and isn't in the mix. A null source is a source of
+    ``in_mix``: whether the slot comes before the first one that a source has no block left for, so that up to there
+    all sources hold their targets. It is a mark, not a limit: rows beyond have a slot as well, in which the
+    sources that still have blocks go on in the proportions of their weights (the slots of those that ran out
+    stay empty). The last block of a source may be smaller. Sources below one slot of the period, which are raised to
+    a weight of 1, may run out before. A source without a weight has no slot and isn't in the mix. A null source is a source of
     its own. Ties of the hash order go by id; repeated rows each have a place. Without
     ``weights`` they are the shares of rows to the power ``temperature``. Sources are as
     many as the period at most; an empty table gives an empty result.
@@ -93,9 +95,11 @@ def mix_sources(df: DataFrame, weights: Mapping[object, float] | None = None, so
     pattern = pfair_pattern(shares)
     total = sum(shares.values())
     first = {(k, j): slot for k, j, _, _, slot in pattern}
-    # the first slot that a source can't fill: the one after its last full block
-    full = {k: sizes.get(k, 0) // block_size for k in shares}
-    horizon = min((n // shares[k] * total + first[(k, n % shares[k])] for k, n in full.items()), default=0)
+    # the first slot that a source can't fill: the one after its last block; raised weights say nothing of a target
+    mass = sum(named[k] for k in shares)
+    targets = [k for k in shares if named[k] * period >= mass]
+    blocks = {k: -(-sizes.get(k, 0) // block_size) for k in targets or shares}
+    horizon = min((n // shares[k] * total + first[(k, n % shares[k])] for k, n in blocks.items()), default=0)
 
     spark = df.sparkSession
     table = spark.createDataFrame([(k, shares[k], j, release, deadline, slot) for k, j, release, deadline, slot in pattern], "p_key string, p_w long, p_j long, p_release long, p_deadline long, p_slot long")
@@ -118,6 +122,9 @@ def mix_sources(df: DataFrame, weights: Mapping[object, float] | None = None, so
 
 
 def mixed(df: DataFrame, **options) -> DataFrame:
-    """The rows of the mix with their own columns, laid out in slot order (range partitions, sorted)."""
-    placed = mix_sources(df, **options).where("in_mix")
+    """All rows of sources with a weight, with their own columns, laid out in slot order (range partitions, sorted).
+
+    A source that runs out leaves the order to the others; no row is left out for it.
+    """
+    placed = mix_sources(df, **options).where("mix_slot is not null")
     return placed.repartitionByRange("mix_slot", "mix_rank").sortWithinPartitions("mix_slot", "mix_rank").select(*df.columns)
