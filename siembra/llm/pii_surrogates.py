@@ -40,6 +40,11 @@ GIVEN = {
 }
 _GENDER = {name: g for g, names in GIVEN.items() for name in names}
 _NUMBER = re.compile(r"(?<![\w.+])(?:\+ ?)?\(?\d(?:[ .()\-]{0,2}\d){6,}(?![\w]|[.\-]\d)")
+# Numbers that stand beside others in one run: each type by itself, the surest first; True asks for the check digit.
+_CARD = re.compile(r"(?<!\d)(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{1,7})(?!\d)")
+_SSN = re.compile(r"(?<!\d)\d{3}-\d{2}-\d{4}(?!\d)")
+_PHONE = re.compile(r"(?:\+ ?\d{1,3}[ .\-]?|(?<!\d)1[ .\-])?(?:\(\d{3}\) ?|(?<!\d)\d{3}[ .\-])\d{3}[ .\-]\d{4}(?!\d)")
+_PARTS = ((_SSN, "ssn", False), (_CARD, "card", True), (_PHONE, "phone", False), (_CARD, "card", False))
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9_\-/+]{12,})")
 _KEY = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b")
@@ -80,6 +85,38 @@ def _number(text: str) -> str | None:
     return None
 
 
+def _numbers(text: str, start: int, end: int) -> Iterator[tuple[int, int, str]]:
+    """Start, end and kind of the numbers in a run of digits and separators: the whole run, else its parts."""
+    if kind := _number(text[start:end]):
+        yield start, end, kind
+        return
+    rest = [(start, end)]
+    for pattern, kind, checked in _PARTS:
+        left = []
+        for a, b in rest:
+            at = look = a
+            while m := pattern.search(text, look, b):
+                if checked and not luhn("".join(c for c in m[0] if c.isdigit())):
+                    look = m.start() + 4 if m[1] else m.end()  # the next group of digits
+                    continue
+                yield m.start(), m.end(), kind
+                left.append((at, m.start()))
+                at = look = m.end()
+            left.append((at, b))
+        if left == rest:
+            continue
+        rest = []
+        for a, b in left:  # what is left beside a number may be a whole one
+            while a < b and text[a] in " .-)":
+                a += 1
+            while a < b and text[b - 1] in " .-(":
+                b -= 1
+            if a < b and (whole := _number(text[a:b])):
+                yield a, b, whole
+            elif a < b:
+                rest.append((a, b))
+
+
 def _script(word: str) -> str:
     return "cyrillic" if "Ѐ" <= word[0] <= "ӿ" else "latin"
 
@@ -88,9 +125,9 @@ def detect(text: str) -> list[Entity]:
     """Entities of a text in order; of overlapping ones the first, then the longest."""
     found: list[Entity] = []
     for m in _NUMBER.finditer(text):
-        if kind := _number(m[0]):
-            canon = m[0] if kind == "ip" else "".join(c for c in m[0] if c.isdigit())
-            found.append(Entity(m.start(), m.end(), kind, canon))
+        for a, b, kind in _numbers(text, m.start(), m.end()):
+            canon = text[a:b] if kind == "ip" else "".join(c for c in text[a:b] if c.isdigit())
+            found.append(Entity(a, b, kind, canon))
     if "." in text:
         found += [Entity(m.start(), m.end(), "ip", m[0]) for m in re.finditer(r"(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d)", text) if all(int(x) < 256 for x in m[0].split("."))]
     if "@" in text:
