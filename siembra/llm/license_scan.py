@@ -15,6 +15,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -28,17 +29,33 @@ from siembra.llm.textkit import span_hashes, word_bounds
 #: Share of a template's words that have to be aligned.
 COVERAGE = 0.8
 
-# Public license notices by SPDX identifier.
+# Public license texts and notices by SPDX identifier.
 TEMPLATES = {
     "MIT-notice": "Released under the MIT License.",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    "Apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
-    "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "GPL-3.0-header": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "all-rights-reserved-notice": "All rights reserved.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-}
+} | {
+    f"CC-{code}-4.0-notice": f"This work is licensed under a Creative Commons {name} 4.0 International License."
+    for code, name in (("BY-SA", "Attribution-ShareAlike"), ("BY-ND", "Attribution-NoDerivatives"), ("BY-NC", "Attribution-NonCommercial"), ("BY-NC-SA", "Attribution-NonCommercial-ShareAlike"), ("BY-NC-ND", "Attribution-NonCommercial-NoDerivatives"))
+} | {f"CC-{code}-4.0-short-notice": f"Licensed under CC {code} 4.0." for code in ("BY", "BY-SA", "BY-ND", "BY-NC", "BY-NC-SA", "BY-NC-ND")}
+#: Whole license texts in the folder ``licenses``.
+WHOLE = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
+TEMPLATES |= {name: resources.files("siembra.llm").joinpath("licenses", f"{name}.txt").read_text("utf-8") for name in WHOLE}
+#: Words that have to be aligned one after another, where little else tells a license from its neighbours.
+KEYS = {"BSD-3-Clause": "endorse or promote products derived", "GPL-2.0-notice": "version 2.", "GPL-3.0": "13. Use with the GNU Affero General Public License."}
+KEYS |= {name: text.split("Creative Commons ")[1].split()[0] for name, text in TEMPLATES.items() if "Creative Commons Attribution-" in text and name.endswith("-4.0-notice")}
+KEYS |= {name: f"CC {text.split()[3]}" for name, text in TEMPLATES.items() if name.endswith("-short-notice")}
+#: A license with such words stands in the place of those that its text holds as well.
+BEATS = {"BSD-3-Clause": ("BSD-2-Clause",), "GPL-2.0-notice": ("GPL-3.0-notice",)} | {name: ("CC-BY-4.0-notice",) for name in KEYS if name.startswith("CC-BY-") and not name.endswith("short-notice")}
 
 
 def align(text: list[int], template: list[int], begin: int = 0, end: int | None = None) -> list[tuple[int, int]]:
@@ -115,6 +132,14 @@ class Templates:
         self.words = [self.hashes(texts[k]) for k in self.names]
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
         self.limits = [Counter(w.tolist()) for w in self.words]
+        self.keys = [self._key(w, self.hashes(KEYS[k])) if texts[k] is TEMPLATES.get(k) and k in KEYS else range(0) for k, w in zip(self.names, self.words, strict=True)]
+        self.losers = {x for k in self.names for x in BEATS.get(k, ())}
+
+    @staticmethod
+    def _key(words: np.ndarray, key: np.ndarray) -> range:
+        """Places of the key in the template."""
+        at = next(k for k in range(len(words) - len(key) + 1) if (words[k : k + len(key)] == key).all())
+        return range(at, at + len(key))
 
     @staticmethod
     def hashes(text: str) -> np.ndarray:
@@ -137,20 +162,24 @@ def scan(data: np.ndarray, offsets: np.ndarray, templates: Templates, coverage:
         places = hit[cut[doc] : cut[doc + 1]]
         found = hashes[places]
         counts = Counter(found.tolist())
-        for name, template, limit in zip(templates.names, templates.words, templates.limits, strict=True):
+        start, kept = int(words[doc]), {}
+        for name, template, limit, key in zip(templates.names, templates.words, templates.limits, templates.keys, strict=True):
             need = max(1, int(np.ceil(coverage * len(template))))
-            if sum(min(n, counts.get(w, 0)) for w, n in limit.items()) < need:
+            if len(places) < need or sum(min(n, counts.get(w, 0)) for w, n in limit.items()) < need:
                 continue
             own = places[np.isin(found, template)]
-            best = None
             for low, high in _windows(own, len(template), need):
                 pairs = align(hashes[low:high].tolist(), template.tolist())
                 share = len(pairs) / len(template)
-                if share >= coverage and (best is None or share > best[2]):
-                    start = int(words[doc])
-                    best = (int(doc), name, share, low + pairs[0][0] - start, low + pairs[-1][0] + 1 - start, len(pairs))
-            if best:
-                yield best
+                if share >= coverage and set(key) <= {at for _, at in pairs}:
+                    kept.setdefault(name, []).append((int(doc), name, share, low + pairs[0][0] - start, low + pairs[-1][0] + 1 - start, len(pairs)))
+                    if share == 1 and name not in templates.losers:
+                        break
+        for name, rows in kept.items():
+            taken = [r for k, v in kept.items() if name in BEATS.get(k, ()) for r in v]
+            rows = [r for r in rows if not any(r[3] < t[4] and t[3] < r[4] for t in taken)]
+            if rows:
+                yield max(rows, key=lambda r: r[2])
 
 
 def scan_licenses(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
