@@ -3,7 +3,7 @@
 A text is held against every license template. Words that occur once in the template and once
 in the stretch of text at hand are anchors; the longest run of anchors in the same order in both is
 kept (longest increasing subsequence), and the gaps between kept anchors are aligned in the
-same way, down to plain equal runs. Coverage is the share of template words that are aligned.
+same way, by the longest equal run where no word is left that occurs once in both. Coverage is the share of template words that are aligned.
 
 Every whole text is read. A text is aligned with a template only if it holds enough of the
 template's words at all: coverage can't be higher than the share of template words (as often as they
@@ -76,6 +76,10 @@ def align(text: list[int], template: list[int], begin: int = 0, end: int | None
         place = {w: k for k, w in enumerate(template[c:d], c) if in_template[w] == 1 and in_text.get(w) == 1}
         anchors = [(k, place[w]) for k, w in enumerate(text[a:b], a) if w in place]
         chain = _rising(anchors)
+        if not chain:
+            # every common word stands more than once on a side: the longest equal run
+            x, u, n = _longest_run(text, template, a, b, c, d)
+            chain = [(x + k, u + k) for k in range(n)]
         if not chain:
             continue
         out += chain
@@ -84,6 +88,22 @@ def align(text: list[int], template: list[int], begin: int = 0, end: int | None
     return sorted(out)
 
 
+def _longest_run(text: list[int], template: list[int], a: int, b: int, c: int, d: int) -> tuple[int, int, int]:
+    """Begin in text[a:b] and template[c:d], and length, of their longest equal run; the first of equally long ones."""
+    where: dict[int, list[int]] = {}
+    for k in range(c, d):
+        where.setdefault(template[k], []).append(k)
+    best, runs = (a, c, 0), {}
+    for k in range(a, b):
+        now = {}
+        for u in where.get(text[k], ()):
+            n = now[u] = runs.get(u - 1, 0) + 1
+            if n > best[2]:
+                best = (k - n + 1, u - n + 1, n)
+        runs = now
+    return best
+
+
 def _rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest chain of anchors whose second places rise; of equally long ones, that of the lowest piles."""
     tops: list[int] = []
@@ -105,6 +125,19 @@ def _rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def _windows(places: np.ndarray, size: int, need: int) -> Iterator[tuple[int, int]]:
+    """Dense stretches; of one longer than twice the template, stretches of that length that slide over it.
+
+    Up to four times the template it also counts as a whole, after its parts.
+    """
+    for low, high in _dense(places, size, need):
+        if high - low > 2 * size:
+            for at in range(low, high - 2 * size + max(1, size // 2), max(1, size // 2)):
+                yield at, min(at + 2 * size, high)
+        if high - low <= 4 * size:
+            yield low, high
+
+
+def _dense(places: np.ndarray, size: int, need: int) -> Iterator[tuple[int, int]]:
     """Stretches of the text in which ``need`` words of the template stand within twice its length."""
     if len(places) < need:
         return
