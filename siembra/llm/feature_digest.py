@@ -2,7 +2,8 @@
 
 Every window of 32 bytes has an entropy. How often an entropy occurs in the whole corpus ranks
 it: the rarer, the lower the rank. In each run of 32 neighbouring windows the leftmost window of
-the lowest rank scores a point; windows with ``POPULAR`` points are the features of a text.
+the lowest rank scores a point; windows with ``POPULAR`` points are the features of a text, or those with
+the most points where none has as many.
 Their hashes go, five bits each, into Bloom filters of 2048 bits, a new filter being chained on
 after 160 features. Two digests are compared filter by filter: common bits beyond what chance
 gives, over the most they could have in common.
@@ -78,7 +79,7 @@ def ranks_of(counts: np.ndarray) -> np.ndarray:
 def features(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Text and hash of every feature, by text and place; each hash once a text.
 
-    A text below WINDOW bytes is one feature, an empty one has none.
+    A text below WINDOW bytes is one feature, an empty one has none; any other has at least one.
     """
     size = np.diff(offsets)
     docs, hashes, places = [], [], []
@@ -94,7 +95,11 @@ def features(data: np.ndarray, offsets: np.ndarray, ranks: np.ndarray) -> tuple[
                 least = np.minimum(least[:-width], least[width:])
         runs = np.flatnonzero(left[: len(least)] >= 2 * WINDOW - 1) if len(bins) >= WINDOW else np.zeros(0, np.int64)
         points = np.bincount(least[runs] & 0xFFFFFFFF, minlength=len(bins))
-        chosen = np.flatnonzero(points >= POPULAR)
+        scored = np.flatnonzero(points)
+        owner = np.searchsorted(offsets, scored, "right") - 1
+        top = np.zeros(len(size), np.int64)
+        np.maximum.at(top, owner, points[scored])
+        chosen = scored[points[scored] >= np.minimum(top[owner], POPULAR)]
         few = np.flatnonzero((size >= WINDOW) & (size < 2 * WINDOW - 1))
         lone = np.array([key[offsets[k] : offsets[k + 1] - WINDOW + 1].min() & 0xFFFFFFFF for k in few], np.int64)
         pos = np.sort(np.concatenate([chosen, lone]))
