@@ -9,7 +9,9 @@ stands, and each run of SEED + SPAN - 1 = 39 words holds at least one.
 2. What may repeat is sorted by its words: seed, then the ``RIGHT`` words from there on, as range
    partitions. A passage in a third of all documents is spread over as many partitions as its
    suffixes need, since id and place are part of the order.
-3. Neighbours in that order are compared: words in common to the right and, from the ``LEFT``
+   A second copy is sorted by seed and the ``LEFT`` words before it, so that passages that agree further
+   to the left meet although others with the same seed agree with them further to the right.
+3. Neighbours in both orders are compared: words in common to the right and, from the ``LEFT``
    words carried along, to the left. Both ends of every partition are compared once more
    with those of the next, a few rows for each partition.
 4. A match of ``min_words`` or more is a span in both texts; spans of a text that overlap are merged.
@@ -176,16 +178,20 @@ def repeated_passages(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bits = bit_filter(counted.select("seed"), "seed", FILTER_WORDS)
     suffix_schema = T.StructType([T.StructField("seed", T.LongType()), T.StructField("right", T.BinaryType()), T.StructField("left", T.BinaryType()), T.StructField("doc", T.LongType()), T.StructField("id", kind), T.StructField("place", T.LongType())])
     maybe = texts.mapInArrow(suffixes, suffix_schema).where(may_hold(bits, F.col("seed"), FILTER_WORDS))
-    order = ["seed", "right", "doc", "place"]
+    orders = (["seed", "right", "doc", "place"], ["seed", "left", "right", "doc", "place"])
     out = T.StructType([*suffix_schema, T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("match", kind), T.StructField("edge", T.BooleanType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shape = to_arrow_schema(out)
     run = lambda it: _compare(it, min_words, shape)
-    compared = materialise(materialise(maybe, "passages-suffixes").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, out), "passages-spans")
-    # a few rows for each partition, whatever the input
-    ends = compared.where("edge").select(*suffix_schema.names).coalesce(1).sortWithinPartitions(*order).mapInArrow(run, out)
-    spans = compared.unionByName(ends).where("not edge").groupBy("doc", "id", "start", "stop").agg(F.min("match").alias("match"))
+    kept = materialise(maybe, "passages-suffixes")
+    found = []
+    for order in orders:
+        compared = materialise(kept.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(run, out), "passages-spans")
+        # a few rows for each partition, whatever the input
+        ends = compared.where("edge").select(*suffix_schema.names).coalesce(1).sortWithinPartitions(*order).mapInArrow(run, out)
+        found.append(compared.unionByName(ends))
+    spans = found[0].unionByName(found[1]).where("not edge").groupBy("doc", "id", "start", "stop").agg(F.min("match").alias("match"))
     by_start = Window.partitionBy("doc", "id").orderBy("start", "stop")
     before = F.max("stop").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
     islands = spans.withColumn("fresh", (before.isNull() | (F.col("start") > before)).cast("int")).withColumn("island", F.sum("fresh").over(by_start.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
