@@ -3,12 +3,14 @@
 1. Every text becomes its set of ``size``-word shingles and a sketch: for each of ``COORDS``
    hash functions the shingle with the least hash. Texts with the same set are one class.
 2. Chosen paths: a bucket of classes (at first all) is split by a few of its coordinates, drawn
-   with probability 1 / (similarity * COORDS) each; classes that share the sampled shingle go
+   with probability BRANCHES / COORDS each; classes that share the sampled shingle go
    to the same child. Small buckets are compared by brute force on the sketches. A larger one
-   is first linked to a pivot; its rows go on to the children, but children whose rows all hang
-   on the same pivot have nothing new to tell and end there. What is still large at
-   ``MAX_DEPTH`` is compared in tiles. Runs repeat until a pair at the threshold is met with
-   probability ``recall``, by the survival of the branching process at that depth.
+   is first linked to a pivot. Rows far from the pivot go on to the children; a row near it goes on
+   only if some row far from the pivot may be similar to it, as the nearest of those tells (distances obey
+   the triangle inequality). So a bucket of copies ends at its pivot, whatever its size, and
+   one of texts that only share a line is split further. Runs repeat until a pair at the threshold is met with
+   probability ``recall``: a pair survives ever deeper splits with a probability that stays above
+   a floor, for it shares more than one drawn shingle of a bucket on average.
 3. Candidates are closed to components, and each component's whole texts are compared exactly
    (all pairs, as one matrix product in tiles of ``TILE``), so a path that misses one of many
    links inside a component loses nothing.
@@ -35,13 +37,15 @@ from siembra.llm.textkit import mix, shingles, span_hashes, word_bounds
 COORDS = 64
 #: Classes of a bucket that are compared directly; a larger bucket is split.
 BUCKET = 1000
+#: Coordinates that a bucket is split by on average.
+BRANCHES = 2.0
 #: Splits of a bucket at most; then tiles of LAST rows are compared with each other.
-MAX_DEPTH, LAST = 3, 4096
+MAX_DEPTH, LAST = 8, 4096
 #: Estimated similarity that links a row of a large bucket to its pivot. Links only close
 #: candidates to components, which are compared exactly, so it may lie below the threshold.
 PIVOT = 0.5
 #: Estimates may be off by so much where a row is left out by the triangle inequality.
-SLACK = 0.1
+SLACK = 0.15
 TILE = 256
 #: Pairs of sketches compared at once: two copies of 256 bytes each.
 PAIRS = 1 << 15
@@ -90,7 +94,7 @@ def survival(similarity: float, depth: int) -> float:
     """Chance that one run keeps a pair at the threshold together for ``depth`` splits."""
     p = 1.0
     for _ in range(depth):
-        p = 1 - (1 - p / COORDS) ** COORDS
+        p = 1 - (1 - p * similarity * BRANCHES / COORDS) ** COORDS
     return p
 
 
@@ -98,17 +102,17 @@ def runs_for(recall: float, similarity: float, depth: int) -> int:
     return math.ceil(math.log(1 - recall) / math.log(1 - survival(similarity, depth)))
 
 
-def _drawn(nodes: np.ndarray, similarity: float) -> np.ndarray:
+def _drawn(nodes: np.ndarray) -> np.ndarray:
     """(nodes x COORDS): the coordinates that a node splits on; at least one."""
     draw = mix(nodes[:, None] ^ _SEEDS[None, :]) >> np.uint64(11)
-    chosen = draw < np.uint64((1 << 53) / (similarity * COORDS))
+    chosen = draw < np.uint64((1 << 53) * BRANCHES / COORDS)
     chosen[np.arange(len(nodes)), draw.argmin(1)] = True
     return chosen
 
 
-def _children(nodes: np.ndarray, sketch: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+def _children(nodes: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and child buckets of rows (node, sketch)."""
-    row, coord = np.nonzero(_drawn(nodes, similarity))
+    row, coord = np.nonzero(_drawn(nodes))
     return row, mix(nodes[row] ^ mix((sketch[row, coord].astype(np.uint64) << np.uint64(8)) | coord.astype(np.uint64))).astype(np.int64)
 
 
@@ -160,28 +164,21 @@ def _brute(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             yield pa.RecordBatch.from_pydict({"u": u, "v": v})
 
 
-def _split(batches: Iterator[pa.RecordBatch], similarity: float, least: float) -> Iterator[pa.RecordBatch]:
-    """Rows of large buckets: an edge to the pivot if near, and a row for each child bucket.
+def _judge(batches: Iterator[pa.RecordBatch], need: int) -> Iterator[pa.RecordBatch]:
+    """Rows of large buckets with the coordinates they share with their pivot; near ones hang on it from now on."""
+    for batch in batches:
+        if batch.num_rows:
+            cls, pivot = batch.column("cls").to_numpy(), batch.column("pivot").to_numpy()
+            agree = (_matrix(batch.column("sketch")) == _matrix(batch.column("pivot_sketch"))).sum(1)
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), batch.column("cls"), pa.array(np.where(agree >= need, pivot, cls)), pa.array(agree.astype(np.int32)), batch.column("sketch")], names=["bucket", "cls", "held", "agree", "sketch"])
 
-    A row so near the pivot that whatever is similar to it must hang on the pivot too (distances
-    obey the triangle inequality) has nothing to find in the children.
-    """
-    need = math.ceil(least * COORDS)
-    settled = math.ceil((least + 1 - similarity + SLACK) * COORDS)
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each child bucket."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        cls, pivot = batch.column("cls").to_numpy(), batch.column("pivot").to_numpy()
-        sketch, other = _matrix(batch.column("sketch")), _matrix(batch.column("pivot_sketch"))
-        agree = (sketch == other).sum(1)
-        near = agree >= need
-        go_on = np.flatnonzero(agree < settled)
-        row, child = _children(batch.column("bucket").to_numpy().astype(np.uint64)[go_on], sketch[go_on], similarity)
-        row = go_on[row]
-        held = np.where(near, pivot, cls)
-        yield pa.RecordBatch.from_pydict({"bucket": child, "cls": cls[row], "held": held[row]})
-        linked = np.flatnonzero(near & (cls != pivot))
-        yield pa.RecordBatch.from_pydict({"bucket": pa.nulls(len(linked), pa.int64()), "cls": cls[linked], "held": pivot[linked]})
+        if batch.num_rows:
+            row, child = _children(batch.column("bucket").to_numpy().astype(np.uint64), _matrix(batch.column("sketch")))
+            yield pa.RecordBatch.from_pydict({"bucket": child, "cls": batch.column("cls").to_numpy()[row], "held": batch.column("held").to_numpy()[row]})
 
 
 def jaccard_matrix(tokens: np.ndarray, offsets: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
@@ -249,7 +246,6 @@ def near_classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     An empty table gives an empty result.
     """
     bound_batches(df.sparkSession)
-    spark = df.sparkSession
     least = similarity - 3 * math.sqrt(similarity * (1 - similarity) / COORDS)
     id_type = df.schema[id_col].dataType
     texts = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("text_hash", F.xxhash64("text"))
@@ -301,7 +297,7 @@ def _paths(classes: DataFrame, runs: int, similarity: float, least: float) -> li
         for batch in batches:
             cls, sketch = batch.column("cls").to_numpy(), _matrix(batch.column("sketch")) if batch.num_rows else np.zeros((0, COORDS), np.uint32)
             for node in roots:
-                row, child = _children(np.full(len(cls), node), sketch, similarity)
+                row, child = _children(np.full(len(cls), node), sketch)
                 yield pa.RecordBatch.from_pydict({"bucket": child, "cls": cls[row], "held": cls[row]})
 
     known = classes.select("cls", "sketch")
@@ -324,9 +320,14 @@ def _paths(classes: DataFrame, runs: int, similarity: float, least: float) -> li
         # one pivot for a bucket of more than BUCKET rows: few beside the rows
         pivots = large.select("bucket", "pivot").distinct().join(known.select(F.col("cls").alias("pivot"), F.col("sketch").alias("pivot_sketch")), "pivot").select("bucket", "pivot", "pivot_sketch")
         both = large.select("bucket", "cls").join(known, "cls").join(pivots, "bucket").select("bucket", "cls", "sketch", "pivot", "pivot_sketch")
-        step = materialise(both.mapInArrow(lambda it: _split(it, similarity, min(least, PIVOT)), "bucket long, cls long, held long"), "near-split")
-        edges.append(step.where("bucket is null").select(F.col("cls").alias("u"), F.col("held").alias("v")))
-        frontier = step.where("bucket is not null")
+        need = math.ceil(min(least, PIVOT) * COORDS)
+        judged = materialise(both.mapInArrow(lambda it, n=need: _judge(it, n), "bucket long, cls long, held long, agree int, sketch binary"), "near-judged")
+        edges.append(judged.where(f"agree >= {need} and cls <> held").select(F.col("cls").alias("u"), F.col("held").alias("v")))
+        # the row nearest to the pivot among those that don't hang on it says which of the others may be similar to one of them
+        nearest = judged.where(F.col("agree") < need).groupBy("bucket").agg(F.max("agree").alias("nearest"))
+        reach = (1 - similarity + SLACK) * COORDS
+        onward = judged.join(nearest, "bucket").where((F.col("agree") < need) | (F.col("agree") <= F.col("nearest") + reach))
+        frontier = materialise(onward.select("bucket", "cls", "held", "sketch").mapInArrow(_split, "bucket long, cls long, held long"), "near-buckets")
     return edges
 
 

@@ -3,7 +3,7 @@
 Detected entities are replaced by others of the same type, made from a keyed hash of the entity:
 the same entity gets the same surrogate in every document (coreference), and shape is kept:
 digits stay digits, letters keep their case and script, separators stay, cards keep their check
-digit's validity, addresses keep their top-level domain and share a surrogate domain if they shared a domain,
+digit's validity and IBANs their country and valid check digits, addresses keep their top-level domain and share a surrogate domain exactly if they shared a domain,
 names keep gender and script and are replaced part by part.
 
 Distinctness is checked over the corpus: the distinct entities (combined before the shuffle) are
@@ -16,6 +16,7 @@ text's hash; usually there are few or none.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siembra.llm.shared import bound_batches, materialise, text_of
+from siembra.llm.shared import bit_filter, bound_batches, chunks, discard, materialise, may_hold, text_of
 
 #: After so many attempts a surrogate may be longer than the entity.
 WIDEN = 4
@@ -35,8 +36,16 @@ ROUNDS = 40
 # Titles that name a gender, and given names by gender and script.
 TITLES = {"Mr": "m", "Mister": "m", "Herr": "m", "Monsieur": "m", "Señor": "m", "Sr": "m", "Don": "m", "Господин": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Frau": "f", "Madame": "f", "Mme": "f", "Señora": "f", "Sra": "f", "Doña": "f", "Госпожа": "f", "Dr": "n", "Prof": "n"}
 GIVEN = {
-    "m": "James John Robert Michael William David Richard Thomas Daniel Paul Peter Hans Klaus Jürgen Wolfgang Pierre Jacques François Antoine José Juan Carlos Miguel Luis Pedro Иван Пётр Алексей Сергей Дмитрий Николай".split(),
-    "f": "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah Karen Nancy Emma Ursula Monika Petra Sabine Marie Isabelle Camille Élodie María Carmen Josefa Lucía Isabel Ольга Мария Елена Наталья Татьяна Светлана".split(),
+    "m": (
+        "James John Robert Michael William David Richard Thomas Daniel Paul Peter Charles Joseph Mark George Steven Andrew Kevin Brian Edward Matthew Anthony Henry Jack Oliver "
+        "Hans Klaus Jürgen Wolfgang Stefan Andreas Markus Uwe Dieter Pierre Jacques François Antoine Louis Luc Philippe Mathieu José Juan Carlos Miguel Luis Pedro Javier Diego Jorge Fernando "
+        "Giovanni Marco Luca Paolo João Paulo Akira Hiroshi Kenji Takashi Raj Rahul Amit Arjun Vikram Ahmed Mohammed Omar Ali Hassan Wei Jun Min Иван Пётр Алексей Сергей Дмитрий Николай Андрей Михаил Владимир"
+    ).split(),
+    "f": (
+        "Mary Patricia Jennifer Linda Elizabeth Barbara Susan Sarah Karen Nancy Emma Jane Anna Alice Laura Julia Emily Olivia Sophia Margaret Helen Ruth Amy Rachel Lisa Kate "
+        "Ursula Monika Petra Sabine Heike Ingrid Greta Marie Isabelle Camille Élodie Chloé Amélie Sophie María Carmen Josefa Lucía Isabel Ana Pilar Elena Rosa Teresa "
+        "Giulia Chiara Francesca Paola Yuki Sakura Naoko Keiko Priya Anjali Lakshmi Sunita Fatima Aisha Leila Mei Ling Ольга Мария Елена Наталья Татьяна Светлана Анна Ирина Екатерина"
+    ).split(),
 }
 _GENDER = {name: g for g, names in GIVEN.items() for name in names}
 _NUMBER = re.compile(r"(?<![\w.+])(?:\+ ?)?\(?\d(?:[ .()\-]{0,2}\d){6,}(?![\w]|[.\-]\d)")
@@ -48,9 +57,12 @@ _PARTS = ((_SSN, "ssn", False), (_CARD, "card", True), (_PHONE, "phone", False),
 _EMAIL = re.compile(r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62}\.)+[A-Za-z]{2,24}(?![A-Za-z0-9\-])")
 _SECRET = re.compile(r"(?i)\b(?:token|secret|password|passwd|api[_-]?key|access[_-]?key)\s*[=:]\s*[\"']?([A-Za-z0-9_\-/+]{12,})")
 _KEY = re.compile(r"\b(?:AKIA[0-9A-Z]{16}|ghp_[A-Za-z0-9]{36}|sk-[A-Za-z0-9]{20,})\b")
-_WORD = r"[^\W\d_][^\W\d_'’\-]+"
+_WORD = r"(?=\w[\w'’\-])[^\W\d_]+(?:['’\-](?!s\b)[^\W\d_]+)*"
+_JOINS = re.compile(r"(['’\-])")
 _TITLED = re.compile(r"\b(" + "|".join(sorted(TITLES, key=len, reverse=True)) + rf")\.? ({_WORD})(?: ({_WORD}))?")
 _NAMED = re.compile(r"\b(" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf") ({_WORD})")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?:(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?|[A-Z0-9]{11,30})(?![A-Za-z0-9])")
+_IPV6 = re.compile(r"(?<![\w:.])[0-9A-Fa-f:]{2,39}(?![\w:])")
 _IP = re.compile(r"(?:\d{1,3}\.){3}\d{1,3}")
 
 
@@ -71,6 +83,21 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban_valid(iban: str) -> bool:
+    """Whether the check digits of an IBAN without spaces hold."""
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
+
+
+def _is_ipv6(text: str) -> bool:
+    if text.count(":") < 2:
+        return False
+    try:
+        ipaddress.IPv6Address(text)
+    except ValueError:
+        return False
+    return any(c.isalnum() for c in text)
+
+
 def _number(text: str) -> str | None:
     """Kind of a run of digits and separators."""
     if _IP.fullmatch(text):
@@ -124,6 +151,12 @@ def _script(word: str) -> str:
 def detect(text: str) -> list[Entity]:
     """Entities of a text in order; of overlapping ones the first, then the longest."""
     found: list[Entity] = []
+    for m in _IBAN.finditer(text):
+        canon = m[0].replace(" ", "")
+        if 15 <= len(canon) <= 34 and iban_valid(canon):
+            found.append(Entity(m.start(), m.end(), "iban", canon))
+    if text.count(":") > 1:
+        found += [Entity(m.start(), m.end(), "ipv6", m[0].lower()) for m in _IPV6.finditer(text) if _is_ipv6(m[0])]
     for m in _NUMBER.finditer(text):
         for a, b, kind in _numbers(text, m.start(), m.end()):
             canon = text[a:b] if kind == "ip" else "".join(c for c in text[a:b] if c.isdigit())
@@ -171,16 +204,23 @@ _VOWELS = {"latin": "aeiou", "cyrillic": "аеиоу"}
 _ENDINGS = {("given:m", "latin"): ["n", "r", "s"], ("given:f", "latin"): ["a"], ("surname:n", "latin"): ["n", "r", "ck", "s"], ("given:m", "cyrillic"): ["н", "р"], ("given:f", "cyrillic"): ["на", "ла"], ("surname:m", "cyrillic"): ["ов", "ин"], ("surname:f", "cyrillic"): ["ова", "ина"], ("surname:n", "cyrillic"): ["енко"]}
 
 
-def _name(kind: str, stream: Iterator[int], attempt: int) -> str:
+def _name(kind: str, canon: str, stream: Iterator[int], attempt: int) -> str:
+    """A name of the same role, gender and script; parts that a hyphen or apostrophe joins are replaced one by one."""
     _, role, gender, script = kind.split(":")
-    out = ""
-    for _ in range(3 + attempt // WIDEN):
-        out += _ONSETS[script][_below(stream, len(_ONSETS[script]))] + _VOWELS[script][_below(stream, 5)]
-    endings = _ENDINGS[(f"{role}:{gender}", script)]
-    ending = endings[_below(stream, len(endings))]
-    if ending[0] in _VOWELS[script]:
-        out = out[:-1]
-    return (out + ending).capitalize()
+
+    def part(word: str) -> str:
+        if len(word) == 1:  # a joint, or the O of O'Brien
+            return word if not word.isalpha() else _ONSETS[script][_below(stream, 12)].upper()
+        out = ""
+        for _ in range(3 + attempt // WIDEN):
+            out += _ONSETS[script][_below(stream, len(_ONSETS[script]))] + _VOWELS[script][_below(stream, 5)]
+        endings = _ENDINGS[(f"{role}:{gender}", script)]
+        ending = endings[_below(stream, len(endings))]
+        if ending[0] in _VOWELS[script]:
+            out = out[:-1]
+        return (out + ending).capitalize()
+
+    return "".join(part(x) for x in _JOINS.split(canon) if x)
 
 
 def _alike(text: str, stream: Iterator[int], hexadecimal: bool = False) -> str:
@@ -204,10 +244,19 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         if kind == "ip":
             out = ".".join(str(1 + _below(stream, 223)) if k == 0 else str(_below(stream, 256)) for k in range(4))
         elif kind == "email":
+            # the domain is an entity of its own: domains map one to one, so local parts have to differ by domain only
             local, _, domain = canon.rpartition("@")
-            labels = domain.split(".")
-            names = _stream(key, "domain", domain, 0)
-            out = _alike(local, stream) + "".join(chr(97 + _below(stream, 26)) for _ in range(2 * (attempt // WIDEN))) + "@" + ".".join([*(_alike(x, names) for x in labels[:-1]), labels[-1]])
+            out = _alike(local, stream) + "".join(chr(97 + _below(stream, 26)) for _ in range(2 * (attempt // WIDEN))) + "@" + domain
+        elif kind == "domain":
+            labels = canon.split(".")
+            labels[:-1] = [_alike(x, stream) for x in labels[:-1]]
+            labels[-2] += "".join(chr(97 + _below(stream, 26)) for _ in range(attempt // WIDEN))
+            out = ".".join(labels)
+        elif kind == "iban":
+            rest = _alike(canon[4:], stream)
+            out = next(x for k in range(2, 99) if iban_valid(x := f"{canon[:2]}{k:02d}{rest}"))
+        elif kind == "ipv6":
+            out = _alike(canon, stream, True)
         elif kind == "card":
             body = canon[0] + _alike(canon[1:-1], stream)
             valid = next(c for c in "0123456789" if luhn(body + c))
@@ -220,7 +269,7 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         elif kind == "secret":
             out = _alike(canon, stream, bool(re.fullmatch(r"[0-9a-fA-F]+", canon))) + "".join(str(_below(stream, 10)) for _ in range(attempt // WIDEN))
         else:
-            out = _name(kind, stream, attempt)
+            out = _name(kind, canon, stream, attempt)
         if out != canon:
             return out
     return out
@@ -231,7 +280,10 @@ def shaped(entity: str, kind: str, out: str) -> str:
     if kind in ("card", "phone", "ssn"):
         digits = iter(out)
         return "".join(next(digits) if c.isdigit() else c for c in entity)
-    if kind == "email":
+    if kind == "iban":
+        signs = iter(out)
+        return "".join(next(signs) if c != " " else c for c in entity)
+    if kind in ("email", "ipv6"):
         return out.upper() if entity.isupper() else out
     return out
 
@@ -240,7 +292,11 @@ def replace(text: str, entities: list[Entity], key: bytes, attempts: dict[tuple[
     """The text with surrogates, and where they stand in it."""
     parts, spans, at, size = [], [], 0, 0
     for e in entities:
-        new = shaped(text[e.start : e.end], e.kind, surrogate(key, e.kind, e.canon, attempts.get((e.kind, e.canon), 0)))
+        made = surrogate(key, e.kind, e.canon, attempts.get((e.kind, e.canon), 0))
+        if e.kind == "email":
+            local, _, domain = made.rpartition("@")
+            made = f"{local}@{surrogate(key, 'domain', domain, attempts.get(('domain', domain), 0))}"
+        new = shaped(text[e.start : e.end], e.kind, made)
         parts += [text[at : e.start], new]
         size += e.start - at
         spans.append({"kind": e.kind, "start": size, "end": size + len(new)})
@@ -271,10 +327,21 @@ def assign(entities: DataFrame, key: bytes) -> DataFrame:
         judged = settled.join(real, (F.col("kind") == F.col("o_kind")) & (F.col("made") == F.col("o_made")), "left")
         loses = F.col("o_made").isNotNull() & (F.col("real") | (F.col("first.canon") != F.col("canon")))
         again = judged.where(loses).select("kind", "canon", (F.col("attempt") + 1).alias("attempt")).mapInArrow(name, shape)
-        settled = materialise(judged.where(~loses).select("kind", "canon", "attempt", "made").unionByName(again), "surrogates")
+        before, settled = settled, materialise(judged.where(~loses).select("kind", "canon", "attempt", "made").unionByName(again), "surrogates")
+        discard(before, real)
     else:
         raise RuntimeError(f"surrogates still clash after {ROUNDS} rounds")
-    return settled.where("attempt > 0").select("kind", "canon", "attempt")
+    later = materialise(settled.where("attempt > 0").select("kind", "canon", "attempt"), "surrogates-later")
+    discard(settled, real)
+    return later
+
+
+def _wanted(found: list[Entity]) -> Iterator[tuple[str, str]]:
+    """Kind and canonical form of what needs a surrogate: the entities, and the domains of addresses."""
+    for e in found:
+        yield e.kind, e.canon
+        if e.kind == "email":
+            yield "domain", e.canon.rpartition("@")[2]
 
 
 def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -282,16 +349,17 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
 
     One row per input row. Null and empty texts stay empty and have no entities; texts without
     entities are unchanged. The key is text of 1 to 64 bytes; another key gives other surrogates.
-    Repeated rows are treated alike. Other columns aren't read.
+    Repeated rows are treated alike; an empty table gives an empty result. Other columns aren't read.
+    Names are found by a title or by a given name of ``GIVEN``, two capitalised words; others stay.
     """
     bound_batches(df.sparkSession)
     secret = key.encode()
     base = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [(h, e.kind, e.canon) for h, t in zip(batch.column("hash").to_pylist(), batch.column("text").to_pylist(), strict=True) for e in detect(t)]
-            yield pa.RecordBatch.from_pydict({"hash": pa.array([r[0] for r in rows], pa.int64()), "kind": pa.array([r[1] for r in rows], pa.string()), "canon": pa.array([r[2] for r in rows], pa.string())})
+        for part, _, _ in chunks(batches):
+            rows = {(h, *x) for h, t in zip(part.column("hash").to_pylist(), part.column("text").to_pylist(), strict=True) for x in _wanted(detect(t))}
+            yield pa.RecordBatch.from_pydict({name: pa.array([r[k] for r in rows], kind) for k, (name, kind) in enumerate((("hash", pa.int64()), ("kind", pa.string()), ("canon", pa.string())))})
 
     met = materialise(base.select("hash", "text").mapInArrow(find, "hash long, kind string, canon string"), "entities")
     later = assign(met.select("kind", "canon").distinct(), secret)
@@ -299,20 +367,23 @@ def pseudonymise(df: DataFrame, key: str, id_col: str = "doc_id", text_col: str
     from pyspark.sql.pandas.types import to_arrow_schema
 
     shape = to_arrow_schema(schema)
-    if later.isEmpty():
-        told = base.withColumn("later", F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
-    else:
-        by_text = met.distinct().join(later, ["kind", "canon"]).groupBy("hash").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("later"))
-        told = base.join(by_text, "hash", "left")
+    # texts that hold an entity, and those that hold one with a later attempt: only these are searched again, and only the latter are shuffled
+    by_text = materialise(met.join(later, ["kind", "canon"]).groupBy("hash").agg(F.collect_set(F.struct("kind", "canon", "attempt")).alias("later")), "surrogates-by-text")
+    holds = materialise(met.select("hash").distinct(), "entity-texts")
+    discard(met, later)
+    marked = base.withColumn("holds", may_hold(bit_filter(holds, "hash"), F.col("hash")))
+    told = may_hold(bit_filter(by_text.select("hash"), "hash"), F.col("hash"))
+    plain = marked.where(~told).select("id", "text", "holds", F.lit(None).cast(by_text.schema["later"].dataType).alias("later"))
+    joined = marked.where(told).join(by_text, "hash", "left").select("id", "text", "holds", "later")
 
     def put(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part, _, _ in chunks(batches):
             texts, spans = [], []
-            for text, more in zip(batch.column("text").to_pylist(), batch.column("later").to_pylist(), strict=True):
-                new, where = replace(text, detect(text), secret, {(x["kind"], x["canon"]): x["attempt"] for x in more or ()})
+            for text, some, more in zip(part.column("text").to_pylist(), part.column("holds").to_pylist(), part.column("later").to_pylist(), strict=True):
+                new, where = replace(text, detect(text), secret, {(x["kind"], x["canon"]): x["attempt"] for x in more or ()}) if some else (text, [])
                 texts.append(new)
                 spans.append(where)
-            columns = [batch.column("id"), pa.array(texts, pa.string()), pa.array([len(x) for x in spans], pa.int32()), pa.array(spans, shape.field("entities").type)]
+            columns = [part.column("id"), pa.array(texts, pa.string()), pa.array([len(x) for x in spans], pa.int32()), pa.array(spans, shape.field("entities").type)]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, shape, strict=True)], schema=shape)
 
-    return told.select("id", "text", "later").mapInArrow(put, schema)
+    return plain.unionByName(joined).mapInArrow(put, schema)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import ctypes
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -12,14 +15,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a Python step works on at once; a longer text is one chunk by itself.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
+#: Bytes of text after which a worker gives free memory back.
+TRIM_BYTES = 16 << 20
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+
+
+def give_back() -> None:
+    """Give what the worker has freed back to the machine: workers outlive their tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; one of our own only where none is set, as in tests."""
+    """The shared folder of the session, ``spark.checkpoint.dir``.
+
+    Where none is set, a local session (as in tests) gets a folder of its own; on a cluster that is
+    an error, for executors don't share a machine's temporary folder.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = tempfile.mkdtemp(prefix="siembra-")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-siembra-")
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", base)
     return base
 
@@ -28,12 +48,25 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there.
 
     A lost executor costs a re-read of the table instead of another run of what made it,
-    and later readers see the same rows in the same order and partitions.
+    and later readers see the same rows in the same order and partitions. ``discard`` deletes
+    the table once all that reads it is itself written.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of ``materialise``; call it only when everything that reads them is written."""
+    for table in tables:
+        path = getattr(table, "_scratch", None)
+        if path:
+            jvm, spark = table.sparkSession._jvm, table.sparkSession
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(where, True)
 
 
 #: Bytes of an Arrow batch between Spark and a Python worker; a longer row is a batch by itself.
@@ -68,16 +101,22 @@ def buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """Slices of Arrow batches with at most ``limit`` bytes of text, each with its bytes and offsets."""
+    seen, data = 0, None
     for batch in batches:
         if not batch.num_rows:
             continue
         data, offsets = buffers(batch.column(column))
+        seen += len(data)
+        if seen > TRIM_BYTES:
+            seen = 0
+            give_back()
         at = 0
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
             yield batch.slice(at, to - at), data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at]
             at = to
-    pa.default_memory_pool().release_unused()  # the worker outlives its task
+    batch = data = None
+    give_back()
 
 
 def bit_filter(keys: DataFrame, key: str, words: int = 1 << 17) -> DataFrame:

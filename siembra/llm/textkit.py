@@ -25,12 +25,14 @@ _LOWER[65:91] += _U(32)
 #: A value for each byte; upper case counts as lower case.
 _BYTE = mix(_LOWER + _U(1))
 _POWERS: dict[str, np.ndarray] = {}
+#: Bytes whose spans are hashed at once; a longer span is a block by itself.
+BLOCK = 1 << 17
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """The first n powers of the base and of its inverse, modulo 2^64."""
     if len(_POWERS.get("up", ())) < n:
-        size = max(n, 1 << 19)
+        size = max(n, BLOCK + 1)
         with np.errstate(over="ignore"):
             for name, factor in (("up", _BASE), ("down", _INVERSE)):
                 steps = np.full(size, factor, np.uint64)
@@ -55,14 +57,20 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 def span_hashes(data: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-    """A hash of the bytes of every span."""
-    if not len(first):
-        return np.zeros(0, np.uint64)
-    up, down = _powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.zeros(len(data) + 1, np.uint64)
-        np.cumsum(_BYTE[data] * up[:-1], out=sums[1:])
-        return mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64))
+    """A hash of the bytes of every span; spans ascend and don't overlap."""
+    out = np.empty(len(first), np.uint64)
+    at = 0
+    while at < len(first):
+        to = max(at + 1, int(np.searchsorted(last, first[at] + BLOCK, "right")))
+        low, high = int(first[at]), int(last[to - 1])
+        up, down = _powers(high - low + 1)
+        with np.errstate(over="ignore"):
+            sums = np.zeros(high - low + 1, np.uint64)
+            np.cumsum(_BYTE[data[low:high]] * up[:-1], out=sums[1:])
+            a, b = first[at:to] - low, last[at:to] - low
+            out[at:to] = mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+        at = to
+    return out
 
 
 _STEPS = mix(np.arange(1, 65, dtype=np.uint64)) | _U(1)
