@@ -35,8 +35,9 @@ from siembra.llm.shared import bit_filter, bound_batches, chunks, materialise, m
 from siembra.llm.textkit import mix, shingles, span_hashes, word_bounds
 
 COORDS = 64
-#: Classes of a bucket that are compared directly; a larger bucket is split.
-BUCKET = 1000
+#: Classes of a bucket that are compared directly; a larger bucket is split. Comparing a row with so many
+#: others takes about as long (some 60 microseconds) as writing and shuffling its rows for the child buckets.
+BUCKET = 4096
 #: Coordinates that a bucket is split by on average.
 BRANCHES = 2.0
 #: Splits of a bucket at most; then tiles of LAST rows are compared with each other.
@@ -47,8 +48,8 @@ PIVOT = 0.5
 #: Estimates may be off by so much where a row is left out by the triangle inequality.
 SLACK = 0.15
 TILE = 256
-#: Pairs of sketches compared at once: two copies of 256 bytes each.
-PAIRS = 1 << 15
+#: Pairs of sketches compared at once, and the size from which a bucket is compared block by block.
+PAIRS, BLOCKED = 1 << 15, 128
 _SEEDS = mix(np.arange(1, COORDS + 1, dtype=np.uint64) * np.uint64(7919))
 _TOKEN_BITS = np.uint64(20)  # tokens are the upper 44 bits, so that a sort key also holds the text
 
@@ -140,15 +141,38 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+def _near_pairs(sketch: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of rows that agree on ``need`` coordinates at least by the low bytes of their names, block by block.
+
+    Low bytes agree wherever names do, and by chance on one of 256 other coordinates, so no pair is lost.
+    """
+    low = np.ascontiguousarray(sketch.astype(np.uint8))
+    at = 0
+    while at < len(low):
+        to = at + max(1, PAIRS // (len(low) - at))
+        equal = (low[at:to, None, :] == low[None, at:, :]).view(np.uint64)
+        left, right = np.nonzero(np.triu(np.bitwise_count(equal).sum(2, dtype=np.uint8) >= need, 1))
+        yield at + left, at + right
+        at = to
+
+
 def _brute(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.RecordBatch]:
     """Star edges of small buckets between classes whose sketches agree on ``least`` of the coordinates."""
     need = math.ceil(least * COORDS)
     for table in _whole_groups(batches, "bucket"):
         bucket, cls = table["bucket"].to_numpy(), table["cls"].to_numpy()
         sketch = _matrix(table["sketch"].combine_chunks())
-        end = np.searchsorted(bucket, bucket, "right")
-        later = end - np.arange(len(bucket)) - 1
-        us, vs = [], []
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
+        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if b - a > BLOCKED:
+                for left, right in _near_pairs(sketch[a:b], need):
+                    us.append(a + left)
+                    vs.append(a + right)
+        size = np.diff(cuts)
+        small = np.repeat(size <= BLOCKED, size)
+        end = np.repeat(cuts[1:], size)
+        later = np.where(small, end - np.arange(len(bucket)) - 1, 0)
         at = 0
         while at < len(bucket):  # rows at..to have at most PAIRS pairs, or the pairs of one row
             to = max(at + 1, int(np.searchsorted(np.cumsum(later[at : at + PAIRS]), PAIRS, "right")) + at)

@@ -22,7 +22,17 @@ def drifting(rng, n, clusters):
     return rows
 
 
-def test_recall_beyond_the_bucket_size(spark):
+def test_blocks_find_all_pairs():
+    rng = np.random.default_rng(2)
+    sketch = rng.integers(0, 3, (700, NJ.COORDS)).astype(np.uint32)
+    sketch[500:] = sketch[:200]
+    sketch[500:, :20] = 7
+    want = {(i, j) for i in range(700) for j in range(i + 1, 700) if (sketch[i] == sketch[j]).sum() >= 36}
+    assert want == {(int(i), int(j)) for left, right in NJ._near_pairs(sketch, 36) for i, j in zip(left, right, strict=True)}
+
+
+def test_recall_beyond_the_bucket_size(spark, monkeypatch):
+    monkeypatch.setattr(NJ, "BUCKET", 1000)
     rng = random.Random(5)
     texts = drifting(rng, 1600, 8) + drifting(rng, 1200, 1)
     base = texts[0].split()
