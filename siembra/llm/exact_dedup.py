@@ -2,7 +2,8 @@
 
 1. Every input partition hashes its texts (in the JVM) to ``20 + log2(rows)`` bits, sorts the
    hashes, cuts them into the ranges of the owners and sends each owner its range as a Golomb
-   code (unary quotients of the gaps, then fixed-width remainders).
+   code (unary quotients of the gaps, then fixed-width remainders), each distinct hash once,
+   with a bit for those that the sender has more than once.
 2. An owner decodes what all partitions sent, finds the hashes that occur more than once and
    answers every sender with a bitmap over the hashes in the order they were sent.
 3. Only rows whose bit is set are suspects. Their whole texts are grouped by the text itself -
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siembra.llm.shared import bit_filter, bound_batches, materialise, may_hold, text_of
+from siembra.llm.shared import bit_filter, bound_batches, materialise, may_hold, named, text_of
 
 #: Rows of a partition that one message to an owner covers at most.
 MESSAGE_ROWS = 1 << 20
@@ -76,10 +77,17 @@ def _send(batches: Iterator[pa.RecordBatch], owner_shift: int, schema: pa.Schema
         cuts = np.flatnonzero(np.diff(owners, prepend=-1))
         ends = np.append(cuts[1:], len(owners))
         base = owners[cuts].astype(np.uint64) << np.uint64(owner_shift)
-        codes = [golomb_encode(prints[a:b] - x) for a, b, x in zip(cuts, ends, base, strict=True)]
+        # each distinct fingerprint goes out once, with a bit for those that repeat here already
+        fresh = np.append(True, prints[1:] != prints[:-1])
+        codes, again, runs = [], [], []
+        for a, b, x in zip(cuts, ends, base, strict=True):
+            begins = np.flatnonzero(fresh[a:b])
+            codes.append(golomb_encode(prints[a:b][begins] - x))
+            again.append(np.packbits(np.diff(begins, append=b - a) > 1).tobytes())
+            runs.append(np.packbits(fresh[a:b]).tobytes())
         offsets = pa.array(np.append(cuts, len(owners)), pa.int32())
         spread = lambda name: pa.ListArray.from_arrays(offsets, rows[name].combine_chunks().take(pa.array(order)))
-        columns = [pa.array(owners[cuts]), pa.array(np.full(len(cuts), part, np.int64)), pa.array(codes, pa.binary()), spread("id"), spread("digest")]
+        columns = [pa.array(owners[cuts]), pa.array(np.full(len(cuts), part, np.int64)), *(pa.array(x, pa.binary()) for x in (codes, again, runs)), spread("id"), spread("digest")]
         return pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
     held, n, sender, message = [], 0, 0, 0
@@ -96,10 +104,14 @@ def _send(batches: Iterator[pa.RecordBatch], owner_shift: int, schema: pa.Schema
 
 
 def _answer(table: pa.Table) -> pa.Table:
-    """For one owner: a bitmap for every sender, set where a hash occurs more than once in all."""
+    """For one owner: a bitmap for every sender, set where a hash occurs more than once in all.
+
+    A sender names a hash once, so a text in a third of all rows costs its owner one code a sender.
+    """
     sent = [golomb_decode(x.as_py()) for x in table["code"]]
+    again = [np.unpackbits(np.frombuffer(x.as_py(), np.uint8))[: len(p)].astype(bool) for x, p in zip(table["again"], sent, strict=True)]
     values, counts = np.unique(np.concatenate(sent), return_counts=True)
-    twice = values[counts > 1]
+    twice = np.union1d(values[counts > 1], np.concatenate([p[x] for p, x in zip(sent, again, strict=True)]))
     return pa.table({"owner": table["owner"], "sender": table["sender"], "bitmap": pa.array([np.packbits(np.isin(x, twice)).tobytes() for x in sent], pa.binary())})
 
 
@@ -112,6 +124,8 @@ def _read_answers(batches: Iterator[pa.RecordBatch], owner_shift: int, schema: p
             prints = golomb_decode(row.column("code")[0].as_py()) + np.uint64(owner << owner_shift)
             bits = np.unpackbits(np.frombuffer(row.column("bitmap")[0].as_py(), np.uint8))[: len(prints)].astype(bool)
             ids, digests = row.column("id").flatten(), row.column("digest").flatten()
+            run = np.cumsum(np.unpackbits(np.frombuffer(row.column("runs")[0].as_py(), np.uint8))[: len(ids)].astype(np.int64)) - 1
+            prints, bits = prints[run], bits[run]
             columns = [ids, pa.array(prints.astype(np.int64)), digests, pa.array(bits), pa.array(np.full(len(prints), sender)), pa.array(np.arange(len(prints)) + (owner << 32))]
             yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
@@ -142,13 +156,13 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     hashed = lambda text: F.expr(f"shiftrightunsigned(xxhash64({text}), {64 - bits})")
 
     texts = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    sent_schema = T.StructType([T.StructField("owner", T.LongType()), T.StructField("sender", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("id", T.ArrayType(id_type)), T.StructField("digest", T.ArrayType(T.BinaryType()))])
+    sent_schema = T.StructType([T.StructField("owner", T.LongType()), T.StructField("sender", T.LongType()), T.StructField("code", T.BinaryType()), T.StructField("again", T.BinaryType()), T.StructField("runs", T.BinaryType()), T.StructField("id", T.ArrayType(id_type)), T.StructField("digest", T.ArrayType(T.BinaryType()))])
     arrow_sent = _arrow(sent_schema)
     messages = materialise(
         texts.select("id", hashed("text").alias("print"), F.unhex(F.sha2(F.col("text"), 256)).alias("digest"), F.spark_partition_id().cast("long").alias("part")).mapInArrow(lambda it: _send(it, owner_shift, arrow_sent), sent_schema),
         "exact-dedup",
     )
-    answers = messages.select("owner", "sender", "code").groupBy("owner").applyInArrow(_answer, "owner long, sender long, bitmap binary")
+    answers = messages.select("owner", "sender", "code", "again").groupBy("owner").applyInArrow(_answer, "owner long, sender long, bitmap binary")
     flagged_schema = T.StructType([T.StructField("id", id_type), T.StructField("print", T.LongType()), T.StructField("digest", T.BinaryType()), T.StructField("suspect", T.BooleanType()), T.StructField("sender", T.LongType()), T.StructField("place", T.LongType())])
     arrow_flagged = _arrow(flagged_schema)
     flagged = materialise(messages.join(answers, ["owner", "sender"]).mapInArrow(lambda it: _read_answers(it, owner_shift, arrow_flagged), flagged_schema), "exact-dedup-rows")
@@ -187,17 +201,18 @@ def drop_copies(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of ``df`` that ``exact_dedup`` keeps, with their columns.
 
     Rows without an id can't be told apart by it: of those with the same text one stays,
-    and none beside a row with an id and that text.
+    and none beside a row with an id and that text. An empty table stays empty. Columns whose
+    name begins with ``__`` are reserved; others may have any name.
     """
     found = materialise(exact_dedup(df, id_col, text_col).where("group_size > 1"), "exact-dedup-copies")
     # ids whose rows all go; an id with a kept row and a dropped one repeats whole rows
-    fate = found.groupBy(F.col(id_col).alias("fate_id"), F.col("text_sha256").alias("fate_digest")).agg(F.max("kept").alias("any_kept"), F.min("kept").alias("all_kept")).where("not all_kept")
+    fate = found.groupBy(F.col(id_col).alias("__fate_id"), F.col("text_sha256").alias("__fate_digest")).agg(F.max("kept").alias("__any_kept"), F.min("kept").alias("__all_kept")).where("not __all_kept")
     fate = materialise(fate, "exact-dedup-fate")
     # most rows have no fate and stay where they are; only the others' texts are shuffled
-    listed = may_hold(bit_filter(fate.select("fate_id"), "fate_id"), F.col(id_col))
-    joined = df.where(listed).withColumn("__digest", F.sha2(text_of(text_col), 256)).join(fate, F.col(id_col).eqNullSafe(F.col("fate_id")) & (F.col("__digest") == F.col("fate_digest")), "left")
-    once = df.where(~listed).unionByName(joined.where("any_kept is null").select(*df.columns))
-    if fate.where("any_kept").isEmpty():
+    listed = may_hold(bit_filter(fate.select("__fate_id"), "__fate_id"), named(id_col))
+    joined = df.where(listed).withColumn("__digest", F.sha2(text_of(text_col), 256)).join(fate, named(id_col).eqNullSafe(F.col("__fate_id")) & (F.col("__digest") == F.col("__fate_digest")), "left")
+    once = df.where(~listed).unionByName(joined.where("__any_kept is null").select(*map(named, df.columns)))
+    if fate.where("__any_kept").isEmpty():
         return once
-    again = joined.where("any_kept").dropDuplicates([id_col, "__digest"]).select(*df.columns)
+    again = joined.where("__any_kept").dropDuplicates([id_col, "__digest"]).select(*map(named, df.columns))
     return once.unionByName(again)

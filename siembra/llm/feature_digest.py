@@ -20,11 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siembra.llm.shared import bound_batches, chunks, text_of
+from siembra.llm.shared import bound_batches, chunks, materialise, named, text_of
 from siembra.llm.textkit import mix
 
 WINDOW, POPULAR = 32, 8
@@ -204,8 +204,8 @@ def likeness(left: Digests, right: Digests) -> np.ndarray:
 
 def corpus_ranks(df: DataFrame, text_col: str = "text") -> np.ndarray:
     """Ranks of the entropies by how rare they are in all texts (BINS numbers)."""
-
     bound_batches(df.sparkSession)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BINS, np.int64)
         for _, data, offsets in chunks(batches, "text", CHUNK):
@@ -221,7 +221,11 @@ def corpus_ranks(df: DataFrame, text_col: str = "text") -> np.ndarray:
 
 
 def digest_texts(df: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Fingerprint of every whole text: the id and ``fingerprint``; null counts as empty."""
+    """Fingerprint of every whole text: the id and ``fingerprint``.
+
+    Null counts as empty, and an empty text has a fingerprint without filters. Repeated rows have
+    equal fingerprints; an empty table gives an empty result. Other columns aren't read.
+    """
     schema = T.StructType([df.schema[id_col], T.StructField("fingerprint", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -231,79 +235,77 @@ def digest_texts(df: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", text_
     return df.select(id_col, text_of(text_col).alias("__text")).mapInArrow(run, schema)
 
 
-def _buckets(df: DataFrame, id_col: str, rows: int) -> tuple[Column, int]:
-    """A number that falls with the id, about 4,000 rows each; rows without an id follow by text hash."""
-    parts = max(64, rows // 4000)
-    splits = sorted(set(df.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [k / parts for k in range(1, parts)], 0.25 / parts)))
-    bounds = F.array(*(F.lit(float(x)) for x in splits)) if splits else F.array(F.lit(0.0))
-    return F.when(F.col("id").isNull(), -1 - F.pmod("hash", F.lit(parts))).otherwise(_count_below(F.col("id").cast("double"), splits, bounds)).cast("long"), parts
-
-
-def _count_below(value: Column, splits: list[float], bounds: Column) -> Column:
-    """How many bounds are at most ``value``: a binary search written as a folded expression."""
-    low, high = F.lit(0), F.lit(len(splits))
-    state = F.struct(low.alias("low"), high.alias("high"))
+def _edited(texts: list[str], following: list[str]) -> list[str]:
+    """The last floor(n/2) code points of each text replaced by the first as many, or all, of the one that follows."""
+    return [x[: len(x) - len(x) // 2] + y[: len(x) // 2] for x, y in zip(texts, following, strict=True)]
 
-    def step(s: Column, _: Column) -> Column:
-        middle = F.floor((s["low"] + s["high"]) / 2).cast("int")
-        below = F.coalesce(F.get(bounds, middle) <= value, F.lit(False))
-        open_ = s["low"] < s["high"]
-        return F.struct(F.when(open_ & below, middle + 1).otherwise(s["low"]).alias("low"), F.when(open_ & ~below, middle).otherwise(s["high"]).alias("high"))
 
-    rounds = max(1, len(splits).bit_length())
-    return F.aggregate(F.array(*(F.lit(k) for k in range(rounds))), state, step)["low"]
+def _compared(ids: pa.Array, texts: list[str], following: list[str], this: Digests, after: Digests, ranks: np.ndarray) -> dict[str, pa.Array]:
+    """The result columns of texts, the texts that follow them and both digests."""
+    edited = _edited(texts, following)
+    other = Digests.of_texts(edited, ranks)
+    return {
+        "id": ids, "n_chars": pa.array([len(x) for x in texts], pa.int64()), "edited_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
+        "fingerprint": pa.array(this.strings(), pa.string()), "edited_fingerprint": pa.array(other.strings(), pa.string()), "near_edited": pa.array(likeness(this, other)), "near_next": pa.array(likeness(this, after)),
+    }
 
 
 def compare_with_next(df: DataFrame, ranks: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Every text beside an edited one and the next document's, in descending order of numeric ids.
+    """Every text beside an edited one and the next document's, in descending order of ids.
 
     The edited text has the last floor(n/2) code points replaced by the first as many (or all)
     of the next document; after the last comes the first. One row per input row: the id,
     ``n_chars``, ``edited_sha256``, ``fingerprint``, ``edited_fingerprint``, ``near_edited`` and
-    ``near_next``. Null texts count as empty. Rows without an id come after the others, by text
-    hash, and equal ids by text hash too; a single row is its own next. Texts are shuffled once,
-    by ranges of ids; each range also gets the first row of the next one.
+    ``near_next``. Null texts count as empty. Rows without an id come after the others; equal ids
+    go by text hash, and repeated rows follow each other. A single row is its own next, and an empty
+    table gives an empty result. Other columns aren't read.
+
+    Texts are shuffled once, by ranges of (id, text hash, row), so an id may repeat in any number of rows.
+    Every range writes what it can compare and its own first and last row; the last row of a
+    range then meets the first of the next one that has rows, by a join of two rows a range.
     """
-    rows = df.count()
-    base = df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).withColumn("hash", F.xxhash64("text"))
-    bucket, _ = _buckets(df, id_col, rows)
-    placed = base.withColumn("bucket", bucket)
-    # one row a range: bounded by their number
-    heads = placed.groupBy("bucket").agg(F.max(F.struct("id", "hash")).alias("head")).select("bucket", "head.id", "head.hash").collect()
-    order = sorted(heads, key=lambda r: -r["bucket"])
-    spark = df.sparkSession
-    target = T.StructType([T.StructField("to", T.LongType()), T.StructField("of", T.LongType()), T.StructField("head_id", df.schema[id_col].dataType), T.StructField("head_hash", T.LongType())])
-    first = spark.createDataFrame([(order[k - 1]["bucket"], r["bucket"], r["id"], r["hash"]) for k, r in enumerate(order)], target)
-    ahead = placed.join(F.broadcast(first), (F.col("bucket") == F.col("of")) & (F.col("hash") == F.col("head_hash")) & F.col("id").eqNullSafe(F.col("head_id")))
-    ahead = ahead.dropDuplicates(["to"]).select(F.col("to").alias("bucket"), F.lit(1).alias("ahead"), "id", "hash", "text")
-    dealt = placed.select("bucket", F.lit(0).alias("ahead"), "id", "hash", "text").unionByName(ahead).repartition(F.col("bucket")).sortWithinPartitions(F.desc("bucket"), "ahead", F.desc_nulls_last("id"), F.desc("hash"))
+    bound_batches(df.sparkSession)
     kind = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField(id_col, kind), T.StructField("n_chars", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
+    base = df.select(named(id_col).alias("id"), text_of(text_col).alias("text")).withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    order = [F.desc_nulls_last("id"), F.desc("hash"), F.asc("row")]
+    dealt = base.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text", F.spark_partition_id().alias("part"))
+    result = T.StructType([T.StructField("id", kind), T.StructField("n_chars", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
+    schema = T.StructType([*result, T.StructField("part", T.IntegerType()), T.StructField("last", T.BooleanType()), T.StructField("text", T.StringType())])
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    shape, shape_of_result = to_arrow_schema(schema), to_arrow_schema(result)
+
+    def shaped(columns: dict[str, pa.Array], to: pa.Schema) -> pa.RecordBatch:
+        n = len(columns["id"])
+        return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in to], schema=to)
+
+    def edge(row: pa.RecordBatch, last: bool) -> pa.RecordBatch:
+        return shaped({"id": row.column("id"), "part": row.column("part"), "last": pa.array([last]), "text": row.column("text")}, shape)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, held_text, held_digest = None, "", None
         for part, data, offsets in chunks(batches, "text", CHUNK):
-            texts, digest = part.column("text").to_pylist(), Digests.of(data, offsets, ranks)
-            if held is not None:
-                part = pa.Table.from_batches([held, part]).combine_chunks().to_batches()[0]
-                texts, digest = [held_text, *texts], Digests.join([held_digest, digest])
+            texts, digest, ids = part.column("text").to_pylist(), Digests.of(data, offsets, ranks), part.column("id")
+            if held is None:
+                yield edge(part.slice(0, 1), False)
+            else:
+                texts, digest, ids = [held_text, *texts], Digests.join([held_digest, digest]), pa.concat_arrays([held.column("id"), ids])
             n = len(texts)
-            held, held_text, held_digest = part.slice(n - 1, 1), texts[-1], digest.take(slice(n - 1, n))
-            if n < 2:
-                continue
-            where, role = part.column("bucket").to_numpy(), part.column("ahead").to_numpy()
-            mine = np.flatnonzero((role[:-1] == 0) & (where[:-1] == where[1:]))
-            edited = [texts[k][: len(texts[k]) - len(texts[k]) // 2] + texts[k + 1][: len(texts[k]) // 2] if role[k] == 0 else "" for k in range(n - 1)]
-            other = Digests.of_texts(edited, ranks)
-            this = digest.take(slice(0, n - 1))
-            near_edited, near_next = likeness(this, other), likeness(this, digest.take(slice(1, n)))
-            prints, edited_prints = this.strings(), other.strings()
-            yield pa.RecordBatch.from_arrays(
-                [
-                    part.column("id").take(pa.array(mine)), pa.array([len(texts[k]) for k in mine], pa.int64()), pa.array([hashlib.sha256(edited[k].encode()).hexdigest() for k in mine], pa.string()),
-                    pa.array([prints[k] for k in mine], pa.string()), pa.array([edited_prints[k] for k in mine], pa.string()), pa.array(near_edited[mine]), pa.array(near_next[mine]),
-                ],
-                names=schema.names,
-            )
-
-    return dealt.mapInArrow(run, schema)
+            held, held_text, held_digest = part.slice(part.num_rows - 1, 1), texts[-1], digest.take(slice(n - 1, n))
+            if n > 1:
+                yield shaped(_compared(ids.slice(0, n - 1), texts[:-1], texts[1:], digest.take(slice(0, n - 1)), digest.take(slice(1, n)), ranks), shape)
+        if held is not None:
+            yield edge(held, True)
+
+    def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, _, _ in chunks(batches, "text", CHUNK):
+            texts, following = part.column("text").to_pylist(), part.column("following").to_pylist()
+            yield shaped(_compared(part.column("id"), texts, following, Digests.of_texts(texts, ranks), Digests.of_texts(following, ranks), ranks), shape_of_result)
+
+    written = materialise(dealt.mapInArrow(run, schema), "digests")
+    first, last = written.where("not last").select("part", F.col("text").alias("following")), written.where("last").select("id", "part", "text")
+    # two numbers a range, in one task: the next range that has rows, and after the last one the first
+    by_part = Window.orderBy("part")
+    turn = last.select("part").withColumn("next", F.coalesce(F.lead("part").over(by_part), F.first("part").over(by_part)))
+    ends = last.join(turn, "part").join(first.withColumnRenamed("part", "next"), "next").select("id", "text", "following").mapInArrow(close, result)
+    return written.where("last is null").select(*result.names).unionByName(ends).withColumnRenamed("id", id_col)

@@ -12,6 +12,7 @@ occur in the text), which is counted for a whole Arrow chunk at once.
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator, Mapping
@@ -26,8 +27,8 @@ from pyspark.sql import types as T
 from siembra.llm.shared import bound_batches, chunks, text_of
 from siembra.llm.textkit import span_hashes, word_bounds
 
-#: Share of a template's words that have to be aligned.
-COVERAGE = 0.8
+#: Share of a template's words that have to be aligned, within SPREAD times as many words of the text as the template has.
+COVERAGE, SPREAD = 0.8, 4.0
 
 # Public license texts and notices by SPDX identifier.
 TEMPLATES = {
@@ -124,37 +125,32 @@ def _rising(anchors: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return chain[::-1]
 
 
-def _windows(places: np.ndarray, size: int, need: int) -> Iterator[tuple[int, int]]:
-    """Dense stretches; of one longer than twice the template, stretches of that length that slide over it.
+def _windows(places: np.ndarray, reach: int, need: int) -> Iterator[tuple[int, int]]:
+    """Rows of ``places`` in dense stretches; of a stretch longer than ``reach`` words, windows of that length that slide over it.
 
-    Up to four times the template it also counts as a whole, after its parts.
+    Up to twice that length it also counts as a whole, after its parts.
     """
-    for low, high in _dense(places, size, need):
-        if high - low > 2 * size:
-            for at in range(low, high - 2 * size + max(1, size // 2), max(1, size // 2)):
-                yield at, min(at + 2 * size, high)
-        if high - low <= 4 * size:
+    for low, high in _dense(places, reach, need):
+        begin, end = places[low], places[high - 1] + 1
+        if end - begin > reach:
+            step = max(1, reach // 4)
+            for at in range(begin, end - reach + step, step):
+                a, b = np.searchsorted(places, [at, at + reach])
+                if b - a >= need:
+                    yield int(a), int(b)
+        if end - begin <= 2 * reach:
             yield low, high
 
 
-def _dense(places: np.ndarray, size: int, need: int) -> Iterator[tuple[int, int]]:
-    """Stretches of the text in which ``need`` words of the template stand within twice its length."""
+def _dense(places: np.ndarray, reach: int, need: int) -> Iterator[tuple[int, int]]:
+    """Rows of ``places`` that belong to stretches in which ``need`` of them stand within ``reach`` words."""
     if len(places) < need:
         return
-    ahead = places[need - 1 :]
-    dense = np.flatnonzero(ahead - places[: len(ahead)] < 2 * size)
-    low = high = -1
-    for k in dense:
-        a, b = int(places[k]), int(ahead[k]) + 1
-        if low < 0:
-            low, high = a, b
-        elif a <= high:
-            high = max(high, b)
-        else:
-            yield low, high
-            low, high = a, b
-    if low >= 0:
-        yield low, high
+    starts = np.flatnonzero(places[need - 1 :] - places[: len(places) - need + 1] < reach)
+    if len(starts):
+        breaks = np.flatnonzero(np.diff(starts) >= need) + 1
+        for part in np.split(starts, breaks):
+            yield int(part[0]), int(part[-1]) + need
 
 
 class Templates:
@@ -181,7 +177,7 @@ class Templates:
         return span_hashes(data, first, last)
 
 
-def scan(data: np.ndarray, offsets: np.ndarray, templates: Templates, coverage: float) -> Iterator[tuple[int, str, float, int, int, int]]:
+def scan(data: np.ndarray, offsets: np.ndarray, templates: Templates, coverage: float, spread: float = SPREAD) -> Iterator[tuple[int, str, float, int, int, int]]:
     """(text, license, coverage, start word, end word, aligned words) of the best stretch of each text and template."""
     first, last, words = word_bounds(data, offsets)
     hashes = span_hashes(data, first, last)
@@ -201,11 +197,13 @@ def scan(data: np.ndarray, offsets: np.ndarray, templates: Templates, coverage:
             if len(places) < need or sum(min(n, counts.get(w, 0)) for w, n in limit.items()) < need:
                 continue
             own = places[np.isin(found, template)]
-            for low, high in _windows(own, len(template), need):
-                pairs = align(hashes[low:high].tolist(), template.tolist())
+            words_of_own = hashes[own].tolist()
+            for low, high in _windows(own, math.ceil(spread * len(template)), need):
+                # words that aren't the template's can't be aligned, so only its own are
+                pairs = [(int(own[low + k]), at) for k, at in align(words_of_own[low:high], template.tolist())]
                 share = len(pairs) / len(template)
                 if share >= coverage and set(key) <= {at for _, at in pairs}:
-                    kept.setdefault(name, []).append((int(doc), name, share, low + pairs[0][0] - start, low + pairs[-1][0] + 1 - start, len(pairs)))
+                    kept.setdefault(name, []).append((int(doc), name, share, pairs[0][0] - start, pairs[-1][0] + 1 - start, len(pairs)))
                     if share == 1 and name not in templates.losers:
                         break
         for name, rows in kept.items():
@@ -215,14 +213,16 @@ def scan(data: np.ndarray, offsets: np.ndarray, templates: Templates, coverage:
                 yield max(rows, key=lambda r: r[2])
 
 
-def scan_licenses(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE) -> DataFrame:
+def scan_licenses(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, spread: float = SPREAD) -> DataFrame:
     """Licenses found in whole texts; one row for each text and license.
 
     Columns: the id, ``license``, ``coverage`` (share of template words aligned, >= ``coverage``),
     ``start_word`` and ``end_word`` (exclusive) of the aligned stretch, ``n_words`` aligned. Of several
     stretches the one with the highest coverage counts, then the first. Null, empty and other texts
     without a license have no row; repeated rows have a row each; empty templates are left out.
-    A-Z count as a-z. Other columns aren't read.
+    A-Z count as a-z. The aligned words have to stand within ``spread`` times the template's length (so three
+    other words may follow each of its words); words further apart aren't a license. Two copies
+    of a license in a text are one row. An empty table gives an empty result. Other columns aren't read.
     """
     bound_batches(df.sparkSession)
     known = Templates(templates)
@@ -230,7 +230,7 @@ def scan_licenses(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks(batches):
-            rows = list(scan(data, offsets, known, coverage))
+            rows = list(scan(data, offsets, known, coverage, spread))
             columns = [part.column("id").take(pa.array([r[0] for r in rows], pa.int64())), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.float64())]
             yield pa.RecordBatch.from_arrays([*columns, *(pa.array([r[k] for r in rows], pa.int64()) for k in (3, 4, 5))], names=schema.names)
 

@@ -1,7 +1,7 @@
 """Quality by attention-based multiple-instance learning.
 
 A document is a bag of passages of ``PASSAGE_WORDS`` words. Every passage of every document is
-encoded (byte classes, word shapes, repetition), lifted by a learned layer, and weighted by
+encoded (byte classes, word shapes, repetition, hash classes of words), lifted by a learned layer, and weighted by
 gated attention: weight ~ exp(w . (tanh(V h) * sigmoid(U h))). The weighted passage
 representation gives the score. Only document labels train it; which passages matter is learned.
 
@@ -25,8 +25,8 @@ from siembra.llm.shared import bound_batches, chunks, text_of
 from siembra.llm.textkit import segment_sums, span_hashes, word_bounds
 
 PASSAGE_WORDS = 64
-#: Labelled rows that fit the model at most, and passages of one of them.
-MAX_TRAIN, MAX_TRAIN_PASSAGES = 4000, 4096
+#: Labelled rows that fit the model at most; all their passages count.
+MAX_TRAIN = 4000
 #: Bytes of text whose passages are encoded at once.
 CHUNK = 1 << 18
 THRESHOLD = 0.3
@@ -39,7 +39,9 @@ for _low, _high, _k in ((97, 123, 0), (65, 91, 1), (48, 58, 2), (0, 33, 3), (10,
     _CLASS[_low:_high] = _k
 for _k, _c in enumerate(b".,!?|", 5):
     _CLASS[_c] = _k
-N_FEATURES = 12 + 8
+#: Hash classes of words: the share of each in a passage.
+LEXICAL = 32
+N_FEATURES = 12 + 8 + LEXICAL
 
 
 class Passages(NamedTuple):
@@ -86,6 +88,7 @@ def encode_passages(data: np.ndarray, offsets: np.ndarray) -> Passages:
         x[:, 15] = segment_sums(ended == 10, bounds) / n
         x[:, 16] = segment_sums(began == 1, bounds) / n
         x[:, 17] = segment_sums(last - first, bounds) / n / 10
+        x[:, 20:] = np.bincount(passage * LEXICAL + (hashes >> np.uint64(59)).astype(np.int64), minlength=LEXICAL * out[-1]).reshape(-1, LEXICAL) / n[:, None]
     x[:, 18] = np.log1p(stop - start) / 5
     x[:, 19] = (np.log1p(counts) / 10)[doc]
     return Passages(x, out)
@@ -164,17 +167,18 @@ def held_out(id_col: str = "doc_id") -> F.Column:
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", max_train: int = MAX_TRAIN) -> Model | None:
     """Fit on at most ``max_train`` labelled rows that aren't held out; None without any.
 
-    Null labels and ids don't count; of several labels of one id the smallest does.
+    Null labels and ids don't count; of several labels of one id the smallest does, and of several
+    texts the first in order. Empty tables give no model.
     """
     bound_batches(docs.sparkSession)
     usable = labels.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     chosen = usable.groupBy(F.col(id_col).alias("key")).agg(F.min(F.col(label_col)).cast("double").alias("label")).orderBy(F.xxhash64("key"), "key").limit(max_train)
-    rows = docs.select(F.col(id_col).alias("key"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "key")
+    rows = docs.select(F.col(id_col).alias("key"), text_of(text_col).alias("text")).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min("label").alias("label"), F.min("text").alias("text"))
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, data, offsets in chunks(batches, limit=CHUNK):
             bags = encode_passages(data, offsets)
-            cut = [bags.features[a:b][:: -(-(b - a) // MAX_TRAIN_PASSAGES)].tobytes() for a, b in zip(bags.offsets[:-1], bags.offsets[1:], strict=True)]
+            cut = [bags.features[a:b].tobytes() for a, b in zip(bags.offsets[:-1], bags.offsets[1:], strict=True)]
             yield pa.RecordBatch.from_pydict({"order": part.column("order"), "label": part.column("label"), "features": pa.array(cut, pa.binary())})
 
     found = rows.select(F.xxhash64("key", "text").alias("order"), "label", "text").mapInArrow(encode, "order long, label double, features binary").toPandas().sort_values("order")
@@ -189,7 +193,7 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
     """Score of every whole text: the id, ``held_out``, ``score`` and ``predicted``; one row per input row.
 
     Null and empty texts are one passage without words and get the model's score for that.
-    Other columns of ``docs`` aren't read.
+    Repeated rows score alike; an empty table gives an empty result. Other columns of ``docs`` aren't read.
     """
     bound_batches(docs.sparkSession)
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
@@ -203,9 +207,12 @@ def score_quality(docs: DataFrame, model: Model | None, id_col: str = "doc_id",
 
 
 def keep_quality(docs: DataFrame, model: Model | None, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` that score at least ``threshold``, with all their columns and no shuffle."""
+    """Rows of ``docs`` that score at least ``threshold``, with all their columns and no shuffle.
 
+    Null and empty texts are scored as texts without words; repeated rows stay or go together.
+    """
     bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # the text column itself is read, so that no second copy of the texts goes to the worker

@@ -11,9 +11,10 @@ The forward state depends on the kind of model:
 
 * unigram: the best score of the prefix and its last piece - Viterbi;
 * BPE: scores of a BPE model are merge ranks, whose sum doesn't rank segmentations, so adding
-  them up can't give the model's own ids. Its state is the last piece of the prefix's encoding:
-  a piece may follow another if merging both strings gives just these two pieces again, and
-  exactly one piece that ends at a place may follow. That gives the ids of the library.
+  them up alone can't give the model's own ids. Pairs of neighbours are therefore restricted (a
+  forbidden pair scores minus infinity): a piece may follow another if merging both strings gives
+  just these two pieces again. The forward score is the best over the pieces that may end at a
+  place, of which there is one at most. That gives the ids of the library.
 """
 
 from __future__ import annotations
@@ -133,25 +134,25 @@ class Encoder:
             yield self._trace(word, states)
 
     def _step_bpe(self, c: str, i: int, states: list[tuple]) -> tuple:
-        """The state after one more character: the one piece ending there that may follow."""
+        """The state after one more character: the best score over the pieces that may follow; a forbidden pair counts as minus infinity."""
         follows = self.follows
-        going, piece, at = [], -1, i
+        going, piece, at, best = [], -1, i, None
         for j, node in states[i][2]:
             node = node.get(c)
             if node is not None:
                 going.append((j, node))
-                if piece < 0 and "" in node:
-                    p, left = node[""], states[j][0]
+                if best is None and "" in node:  # one piece at most may follow, so the first that may is the best
+                    p, (left, _, _, score) = node[""], states[j]
                     if left < 0 or (follows[left, p] if (left, p) in follows else self.may_follow(left, p)):
-                        piece, at = p, j
+                        piece, at, best = p, j, score + self.v.scores[p]
         node = self.root.get(c)
         if node is not None:
             going.append((i, node))
-            if piece < 0 and "" in node:
-                p, left = node[""], states[i][0]
+            if best is None and "" in node:
+                p, (left, _, _, score) = node[""], states[i]
                 if left < 0 or (follows[left, p] if (left, p) in follows else self.may_follow(left, p)):
-                    piece = p
-        return piece, at, going, 0.0
+                    piece, best = p, score + self.v.scores[p]
+        return piece, at, going, states[i][3] + self.penalty if best is None else best
 
     def _step_unigram(self, c: str, i: int, states: list[tuple]) -> tuple:
         """The state after one more character: the best score, of equals the longest last piece."""
@@ -261,7 +262,8 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", keep:
     One row per input row. Null and empty texts have no pieces. ``round_trip`` tells whether
     decoding gives the text's bytes again; it doesn't only where the text holds the mark itself,
     which decodes to a space, or (in a model without bytes) an unknown character. Columns of
-    ``keep`` that are named like a result column are replaced by it.
+    ``keep`` that are named like a result column are replaced by it. Repeated rows are encoded
+    alike; an empty table gives an empty result.
     """
     bound_batches(df.sparkSession)
     keep = [c for c in keep if c not in ("ids", "n_tokens", "round_trip")]
@@ -283,7 +285,7 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", keep:
 
 
 def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text", keep: Iterable[str] = ("doc_id",)) -> DataFrame:
-    """Texts of id arrays: the ``keep`` columns and ``text_col``. Null arrays give null, empty ones empty texts."""
+    """Texts of id arrays: the ``keep`` columns and ``text_col``. Null arrays give null, empty ones empty texts; an empty table an empty result."""
     bound_batches(df.sparkSession)
     keep = [c for c in keep if c != text_col]
     vocabulary = Vocabulary.load(model_path)

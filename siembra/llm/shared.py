@@ -83,9 +83,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def named(column: str) -> F.Column:
+    """The column of exactly that name, dots and all."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text_of(column: str) -> F.Column:
     """The whole text; null counts as empty."""
-    return F.coalesce(F.col(column).cast("string"), F.lit(""))
+    return F.coalesce(named(column).cast("string"), F.lit(""))
 
 
 def buffers(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -22,6 +22,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from siembra.llm.shared import named
+
 PERIOD = 10_000
 BLOCK_SIZE = 16
 #: Hash ranges that the documents of a source are counted by.
@@ -81,43 +83,45 @@ def mix_sources(df: DataFrame, weights: Mapping[object, float] | None = None, so
     stay empty). The last block of a source may be smaller. Sources below one slot of the period, which are raised to
     a weight of 1, may run out before. A source without a weight has no slot and isn't in the mix. A null source is a source of
     its own. Ties of the hash order go by id; repeated rows each have a place. Without
-    ``weights`` they are the shares of rows to the power ``temperature``. Sources are as
+    ``weights`` they are the shares of rows to the power ``temperature``. Columns whose name begins with ``__`` are reserved. Sources are as
     many as the period at most; an empty table gives an empty result.
     """
     columns = [c for c in df.columns if c not in MIX_COLUMNS]
     key = lambda c: F.coalesce(F.concat(F.lit("="), c.cast("string")), F.lit(""))  # noqa: E731  null is a source like others
-    ranged = df.select(*columns, key(F.col(source_col)).alias("__key"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("__hash"))
+    # rows without an id have a place by their row number, or all would share one range
+    order = F.coalesce(named(id_col).cast("string"), F.concat(F.lit("="), F.monotonically_increasing_id().cast("string")))
+    ranged = df.select(*map(named, columns), key(named(source_col)).alias("__key"), F.xxhash64(F.lit(seed), order).alias("__hash"))
     ranged = ranged.withColumn("__range", F.expr(f"cast(shiftrightunsigned(__hash, {64 - RANGES.bit_length() + 1}) as int)"))
     counts = ranged.groupBy("__key", "__range").agg(F.count("*").alias("__n"))
     sizes = {r["__key"]: r["n"] for r in counts.groupBy("__key").agg(F.sum("__n").alias("n")).orderBy(F.desc("n"), "__key").limit(period + 1).collect()}
-    named = {("" if k is None else f"={k}"): v for k, v in weights.items()} if weights is not None else {k: n**temperature for k, n in sizes.items()}
-    shares = integer_weights(named, period)
+    asked = {("" if k is None else f"={k}"): v for k, v in weights.items()} if weights is not None else {k: n**temperature for k, n in sizes.items()}
+    shares = integer_weights(asked, period)
     pattern = pfair_pattern(shares)
     total = sum(shares.values())
     first = {(k, j): slot for k, j, _, _, slot in pattern}
     # the first slot that a source can't fill: the one after its last block; raised weights say nothing of a target
-    mass = sum(named[k] for k in shares)
-    targets = [k for k in shares if named[k] * period >= mass]
+    mass = sum(asked[k] for k in shares)
+    targets = [k for k in shares if asked[k] * period >= mass]
     blocks = {k: -(-sizes.get(k, 0) // block_size) for k in targets or shares}
     horizon = min((n // shares[k] * total + first[(k, n % shares[k])] for k, n in blocks.items()), default=0)
 
     spark = df.sparkSession
-    table = spark.createDataFrame([(k, shares[k], j, release, deadline, slot) for k, j, release, deadline, slot in pattern], "p_key string, p_w long, p_j long, p_release long, p_deadline long, p_slot long")
-    owned = spark.createDataFrame(list(shares.items()), "w_key string, w long")
+    table = spark.createDataFrame([(k, shares[k], j, release, deadline, slot) for k, j, release, deadline, slot in pattern], "__p_key string, __p_w long, __p_j long, __p_release long, __p_deadline long, __p_slot long")
+    owned = spark.createDataFrame(list(shares.items()), "__w_key string, __w long")
 
     before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("__key").alias("o_key"), F.col("__range").alias("o_range"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy("__key", "__range").orderBy("__hash", id_col)
+    offsets = counts.select(F.col("__key").alias("__o_key"), F.col("__range").alias("__o_range"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    inside = Window.partitionBy("__key", "__range").orderBy(F.col("__hash"), named(id_col))
     placed = ranged.withColumn("__place", F.row_number().over(inside) - 1)
-    ranked = placed.join(offsets, (F.col("__key") == F.col("o_key")) & (F.col("__range") == F.col("o_range"))).withColumn("mix_rank", F.col("__before") + F.col("__place"))
+    ranked = placed.join(offsets, (F.col("__key") == F.col("__o_key")) & (F.col("__range") == F.col("__o_range"))).withColumn("__rank", F.col("__before") + F.col("__place"))
     # the weights and the pattern have at most ``period`` rows
-    blocked = ranked.withColumn("mix_block", F.expr(f"mix_rank div {block_size}")).join(F.broadcast(owned), F.col("__key") == F.col("w_key"), "left")
-    timed = blocked.withColumn("__j", F.expr("mix_block % w")).join(F.broadcast(table), (F.col("__key") == F.col("p_key")) & (F.col("__j") == F.col("p_j")), "left")
-    turn = F.expr("mix_block div w") * total
+    blocked = ranked.withColumn("__block", F.expr(f"__rank div {block_size}")).join(F.broadcast(owned), F.col("__key") == F.col("__w_key"), "left")
+    timed = blocked.withColumn("__j", F.expr("__block % __w")).join(F.broadcast(table), (F.col("__key") == F.col("__p_key")) & (F.col("__j") == F.col("__p_j")), "left")
+    turn = F.expr("__block div __w") * total
     return timed.select(
-        *columns, F.col("mix_rank").cast("long").alias("mix_rank"), F.col("mix_block").cast("long").alias("mix_block"),
-        (turn + F.col("p_release")).alias("mix_release"), (turn + F.col("p_deadline")).alias("mix_deadline"), (turn + F.col("p_slot")).alias("mix_slot"),
-        F.coalesce(turn + F.col("p_slot") < F.lit(horizon), F.lit(False)).alias("in_mix"),
+        *map(named, columns), F.col("__rank").cast("long").alias("mix_rank"), F.col("__block").cast("long").alias("mix_block"),
+        (turn + F.col("__p_release")).alias("mix_release"), (turn + F.col("__p_deadline")).alias("mix_deadline"), (turn + F.col("__p_slot")).alias("mix_slot"),
+        F.coalesce(turn + F.col("__p_slot") < F.lit(horizon), F.lit(False)).alias("in_mix"),
     )
 
 
@@ -127,4 +131,4 @@ def mixed(df: DataFrame, **options) -> DataFrame:
     A source that runs out leaves the order to the others; no row is left out for it.
     """
     placed = mix_sources(df, **options).where("mix_slot is not null")
-    return placed.repartitionByRange("mix_slot", "mix_rank").sortWithinPartitions("mix_slot", "mix_rank").select(*df.columns)
+    return placed.repartitionByRange("mix_slot", "mix_rank").sortWithinPartitions("mix_slot", "mix_rank").select(*map(named, df.columns))
