@@ -216,8 +216,10 @@ def keep_quality(docs: DataFrame, model: Model | None, text_col: str = "text", t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             # the text column itself is read, so that no second copy of the texts goes to the worker
-            texts = batch.column(text_col).cast(pa.string()).fill_null("")
+            texts = batch.column(at).cast(pa.string()).fill_null("")
             good = [score(model, encode_passages(data, offsets)) >= threshold for _, data, offsets in chunks(iter([pa.RecordBatch.from_arrays([texts], names=["text"])]), limit=CHUNK)]
             yield batch.filter(pa.array(np.concatenate(good) if good else np.zeros(0, bool)))
 
-    return docs.mapInArrow(run, docs.schema)
+    at = docs.columns.index(text_col)
+    places = docs.toDF(*(f"c{k}" for k in range(len(docs.columns))))  # names may hold dots
+    return places.mapInArrow(run, places.schema).toDF(*docs.columns)

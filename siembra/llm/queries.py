@@ -40,7 +40,7 @@ URL_RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/
 
 
 def op5_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = parse_rules(spark.createDataFrame(URL_RULES, "rule string, verdict string"))
+    rules = parse_rules(spark.sql("VALUES " + ", ".join(f"('{rule}', '{verdict}')" for rule, verdict in URL_RULES)).toDF("rule", "verdict"))
     return filter_urls(spark.read.parquet(f"{sf_dir}/pages.parquet"), rules)
 
 

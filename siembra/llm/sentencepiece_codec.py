@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from siembra.llm.shared import bound_batches, chunks, text_of
+from siembra.llm.shared import bound_batches, chunks, give_back, text_of
 
 MARK = "▁"
 #: Words that a Python worker remembers, and the longest one of them.
@@ -86,7 +86,8 @@ class Encoder:
         self.v = vocabulary
         self.strings = {i: p for p, i in vocabulary.ids.items()}
         self.penalty = min(vocabulary.scores.values(), default=0.0) - 10
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: dict[int, bool] = {}  # by left piece * size + right piece
+        self.packed = np.zeros(0, np.int64), np.zeros(0, bool)
         self.root: dict = {}
         for piece, i in vocabulary.ids.items():
             if vocabulary.bpe and len(piece) > 1 and self.merge(piece) != [i]:
@@ -110,13 +111,21 @@ class Encoder:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def may_follow(self, left: int, right: int) -> bool:
-        known = self.follows.get((left, right))
-        if known is None:
-            if len(self.follows) > PAIRS:
-                self.follows.clear()
-            known = self.follows[left, right] = self.merge(self.strings[left] + self.strings[right]) == [left, right]
+        if len(self.follows) > PAIRS:
+            self.follows.clear()
+        known = self.follows[left * self.v.size + right] = self.merge(self.strings[left] + self.strings[right]) == [left, right]
         return known
 
+    def pack(self) -> None:
+        """Hold what pairs may do in arrays, between tasks."""
+        self.packed = np.fromiter(self.follows, np.int64, len(self.follows)), np.fromiter(self.follows.values(), bool, len(self.follows))
+        self.follows.clear()
+
+    def unpack(self) -> None:
+        keys, values = self.packed
+        self.follows.update(zip(keys.tolist(), values.tolist(), strict=True))
+        self.packed = np.zeros(0, np.int64), np.zeros(0, bool)
+
     def encode_sorted(self, words: Iterable[str]) -> Iterator[list[int]]:
         """Pieces of every word; the words are sorted and distinct, so shared prefixes are met once."""
         step = self._step_bpe if self.v.bpe else self._step_unigram
@@ -135,7 +144,7 @@ class Encoder:
 
     def _step_bpe(self, c: str, i: int, states: list[tuple]) -> tuple:
         """The state after one more character: the best score over the pieces that may follow; a forbidden pair counts as minus infinity."""
-        follows = self.follows
+        follows, size = self.follows, self.v.size
         going, piece, at, best = [], -1, i, None
         for j, node in states[i][2]:
             node = node.get(c)
@@ -143,14 +152,14 @@ class Encoder:
                 going.append((j, node))
                 if best is None and "" in node:  # one piece at most may follow, so the first that may is the best
                     p, (left, _, _, score) = node[""], states[j]
-                    if left < 0 or (follows[left, p] if (left, p) in follows else self.may_follow(left, p)):
+                    if left < 0 or (follows[left * size + p] if left * size + p in follows else self.may_follow(left, p)):
                         piece, at, best = p, j, score + self.v.scores[p]
         node = self.root.get(c)
         if node is not None:
             going.append((i, node))
             if best is None and "" in node:
                 p, (left, _, _, score) = node[""], states[i]
-                if left < 0 or (follows[left, p] if (left, p) in follows else self.may_follow(left, p)):
+                if left < 0 or (follows[left * size + p] if left * size + p in follows else self.may_follow(left, p)):
                     piece, best = p, score + self.v.scores[p]
         return piece, at, going, states[i][3] + self.penalty if best is None else best
 
@@ -274,12 +283,16 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec.of(key, shared.value)
+        codec.encoder.unpack()
         for part, data, offsets in chunks(batches, "__text", CHUNK):
             ids, where = codec.encode(part.column("__text").to_pylist())
             decoded, at = codec.decode(ids, where)
             lists = pa.ListArray.from_arrays(pa.array(where.astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), lists, pa.array(np.diff(where)), pa.array(_same(data, offsets, decoded, at))], names=schema.names)
+        part = data = offsets = ids = where = decoded = at = lists = None
         codec.forget()
+        codec.encoder.pack()
+        give_back()
 
     return df.select(*keep, text_of(text_col).alias("__text")).mapInArrow(run, schema)
 

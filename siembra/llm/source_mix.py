@@ -19,6 +19,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Mapping
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -106,8 +107,10 @@ def mix_sources(df: DataFrame, weights: Mapping[object, float] | None = None, so
     horizon = min((n // shares[k] * total + first[(k, n % shares[k])] for k, n in blocks.items()), default=0)
 
     spark = df.sparkSession
-    table = spark.createDataFrame([(k, shares[k], j, release, deadline, slot) for k, j, release, deadline, slot in pattern], "__p_key string, __p_w long, __p_j long, __p_release long, __p_deadline long, __p_slot long")
-    owned = spark.createDataFrame(list(shares.items()), "__w_key string, __w long")
+    # Arrow tables: made in the JVM, without Python workers
+    columns_of = lambda rows, names: spark.createDataFrame(pa.table({n: pa.array([r[k] for r in rows], pa.int64() if k else pa.string()) for k, n in enumerate(names)}))
+    table = columns_of(pattern, ("__p_key", "__p_j", "__p_release", "__p_deadline", "__p_slot"))
+    owned = columns_of(list(shares.items()), ("__w_key", "__w"))
 
     before = Window.partitionBy("__key").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col("__key").alias("__o_key"), F.col("__range").alias("__o_range"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
