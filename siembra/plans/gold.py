@@ -187,7 +187,7 @@ def inactive_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    "g14_code_conflicts",
+    "g15_code_conflicts",
     """
 WITH c AS (SELECT CAST(p_partkey % 500 AS VARCHAR) AS codigo, upper(p_name) AS nombre FROM part)
 SELECT codigo, COUNT(DISTINCT nombre) AS nombres, array_to_string(list_slice(list_sort(list_distinct(list(nombre))), 1, 8), ' | ') AS lista,
@@ -292,7 +292,7 @@ def pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     a = sales(spark, sf_dir).groupBy("product_id").agg(money_sum("value").alias("total"))
     exact = F.col("total").cast("decimal(20,4)")
-    placed = a.withColumn("__range", F.floor(F.log2(F.col("total") + 1) * 64))
+    placed = a.withColumn("__range", F.floor(F.signum("total") * F.log2(F.abs("total") + 1) * 64))
     sums = placed.groupBy("__range").agg(F.sum(exact).alias("__n"))
     above = sums.select("__range", F.coalesce(F.sum("__n").over(Window.orderBy(F.desc("__range")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("decimal(30,4)")).alias("__above"))  # a few thousand ranges at most
     inside = F.sum(exact).over(Window.partitionBy("__range").orderBy(F.desc("total"), "product_id").rowsBetween(Window.unboundedPreceding, Window.currentRow))

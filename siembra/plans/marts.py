@@ -217,7 +217,7 @@ def bins(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _BASKET = f"""
-b0 AS (SELECT DISTINCT order_id, brand FROM ({SALES_SQL})), top AS (SELECT brand FROM b0 GROUP BY brand ORDER BY COUNT(*) DESC, brand LIMIT 20),
+b0 AS (SELECT DISTINCT order_id, brand FROM ({SALES_SQL})), top AS (SELECT brand FROM b0 GROUP BY brand ORDER BY COUNT(*) DESC, brand LIMIT 120),
 b1 AS (SELECT * FROM b0 WHERE brand IN (SELECT brand FROM top)), b AS (SELECT * FROM b1 WHERE order_id IN (SELECT order_id FROM b1 GROUP BY order_id HAVING COUNT(*) >= 2)),
 n AS (SELECT COUNT(DISTINCT order_id) AS n FROM b), s AS (SELECT brand, COUNT(*) AS c FROM b GROUP BY brand),
 p AS (SELECT x.brand AS a, y.brand AS b, COUNT(*) AS n_ab FROM b x JOIN b y ON x.order_id = y.order_id AND x.brand < y.brand GROUP BY ALL)"""
@@ -225,7 +225,7 @@ p AS (SELECT x.brand AS a, y.brand AS b, COUNT(*) AS n_ab FROM b x JOIN b y ON x
 
 @query("m01_pair_support", f"WITH {_BASKET} SELECT a, p.b AS b, n_ab, sa.c AS n_a, sb.c AS n_b, n.n AS n_baskets FROM p JOIN s sa ON sa.brand = a JOIN s sb ON sb.brand = p.b, n")
 def pair_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = M.baskets(sales(spark, sf_dir), "order_id", "brand", top_items=20)
+    pairs = M.baskets(sales(spark, sf_dir), "order_id", "brand", top_items=120)
     return M.pair_counts(pairs, "order_id", "brand")
 
 
@@ -290,6 +290,6 @@ def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fp_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     from pyspark.ml.fpm import FPGrowth
 
-    pairs = M.baskets(sales(spark, sf_dir), "order_id", "brand", top_items=20)
+    pairs = M.baskets(sales(spark, sf_dir), "order_id", "brand", top_items=120)
     model = FPGrowth(itemsCol="items", minSupport=0.005, minConfidence=0.05).fit(pairs.groupBy("order_id").agg(F.collect_set("brand").alias("items")))
     return model.associationRules.where("size(antecedent) = 1").select(F.col("antecedent")[0].alias("antecedent"), F.col("consequent")[0].alias("consequent"), "support", "confidence", "lift")

@@ -24,7 +24,7 @@ def one(spark, value, expression, kind="string"):
         (X.clean_string, "  NaN ", ""),
         (X.normalize_header, " Año / Mes ", "ano mes"),
         (X.normalize_product_name_v3, "Aliño fda 90grs (4488)", "ALINO PREPARADO FUNDA 90 G"),
-        (X.normalize_product_name_v3, "LO MANI PASTA BOT 1KIL $1.50", "MANI EN PASTA BOTELLA 1 KG"),
+        (lambda c: X.normalize_product_name_v3(c, ("LO", "4B")), "LO MANI PASTA BOT 1KIL $1.50", "MANI EN PASTA BOTELLA 1 KG"),
         (X.normalize_product_name_legacy, "PT: Ají * 90 GRS ($ 2.50)", "AJI 90 G"),
         (X.item_leaf, "PT:FAM:ITEM (4488)", "ITEM (4488)"),
         (X.item_category, "PT:FAM:ITEM", "FAM"),
