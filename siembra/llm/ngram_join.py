@@ -141,6 +141,26 @@ def _whole_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Ta
         yield pa.Table.from_batches(held)
 
 
+class _Links:
+    """Pairs of row numbers, contracted to stars whenever HELD of them have gathered."""
+
+    HELD = 1 << 18
+
+    def __init__(self) -> None:
+        self.left, self.right, self.n = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, left: np.ndarray, right: np.ndarray) -> None:
+        self.left.append(left)
+        self.right.append(right)
+        self.n += len(left)
+        if self.n > self.HELD:
+            left, right = self.stars()
+            self.left, self.right, self.n = [left], [right], 0
+
+    def stars(self) -> tuple[np.ndarray, np.ndarray]:
+        return stars(np.concatenate(self.left), np.concatenate(self.right))
+
+
 def _near_pairs(sketch: np.ndarray, need: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows that agree on ``need`` coordinates at least by the low bytes of their names, block by block.
 
@@ -163,12 +183,11 @@ def _brute(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         bucket, cls = table["bucket"].to_numpy(), table["cls"].to_numpy()
         sketch = _matrix(table["sketch"].combine_chunks())
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(bucket))
-        us, vs = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        links = _Links()
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             if b - a > BLOCKED:
                 for left, right in _near_pairs(sketch[a:b], need):
-                    us.append(a + left)
-                    vs.append(a + right)
+                    links.add(a + left, a + right)
         size = np.diff(cuts)
         small = np.repeat(size <= BLOCKED, size)
         end = np.repeat(cuts[1:], size)
@@ -180,10 +199,10 @@ def _brute(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
             first = np.cumsum(later[at:to]) - later[at:to]
             right = left + 1 + np.arange(len(left)) - np.repeat(first, later[at:to])
             near = (sketch[left] == sketch[right]).sum(1) >= need
-            us.append(left[near])
-            vs.append(right[near])
+            links.add(left[near], right[near])
             at = to
-        u, v = stars(cls[np.concatenate(us)], cls[np.concatenate(vs)])
+        left, right = links.stars()
+        u, v = stars(cls[left], cls[right])
         if len(u):
             yield pa.RecordBatch.from_pydict({"u": u, "v": v})
 

@@ -53,3 +53,15 @@ def test_recall_beyond_the_bucket_size(spark, monkeypatch):
     found = sum(got.values())
     print("recall", found / want.sum())
     assert all(got[k] <= want[k] for k in got) and found >= 0.99 * want.sum()
+
+
+def test_links_are_contracted_as_they_come(monkeypatch):
+    monkeypatch.setattr(NJ._Links, "HELD", 10)
+    rng, links = np.random.default_rng(3), NJ._Links()
+    pairs = rng.integers(0, 400, (300, 2))
+    for k in range(0, 300, 3):
+        links.add(pairs[k : k + 3, 0], pairs[k : k + 3, 1])
+        assert sum(map(len, links.left)) < 800
+    u, v = links.stars()
+    want_u, want_v = NJ.stars(pairs[:, 0], pairs[:, 1])
+    assert dict(zip(u.tolist(), v.tolist(), strict=True)) == dict(zip(want_u.tolist(), want_v.tolist(), strict=True))
