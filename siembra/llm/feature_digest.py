@@ -163,6 +163,10 @@ class Digests:
         where = self.offsets[rows.start : rows.stop + 1]
         return Digests(self.bits[where[0] : where[-1]], where - where[0])
 
+    def packed(self) -> list[bytes]:
+        """The bytes of the filters of each text."""
+        return [self.bits[a:b].tobytes() for a, b in zip(self.offsets[:-1], self.offsets[1:], strict=True)]
+
     def strings(self) -> list[str]:
         """``count:base64`` of the filters of each text."""
         return [f"{b - a}:{base64.b64encode(self.bits[a:b].tobytes()).decode()}" for a, b in zip(self.offsets[:-1], self.offsets[1:], strict=True)]
@@ -241,12 +245,12 @@ def _edited(texts: list[str], following: list[str]) -> list[str]:
 
 
 def _compared(ids: pa.Array, texts: list[str], following: list[str], this: Digests, after: Digests, ranks: np.ndarray) -> dict[str, pa.Array]:
-    """The result columns of texts, the texts that follow them and both digests."""
+    """The result columns, in bytes, of texts, the texts that follow them and both digests."""
     edited = _edited(texts, following)
     other = Digests.of_texts(edited, ranks)
     return {
-        "id": ids, "n_chars": pa.array([len(x) for x in texts], pa.int64()), "edited_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in edited], pa.string()),
-        "fingerprint": pa.array(this.strings(), pa.string()), "edited_fingerprint": pa.array(other.strings(), pa.string()), "near_edited": pa.array(likeness(this, other)), "near_next": pa.array(likeness(this, after)),
+        "id": ids, "n_chars": pa.array([len(x) for x in texts], pa.int64()), "edited_sha256": pa.array([hashlib.sha256(x.encode()).digest() for x in edited], pa.binary()),
+        "fingerprint": pa.array(this.packed(), pa.binary()), "edited_fingerprint": pa.array(other.packed(), pa.binary()), "near_edited": pa.array(likeness(this, other)), "near_next": pa.array(likeness(this, after)),
     }
 
 
@@ -269,7 +273,7 @@ def compare_with_next(df: DataFrame, ranks: np.ndarray, id_col: str = "doc_id",
     base = df.select(named(id_col).alias("id"), text_of(text_col).alias("text")).withColumns({"hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
     order = [F.desc_nulls_last("id"), F.desc("hash"), F.asc("row")]
     dealt = base.repartitionByRange(*order).sortWithinPartitions(*order).select("id", "text", F.spark_partition_id().alias("part"))
-    result = T.StructType([T.StructField("id", kind), T.StructField("n_chars", T.LongType()), *(T.StructField(n, T.StringType()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
+    result = T.StructType([T.StructField("id", kind), T.StructField("n_chars", T.LongType()), *(T.StructField(n, T.BinaryType()) for n in ("edited_sha256", "fingerprint", "edited_fingerprint")), T.StructField("near_edited", T.DoubleType()), T.StructField("near_next", T.DoubleType())])
     schema = T.StructType([*result, T.StructField("part", T.IntegerType()), T.StructField("last", T.BooleanType()), T.StructField("text", T.StringType())])
     from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -302,10 +306,12 @@ def compare_with_next(df: DataFrame, ranks: np.ndarray, id_col: str = "doc_id",
             texts, following = part.column("text").to_pylist(), part.column("following").to_pylist()
             yield shaped(_compared(part.column("id"), texts, following, Digests.of_texts(texts, ranks), Digests.of_texts(following, ranks), ranks), shape_of_result)
 
-    written = materialise(dealt.mapInArrow(run, schema), "digests")
+    written = materialise(dealt.mapInArrow(run, schema), "digests", compression="zstd")
     first, last = written.where("not last").select("part", F.col("text").alias("following")), written.where("last").select("id", "part", "text")
     # two numbers a range, in one task: the next range that has rows, and after the last one the first
     by_part = Window.orderBy("part")
     turn = last.select("part").withColumn("next", F.coalesce(F.lead("part").over(by_part), F.first("part").over(by_part)))
     ends = last.join(turn, "part").join(first.withColumnRenamed("part", "next"), "next").select("id", "text", "following").mapInArrow(close, result)
-    return written.where("last is null").select(*result.names).unionByName(ends).withColumnRenamed("id", id_col)
+    both = written.where("last is null").select(*result.names).unionByName(ends)
+    shown = lambda c: F.concat((F.octet_length(c) / (FILTER_BITS // 8)).cast("int").cast("string"), F.lit(":"), F.translate(F.base64(c), "\r\n", "")).alias(c)
+    return both.select(F.col("id").alias(id_col), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), shown("fingerprint"), shown("edited_fingerprint"), "near_edited", "near_next")
