@@ -38,7 +38,7 @@ REMEMBERED, LONGEST = 300_000, 64
 #: Pairs of neighbouring pieces that a Python worker remembers.
 PAIRS = 500_000
 #: Bytes of text whose new words are sorted together.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 _WORDS = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
 _UNIGRAM, _BPE, _NORMAL, _USER, _BYTE = 1, 2, 1, 4, 6
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Bytes of text that a Python step works on at once; a longer text is one chunk by itself.
 CHUNK_BYTES = 1 << 20
 #: Bytes of text after which a worker gives free memory back.
-TRIM_BYTES = 16 << 20
+TRIM_BYTES = 4 << 20
 _TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
 
 
@@ -70,7 +70,7 @@ def discard(*tables: DataFrame) -> None:
 
 
 #: Bytes of an Arrow batch between Spark and a Python worker; a longer row is a batch by itself.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
