@@ -34,11 +34,11 @@ from siembra.llm.shared import bound_batches, chunks, give_back, text_of
 
 MARK = "▁"
 #: Words that a Python worker remembers, and the longest one of them.
-REMEMBERED, LONGEST = 300_000, 64
+REMEMBERED, LONGEST = 500_000, 64
 #: Pairs of neighbouring pieces that a Python worker remembers.
 PAIRS = 500_000
 #: Bytes of text whose new words are sorted together.
-CHUNK = 1 << 19
+CHUNK = 1 << 20
 _WORDS = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
 _UNIGRAM, _BPE, _NORMAL, _USER, _BYTE = 1, 2, 1, 4, 6
 
