@@ -7,8 +7,11 @@ from collections.abc import Callable
 import corpus_pipeline
 from pyspark.sql import DataFrame, SparkSession
 
+from siembra.llm.bit_sliced_search import top_k
+from siembra.llm.conversation_repair import repair_damaged
 from siembra.llm.exact_dedup import exact_dedup
 from siembra.llm.feature_digest import compare_with_next, corpus_ranks
+from siembra.llm.filter_audit import audit_filters
 from siembra.llm.license_scan import scan_licenses
 from siembra.llm.ngram_join import near_classes
 from siembra.llm.pii_surrogates import pseudonymise
@@ -104,6 +107,61 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(_documents(spark, sf_dir))
 
 
+def op11_bit_sliced_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+OP11_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit_filters(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS words, doc_id > min(doc_id) OVER (PARTITION BY t) AS e FROM d),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id),
+m AS (
+  SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+    CASE WHEN len(words) < 100 THEN 1 ELSE 0 END + CASE WHEN 100 * list_unique(words) < 80 * len(words) THEN 2 ELSE 0 END
+    + CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END
+    + CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END + CASE WHEN coalesce(e, FALSE) THEN 16 ELSE 0 END AS mask
+  FROM w LEFT JOIN l ON w.doc_id = l.doc_id),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+f(x) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+o AS (
+  SELECT v.x || w.x || y.x || z.x || u.x AS filter_order FROM f v, f w, f y, f z, f u
+  WHERE v.x <> w.x AND v.x <> y.x AND v.x <> z.x AND v.x <> u.x AND w.x <> y.x AND w.x <> z.x AND w.x <> u.x AND y.x <> z.x AND y.x <> u.x AND z.x <> u.x),
+s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS letter, 1 << (position(substr(filter_order, step, 1) IN 'ABCDE') - 1) AS bit,
+    CAST(coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (position(substr(filter_order, CAST(k AS INTEGER), 1) IN 'ABCDE') - 1))), 0) AS INTEGER) AS prior
+  FROM o, (SELECT CAST(unnest(range(1, 6)) AS INTEGER) AS step)),
+r AS (
+  SELECT part, filter_order, step, letter, CAST(sum(CASE WHEN mask & (prior | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept,
+    CAST(sum(CASE WHEN mask & prior = 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN mask & prior <> 0 AND mask & bit <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant,
+    CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN mask & prior = 0 AND mask & bit <> 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost,
+    CAST(sum(CASE WHEN mask & prior = 0 AND mask & bit <> 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM c, s GROUP BY part, filter_order, step, letter)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 _QUERIES: dict[str, Query] = {
     "op6_license_scan": op6_license_scan,
     "op2_pii_surrogates": op2_pii_surrogates,
@@ -116,8 +174,11 @@ _QUERIES: dict[str, Query] = {
     "op8_quality_classifier": op8_quality_classifier,
     "op5_url_filters": op5_url_filters,
     "op9_exact_dedup": op9_exact_dedup,
+    "op11_bit_sliced_topk": op11_bit_sliced_topk,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_conversation_repair": op13_conversation_repair,
 }
-_ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op9_exact_dedup": OP9_SQL}
+_ORACLES: dict[str, str] = {"op5_url_filters": OP5_SQL, "op9_exact_dedup": OP9_SQL, "op11_bit_sliced_topk": OP11_SQL, "op12_filter_audit": OP12_SQL}
 
 
 def queries() -> dict[str, Query]:
