@@ -28,6 +28,8 @@ from siembra.llm.shared import bound_batches, discard, give_back, materialise, n
 BLOCK = 1 << 22
 #: Queries of a batch.
 BATCH = 256
+#: Tasks that blocks are dealt to by their hash: so many for each block, and at most that many in all.
+SLOTS_A_BLOCK, MOST_SLOTS = 4, 4096
 #: The slices left out may change a score by this part of the block's typical one at most.
 TOLERANCE = 1 / 64
 #: Quantised components are at most this large, so that every score fits a long.
@@ -262,16 +264,16 @@ def _search(k: int):
     return run
 
 
-def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0, slots: int = 64) -> DataFrame:
+def search(index: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 1024.0) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k best rows of the index but its own, equal scores by smaller vec_id.
 
     Repeated rows of the index are rows of their own; rows without an id can be found, after those with one of the
     same score. Of several rows of a query's id the least vector asks; a query without an id or without a usable vector has no
-    rows. Vectors of different lengths are compared as if filled up with zeros. Blocks are dealt into ``slots``, and a
-    batch of queries goes to each.
+    rows. Vectors of different lengths are compared as if filled up with zeros. Blocks are dealt into slots, as many as the
+    count of blocks asks for, and a batch of queries goes to each; a slot keeps k rows a query.
     """
-    spark = index.sparkSession
-    bound_batches(spark)
+    bound_batches(index.sparkSession)
+    slots = max(1, min(SLOTS_A_BLOCK * index.count(), MOST_SLOTS))
     asked = _usable(queries, id_col, vector_col, scale).where("vec_id IS NOT NULL").groupBy("vec_id").agg(F.min("v").alias("v"))
     batches = asked.mapInArrow(_batches(scale, BATCH), "asked binary, width int, queries binary")
     batches = batches.select("*", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))).alias("slot")).repartition(slots, "slot")
