@@ -124,6 +124,39 @@ def catalogue_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return MT.cascade(names, part.select(F.col("p_partkey").alias("catalog_id"), F.col("p_name").alias("product_name")))
 
 
+def _catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as catalogue items: family:name path, size in grams and a code, as names are written in catalogues; ten letters tell the makers apart."""
+    part = table(spark, sf_dir, "part")
+    packs = F.element_at(F.array(*(F.lit(p) for p in ("FUNDA", "FRASCO", "BOTELLA", "DOYPACK"))), (F.col("p_partkey") % 4 + 1).cast("int"))
+    made = F.translate(F.substring(F.md5(F.col("p_partkey").cast("string")), 1, 10), "0123456789", "GHIJKLMNOP")
+    called = F.concat_ws(" ", F.upper("p_name"), F.upper(made), packs, F.concat((F.col("p_partkey") % 50 * 10 + 10).cast("string"), F.lit("GRS")))
+    code = F.when(F.col("p_partkey") % 5 == 0, F.concat(F.lit(" ("), (F.col("p_partkey") % 700 + 1000).cast("string"), F.lit(")"))).otherwise("")
+    return part.select(F.col("p_partkey").alias("catalog_id"), F.concat(called, code).alias("product_name"), F.concat("p_type", F.lit(":"), called).alias("item_path"))
+
+
+def _written(catalogue: DataFrame) -> DataFrame:
+    """Names as they are written in sales: other order of words, slips, left-out words, another pack."""
+    k, name = F.col("catalog_id") % 7, F.col("product_name")
+    words = F.split(name, " ")
+    wrong = F.concat(F.substring(name, 1, 4), F.lit("X"), F.expr("substring(product_name, 6)"))
+    said = F.when(k == 0, name).when(k == 1, F.concat(F.lit("PT:"), F.lower(name))).when(k == 2, F.array_join(F.reverse(words), " ")).when(k == 3, wrong).when(k == 4, F.array_join(F.slice(words, 2, 20), " "))
+    return catalogue.select(said.when(k == 5, F.concat(wrong, F.lit(" CAJA"))).otherwise(F.concat(F.lit("OTRO "), F.array_join(F.slice(words, 1, 2), " "))).alias("producto"))
+
+
+@query("j13_match_ladder")
+def match_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names as sales write them against the catalogue of parts, by the long ladder."""
+    catalogue = _catalogue(spark, sf_dir)
+    return MT.ladder(_written(catalogue), catalogue, item="item_path")
+
+
+@query("j15_closest_names")
+def closest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The short ladder: equal names, leaves and codes of one id, then the closest spelling of 0.88 or more."""
+    catalogue = _catalogue(spark, sf_dir)
+    return MT.short_ladder(_written(catalogue), catalogue, item="item_path")
+
+
 @query("c16_leaf_items", "SELECT DISTINCT p_type || ':' || p_brand AS item FROM part")
 def leaf_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of family and family:brand items the ones no other item extends."""
