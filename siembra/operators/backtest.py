@@ -12,9 +12,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siembra.functions.numeric import history_cap
+from siembra.operators import extra_trees as ET
 from siembra.operators import least_squares as LS
-from siembra.operators.forecast import baselines, trainable
-from siembra.operators.metrics import error_metrics, holdout, periods_of, walk_forward
+from siembra.operators.forecast import baselines, fit, models, predict, trainable
+from siembra.operators.metrics import best_model, error_metrics, holdout, periods_of, rolling_origin, walk_forward
+from siembra.sources.scratch import written
 
 #: Ridge penalty of each linear model. Fixed values.
 PENALTIES = {"linear_regression": 0.0, "ridge_regression": 1.0}
@@ -35,7 +37,7 @@ def _predicted(raw: Column) -> Column:
     return history_cap(F.expm1(F.least(raw, F.lit(50.0))), F.col("expanding_max"), F.col("rolling_max_12"), F.col("rolling_mean_12"))
 
 
-def linear_windows(features: DataFrame, columns: Sequence[str], cuts: Sequence[dict], models: Sequence[str] = tuple(PENALTIES), least_rows: int = 1) -> list[dict]:
+def linear_windows(features: DataFrame, columns: Sequence[str], cuts: Sequence[dict], names: Sequence[str] = tuple(PENALTIES), least_rows: int = 1) -> list[dict]:
     """Intercept and slopes of each model for each cut (a dict with ``train_until``); cuts with too few rows fall out."""
     moments = LS.monthly_moments(trainable(features), columns, F.log1p(F.greatest(F.col("target_qty"), F.lit(0.0))))
     out = []
@@ -43,7 +45,7 @@ def linear_windows(features: DataFrame, columns: Sequence[str], cuts: Sequence[d
         total = LS.until(moments, cut["train_until"])
         if total is None or total.rows < least_rows:
             continue
-        for name in models:
+        for name in names:
             intercept, slopes = total.solve(PENALTIES[name])
             out.append(cut | {"model_name": name, "train_rows": total.rows, "intercept": intercept, "slopes": slopes})
     return out
@@ -146,3 +148,32 @@ def learning_curve(features: DataFrame, columns: Sequence[str], model: str = "ri
     pick = lambda m, part: F.max(F.when(F.col("part") == part, F.col(m)))
     wide = errors.groupBy(*keys).agg(*(pick(m, part).alias(f"{m}_{part}") for m in ("wape", "mae", "rmse", "smape") for part in ("train", "validation")), pick("n", "validation").alias("validation_rows"))
     return wide.withColumns({"model_name": F.lit(model), "wape_gap": F.col("wape_validation") - F.col("wape_train")})
+
+
+def compare_models(features: DataFrame, columns: Sequence[str], folds: int = 3, trees: int = 40, depth: int = 8) -> tuple[DataFrame, str]:
+    """Six models by temporal cross-validation before the test months: errors averaged over folds, and the one of least WAPE.
+
+    Linear and ridge of all folds come from the same sums, the randomised trees of all folds from the same passes;
+    the two forests and the boosted trees are fitted fold by fold. The test months are neither trained on
+    nor validated on, so the choice can't depend on them. ``features`` should be a written table.
+    """
+    split = holdout(periods_of(features))
+    before = [*split["train"], *split["validation"]]
+    cuts = [{"fold_id": k, "train_until": train[-1], "test_from": test[0], "test_until": test[-1]} for k, (train, test) in enumerate(rolling_origin(before, folds), 1)]
+    train = trainable(features)
+    target = F.log1p(F.greatest(F.col("target_qty"), F.lit(0.0)))
+    fits = _literal(linear_windows(features, columns, cuts))
+    inside = F.col("periodo").between(F.col("w.test_from"), F.col("w.test_until"))
+    scored = features.withColumn("w", F.explode(fits)).where(inside).select("w.model_name", "w.fold_id", "target_qty", _predicted(LS.fitted(F.col("w.intercept"), F.col("w.slopes"), columns)).alias("p"))
+    forest = ET.fit(train, columns, target, [c["train_until"] for c in cuts], trees, depth)
+    known = models()
+    for k, cut in enumerate(cuts):
+        test = features.where(F.col("periodo").between(F.lit(cut["test_from"]), F.lit(cut["test_until"])))
+        own = ET.predict(test, forest, columns, k).select(F.lit("extra_trees").alias("model_name"), F.lit(cut["fold_id"]).alias("fold_id"), "target_qty", _predicted(F.col("raw")).alias("p"))
+        scored = scored.unionByName(own)
+        for name in ("random_forest", "random_forest_conservative", "boosted_trees"):
+            model = fit(train.where(F.col("periodo") <= F.lit(cut["train_until"])), known[name], columns)
+            scored = scored.unionByName(predict(test, model, "p").select(F.lit(name).alias("model_name"), F.lit(cut["fold_id"]).alias("fold_id"), "target_qty", "p"))
+    errors = scored.groupBy("model_name", "fold_id").agg(*error_metrics("target_qty", "p"))
+    table = written(errors.groupBy("model_name").agg(F.avg("wape").alias("wape"), F.avg("mae").alias("mae"), F.avg("rmse").alias("rmse"), F.count("*").alias("folds")), "models")
+    return table, best_model({r["model_name"]: r["wape"] for r in table.collect()}, "validation")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siembra.operators import backtest as BT
 from siembra.operators import decision as DC
 from siembra.operators import forecast as FC
 from siembra.operators import inventory as I
@@ -13,6 +14,7 @@ from siembra.operators import metrics as ME
 from siembra.operators import panel as P
 from siembra.plans.panels import _GRID, text_month
 from siembra.plans.registry import query
+from siembra.sources.scratch import shared_folder, written
 from siembra.sources.tables import monthly_panel, panel_sql, table
 from siembra.streaming import events as S
 
@@ -167,9 +169,9 @@ def leaf_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("d16_model_comparison")
 def model_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Temporal cross-validation of three models on brand months; selection never sees the test months."""
-    features = FC.prepared(P.complete_grid(monthly_panel(spark, sf_dir))).cache()
-    return FC.compare_models(features, names=["linear", "ridge", "random_forest_conservative"], folds=2)[0]
+    """Three-fold temporal cross-validation of six models on brand months; selection never sees the test months."""
+    features = written(FC.prepared(P.complete_grid(monthly_panel(spark, sf_dir))), "features")
+    return BT.compare_models(features, FC.active_features(features), trees=20, depth=7)[0]
 
 
 @query("d19_recursive_forecast")
@@ -179,9 +181,7 @@ def recursive_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
     features = FC.prepared(panel)
     columns = ["lag_1", "lag_12", "rolling_mean_3", "rolling_mean_12", "month_sin", "month_cos"]
     if not spark.sparkContext.getCheckpointDir():
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siembra-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     model = FC.fit(FC.trainable(features), FC.models()["linear"], columns)
     return text_month(FC.forecast(panel, model, 3))
 
