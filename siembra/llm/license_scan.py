@@ -51,12 +51,32 @@ TEMPLATES = {
 #: Whole license texts in the folder ``licenses``.
 WHOLE = ("Apache-2.0", "CC0-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0")
 TEMPLATES |= {name: resources.files("siembra.llm").joinpath("licenses", f"{name}.txt").read_text("utf-8") for name in WHOLE}
-#: Words that have to be aligned one after another, where little else tells a license from its neighbours.
-KEYS = {"BSD-3-Clause": "endorse or promote products derived", "GPL-2.0-notice": "version 2.", "GPL-3.0": "13. Use with the GNU Affero General Public License."}
-KEYS |= {name: text.split("Creative Commons ")[1].split()[0] for name, text in TEMPLATES.items() if "Creative Commons Attribution-" in text and name.endswith("-4.0-notice")}
-KEYS |= {name: f"CC {text.split()[3]}" for name, text in TEMPLATES.items() if name.endswith("-short-notice")}
+#: Phrases that have to be aligned word beside word in the text as well: names and versions that tell a license from its neighbours.
+KEYS: dict[str, tuple[str, ...]] = {
+    "BSD-3-Clause": ("endorse or promote products derived",), "GPL-3.0": ("13. Use with the GNU Affero General Public License.",),
+    "MIT-notice": ("the MIT License",), "all-rights-reserved-notice": ("All rights reserved.",), "CC-BY-4.0-notice": ("Creative Commons Attribution 4.0",),
+    "Apache-2.0-notice": ("Apache License, Version 2.0",), "Apache-2.0-header": ("Apache License, Version 2.0",),
+    "GPL-2.0-notice": ("GNU General Public License, version 2",), "GPL-3.0-notice": ("GNU General Public License, version 3",), "GPL-3.0-header": ("GNU General Public License", "version 3 of the License"),
+}
+KEYS |= {name: (f"Creative Commons {text.split('Creative Commons ')[1].split()[0]} 4.0",) for name, text in TEMPLATES.items() if "Creative Commons Attribution-" in text and name.endswith("-4.0-notice")}
+KEYS |= {name: (f"CC {text.split()[3]} 4.0",) for name, text in TEMPLATES.items() if name.endswith("-short-notice")}
 #: A license with such words stands in the place of those that its text holds as well.
-BEATS = {"BSD-3-Clause": ("BSD-2-Clause",), "GPL-2.0-notice": ("GPL-3.0-notice",)} | {name: ("CC-BY-4.0-notice",) for name in KEYS if name.startswith("CC-BY-") and not name.endswith("short-notice")}
+BEATS = {"BSD-3-Clause": ("BSD-2-Clause",)}
+#: Marks that don't belong to a word at its ends.
+MARKS = np.isin(np.arange(256), np.frombuffer(b"\"'().,;:!?[]{}<>*", np.uint8))
+
+
+def bare_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``word_bounds`` without marks at the ends of words; words of marks alone stay as they are."""
+    first, last, words = word_bounds(data, offsets)
+    a, b = first.copy(), last.copy()
+    for at, step, edge in ((a, 1, 0), (b, -1, -1)):
+        moving = np.arange(len(a))
+        while len(moving):
+            moving = moving[(a[moving] < b[moving]) & MARKS[data[np.minimum(at[moving] + edge, len(data) - 1)]]]
+            at[moving] += step
+    empty = a >= b
+    return np.where(empty, first, a), np.where(empty, last, b), words
 
 
 def align(text: list[int], template: list[int], begin: int = 0, end: int | None = None) -> list[tuple[int, int]]:
@@ -161,7 +181,7 @@ class Templates:
         self.words = [self.hashes(texts[k]) for k in self.names]
         self.vocabulary = np.unique(np.concatenate(self.words)) if self.words else np.zeros(0, np.uint64)
         self.limits = [Counter(w.tolist()) for w in self.words]
-        self.keys = [self._key(w, self.hashes(KEYS[k])) if texts[k] is TEMPLATES.get(k) and k in KEYS else range(0) for k, w in zip(self.names, self.words, strict=True)]
+        self.keys = [[self._key(w, self.hashes(key)) for key in KEYS.get(k, ())] if texts[k] is TEMPLATES.get(k) else [] for k, w in zip(self.names, self.words, strict=True)]
         self.losers = {x for k in self.names for x in BEATS.get(k, ())}
 
     @staticmethod
@@ -173,13 +193,19 @@ class Templates:
     @staticmethod
     def hashes(text: str) -> np.ndarray:
         data = np.frombuffer(text.encode(), np.uint8)
-        first, last, _ = word_bounds(data, np.array([0, len(data)]))
+        first, last, _ = bare_words(data, np.array([0, len(data)]))
         return span_hashes(data, first, last)
 
 
+def _together(pairs: list[tuple[int, int]], keys: list[range]) -> bool:
+    """Whether every word of each key is aligned, with nothing between them in the text."""
+    place = {at: k for k, at in pairs}
+    return all(key[0] in place and all(place.get(at) == place[key[0]] + n for n, at in enumerate(key)) for key in keys)
+
+
 def scan(data: np.ndarray, offsets: np.ndarray, templates: Templates, coverage: float, spread: float = SPREAD) -> Iterator[tuple[int, str, float, int, int, int]]:
     """(text, license, coverage, start word, end word, aligned words) of the best stretch of each text and template."""
-    first, last, words = word_bounds(data, offsets)
+    first, last, words = bare_words(data, offsets)
     hashes = span_hashes(data, first, last)
     if not len(templates.vocabulary) or not len(hashes):
         return
@@ -192,7 +218,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, templates: Templates, coverage:
         found = hashes[places]
         counts = Counter(found.tolist())
         start, kept = int(words[doc]), {}
-        for name, template, limit, key in zip(templates.names, templates.words, templates.limits, templates.keys, strict=True):
+        for name, template, limit, keys in zip(templates.names, templates.words, templates.limits, templates.keys, strict=True):
             need = max(1, int(np.ceil(coverage * len(template))))
             if len(places) < need or sum(min(n, counts.get(w, 0)) for w, n in limit.items()) < need:
                 continue
@@ -202,7 +228,7 @@ def scan(data: np.ndarray, offsets: np.ndarray, templates: Templates, coverage:
                 # words that aren't the template's can't be aligned, so only its own are
                 pairs = [(int(own[low + k]), at) for k, at in align(words_of_own[low:high], template.tolist())]
                 share = len(pairs) / len(template)
-                if share >= coverage and set(key) <= {at for _, at in pairs}:
+                if share >= coverage and _together(pairs, keys):
                     kept.setdefault(name, []).append((int(doc), name, share, pairs[0][0] - start, pairs[-1][0] + 1 - start, len(pairs)))
                     if share == 1 and name not in templates.losers:
                         break
@@ -220,7 +246,7 @@ def scan_licenses(df: DataFrame, templates: Mapping[str, str] = TEMPLATES, id_co
     ``start_word`` and ``end_word`` (exclusive) of the aligned stretch, ``n_words`` aligned. Of several
     stretches the one with the highest coverage counts, then the first. Null, empty and other texts
     without a license have no row; repeated rows have a row each; empty templates are left out.
-    A-Z count as a-z. The aligned words have to stand within ``spread`` times the template's length (so three
+    A-Z count as a-z, marks at the ends of words don't count, the phrases of ``KEYS`` have to stand together. The aligned words have to stand within ``spread`` times the template's length (so three
     other words may follow each of its words); words further apart aren't a license. Two copies
     of a license in a text are one row. An empty table gives an empty result. Other columns aren't read.
     """
