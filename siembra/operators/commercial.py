@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siembra.functions import text as X
 from siembra.functions.numeric import safe_ratio
+from siembra.operators.order_statistics import quantiles
 
 #: Zones that stand for no zone.
 EXCLUDED = r"\b(SIN|FALTA) ASIGNAR\b"
@@ -56,7 +57,7 @@ def budget(df: DataFrame, net: str, returns: str, sales: str, zone_factor: Colum
 
 def quality_report(df: DataFrame, key: Sequence[str], value: str) -> DataFrame:
     """Long table (regla, valor): rows, missing, negative, zero, quartile outliers, duplicates, largest ratio to the median."""
-    q = df.agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q")).scalar()
+    q = quantiles(df, value, [0.25, 0.5, 0.75]).scalar()
     v, width = F.col(value), q[2] - q[0]
     facts = df.agg(
         F.count("*").cast("double").alias("filas"), F.count_if(v.isNull()).cast("double").alias("faltantes"), F.count_if(v < 0).cast("double").alias("negativos"), F.count_if(v == 0).cast("double").alias("ceros"),

@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siembra.functions.numeric import safe_ratio
+from siembra.operators.order_statistics import quantiles, value_ranks
 from siembra.operators.relational import average_rank
+from siembra.sources.scratch import written
 
 
 def _exact(c: Column) -> Column:
@@ -33,12 +35,11 @@ def high_error_products(df: DataFrame, key: str, actual: str, predicted: str, sh
     g = df.groupBy(key).agg(_exact(F.col(actual)).alias("cantidad_real_total"), _exact(F.col(predicted)).alias("cantidad_predicha_total"), _exact(e).alias("error_absoluto_total"))
     g = g.withColumn("wape_producto", safe_ratio(F.col("error_absoluto_total"), F.col("cantidad_real_total")))
     # an average rank below share: counted by distinct error values, which are combined first
-    sizes = g.groupBy("error_absoluto_total").agg(F.count("*").alias("__ties"))
-    ranked = sizes.withColumn("__above", F.coalesce(F.sum("__ties").over(Window.orderBy(F.desc("error_absoluto_total")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    n = g.agg(F.count("*").alias("n")).scalar()
-    joined = g.join(ranked, "error_absoluto_total")
-    rank = (F.col("__above") + 1 + (F.col("__ties") - 1) / 2.0) / n
-    return joined.withColumn("prioridad_revision", F.when(rank <= share, "alta").otherwise("normal")).drop("__ties", "__above")
+    g = written(g, "errors")
+    ranked = value_ranks(g, "error_absoluto_total")
+    rank = (F.col("total") - F.col("below") - F.col("n") + 1 + (F.col("n") - 1) / 2.0) / F.col("total")
+    ranked = ranked.select("error_absoluto_total", F.when(rank <= share, "alta").otherwise("normal").alias("prioridad_revision"))
+    return g.join(ranked, "error_absoluto_total", "left").withColumn("prioridad_revision", F.coalesce("prioridad_revision", F.lit("normal")))
 
 
 def dedupe_high_error(df: DataFrame, key: str = "product_id") -> DataFrame:
@@ -107,7 +108,7 @@ def best_model(scores: dict[str, float], selected_on: str) -> str:
 
 def psi(train: DataFrame, test: DataFrame, value: str, bins: int = 10) -> float:
     """Population stability index over quantile bins of the training values; 0 with less than three edges."""
-    edges = sorted(set(train.agg(F.percentile(value, F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("q")).first()["q"] or []))
+    edges = sorted(set(quantiles(train, value, [k / bins for k in range(bins + 1)]).first()["q"] or []))
     if len(edges) < 3:
         return 0.0
     place = sum(((F.col(value) > e).cast("int") for e in edges[1:-1]), F.lit(0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from siembra.functions.dates import MONTH_NAMES, calendar, in_months, month_index
 from siembra.functions.numeric import lookup
+from siembra.operators.order_statistics import quantiles
 
 LAGS = (1, 2, 3, 6, 12)
 ROLLS = (3, 6, 12)
@@ -162,8 +163,8 @@ def month_difference(later: Column, earlier: Column) -> Column:
 
 def iqr_flags(df: DataFrame, value: str, keys: Sequence[str] = (), times: float = 1.5) -> DataFrame:
     """Quartile bounds by group, whether a value is outside, and the value clipped to them (never below 0)."""
-    q = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(0.25), F.lit(0.75))).alias("__q"))
-    joined = df.join(q, list(keys)) if keys else df.withColumn("__q", q.scalar())
+    q = quantiles(df, value, [0.25, 0.75], keys, "__q")
+    joined = df.join(q, list(keys), "left") if keys else df.withColumn("__q", q.scalar())
     q1, q3 = F.col("__q")[0], F.col("__q")[1]
     low, high = q1 - (q3 - q1) * times, q3 + (q3 - q1) * times
     return joined.withColumns({"iqr_low": low, "iqr_high": high}).withColumns({"es_outlier": (F.col(value) < F.col("iqr_low")) | (F.col(value) > F.col("iqr_high")), "recortado": F.greatest(F.least(F.col(value), F.col("iqr_high")), F.greatest(F.col("iqr_low"), F.lit(0.0)))}).drop("__q")

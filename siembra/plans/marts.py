@@ -278,6 +278,26 @@ def lof_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.local_outlier_factor(a, "agency", columns).join(M.pca_reconstruction(a, columns).select("agency", "pca_error"), "agency")
 
 
+_CUSTOMER = f"SELECT customer_id AS id, SUM(CAST(total_venta AS DECIMAL(18,4))) AS a, SUM(CAST(total_devolucion AS DECIMAL(18,4))) AS b, COUNT(*) AS c FROM ({SALES_SQL}) GROUP BY customer_id"
+
+
+@query(
+    "m08_customer_lof",
+    f"""
+WITH r AS (SELECT id, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(c AS DOUBLE) AS c FROM ({_CUSTOMER})), m AS (SELECT avg(a) AS ma, stddev_pop(a) AS sa, avg(b) AS mb, stddev_pop(b) AS sb, avg(c) AS mc, stddev_pop(c) AS sc FROM r),
+z AS (SELECT id, (a - ma) / sa AS a, (b - mb) / sb AS b, (c - mc) / sc AS c FROM r, m),
+d AS (SELECT x.id, y.id AS other, sqrt((x.a - y.a) * (x.a - y.a) + (x.b - y.b) * (x.b - y.b) + (x.c - y.c) * (x.c - y.c)) AS d FROM z x JOIN z y ON x.id <> y.id),
+k AS (SELECT id, other, d FROM d QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, other) <= 5), f AS (SELECT id, max(d) AS radius FROM k GROUP BY id),
+p AS (SELECT k.id, 1 / greatest(avg(greatest(d, radius)), 1e-12) AS density FROM k JOIN f ON f.id = k.other GROUP BY k.id)
+SELECT k.id AS customer_id, round(avg(o.density) / max(p.density), 5) AS lof FROM k JOIN p ON p.id = k.id JOIN p o ON o.id = k.other GROUP BY k.id
+""",
+)
+def customer_lof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local outlier factors of customers by sales, returns and lines."""
+    c = sales(spark, sf_dir).groupBy("customer_id").agg(money_sum("total_venta").alias("a"), money_sum("total_devolucion").alias("b"), F.count("*").cast("double").alias("c"))
+    return M.local_outlier_factor(c, "customer_id", ["a", "b", "c"]).withColumn("lof", F.round("lof", 5))
+
+
 @query("m10_clusters")
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products by sales and return rate in the number of clusters with the best silhouette."""
