@@ -57,6 +57,6 @@ def quantiles(df: DataFrame, value: str, shares: Sequence[float], keys: Sequence
     has = lambda e: e.between(F.col("__below"), F.col("__below") + F.col("__n") - 1)
     v = F.col("__v").cast("double")
     found = placed.groupBy(*keys).agg(F.max("__total").alias("__total"), *(F.max(F.when(has(e), v)).alias(f"__{k}_{i}") for k, pair in enumerate(ends) for i, e in enumerate(pair)))
-    between = [F.when(low == high, F.col(f"__{k}_0")).otherwise((high - p) * F.col(f"__{k}_0") + (p - low) * F.col(f"__{k}_1")) for k, (p, (low, high)) in enumerate(zip(at, ends, strict=True))]
+    between = [F.when((low == high) | (F.col(f"__{k}_0") == F.col(f"__{k}_1")), F.col(f"__{k}_0")).otherwise((high - p) * F.col(f"__{k}_0") + (p - low) * F.col(f"__{k}_1")) for k, (p, (low, high)) in enumerate(zip(at, ends, strict=True))]
     every = F.array(*between)
     return found.select(*keys, F.when(F.col("__total") > 0, every).alias(name))

@@ -290,7 +290,12 @@ def pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     The order is global, so cumulated values are built from ranges of the value: sums by range are
     combined first, and only the rows of one range are ordered together.
     """
-    a = sales(spark, sf_dir).groupBy("product_id").agg(money_sum("value").alias("total"))
+    return cumulative_value(sales(spark, sf_dir).groupBy("product_id").agg(money_sum("value").alias("total")))
+
+
+def cumulative_value(a: DataFrame) -> DataFrame:
+    """(product_id, total, pct_acumulado, pareto_80) of totals by product; a missing total is 0."""
+    a = a.withColumn("total", F.coalesce("total", F.lit(0.0)))
     exact = F.col("total").cast("decimal(20,4)")
     placed = a.withColumn("__range", F.floor(F.signum("total") * F.log2(F.abs("total") + 1) * 64))
     sums = placed.groupBy("__range").agg(F.sum(exact).alias("__n"))

@@ -30,15 +30,16 @@ def sign_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     "p11_margin_repair",
     """
 WITH d AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS total_neto, l_extendedprice * 0.6::DOUBLE AS costo_venta,
-  CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_orderkey % 5 = 1 THEN 1e14::DOUBLE WHEN l_orderkey % 5 = 2 THEN 'nan'::DOUBLE ELSE l_extendedprice * 0.3::DOUBLE END AS r FROM lineitem),
-x AS (SELECT *, r IS NULL OR isnan(r) OR abs(r) >= 1e13 AS flag_outlier FROM d), y AS (SELECT *, CASE WHEN flag_outlier THEN total_neto - costo_venta ELSE r END AS rentabilidad FROM x)
+  l_linenumber = 1 AS was, CASE WHEN l_orderkey % 5 = 0 THEN NULL WHEN l_orderkey % 5 = 1 THEN 1e14::DOUBLE WHEN l_orderkey % 5 = 2 THEN 'nan'::DOUBLE ELSE l_extendedprice * 0.3::DOUBLE END AS r FROM lineitem),
+x AS (SELECT *, r IS NULL OR isnan(r) OR abs(r) >= 1e13 AS bad, was OR r IS NULL OR isnan(r) OR abs(r) >= 1e13 AS flag_outlier FROM d), y AS (SELECT *, CASE WHEN bad THEN total_neto - costo_venta ELSE r END AS rentabilidad FROM x)
 SELECT l_orderkey, l_linenumber, rentabilidad, flag_outlier, CASE WHEN abs(total_neto) > 1e-9 THEN rentabilidad / total_neto * 100 ELSE 0 END AS prc_rentabilidad FROM y
 """,
 )
 def margin_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Margins that can't be; first lines come flagged already."""
     part = F.col("l_orderkey") % 5
     r = F.when(part == 0, None).when(part == 1, 1e14).when(part == 2, float("nan")).otherwise(F.col("l_extendedprice") * 0.3)
-    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("total_neto"), (F.col("l_extendedprice") * 0.6).alias("costo_venta"), r.alias("rentabilidad"))
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("total_neto"), (F.col("l_extendedprice") * 0.6).alias("costo_venta"), r.alias("rentabilidad"), (F.col("l_linenumber") == 1).alias("flag_outlier"))
     return S.repair_margin(d).drop("total_neto", "costo_venta")
 
 
@@ -115,18 +116,31 @@ def production_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pp_panel(spark, sf_dir).withColumns({"periodo": F.col("periodo").cast("string"), "orden_unica": F.col("ordenes") == 1})
 
 
+_MADE = """
+SELECT CAST(l_partkey % 200 AS VARCHAR) AS product_id, CAST(date_trunc('month', l_shipdate) AS DATE) AS periodo, CAST(SUM(l_quantity) AS DOUBLE) AS fabricada,
+  CAST(SUM(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE 0 END) AS DOUBLE) AS planificada, COUNT(DISTINCT l_orderkey) AS ordenes FROM lineitem GROUP BY ALL
+"""
+
+
 @query(
     "f22_suspicious_outliers",
     f"""
-WITH p AS ({_PP}), q AS (SELECT product_id, quantile_cont(q_fabricada, 0.25) AS a, quantile_cont(q_fabricada, 0.75) AS b FROM p GROUP BY product_id), j AS (SELECT p.*, b + 1.5 * (b - a) AS bound FROM p JOIN q USING (product_id))
-SELECT product_id, CAST(periodo AS VARCHAR) AS periodo, q_fabricada AS q_fabricada_raw, CASE WHEN q_fabricada > bound AND ordenes < 8 THEN bound ELSE q_fabricada END AS q_fabricada, q_fabricada > bound AS extremo, q_fabricada > bound AND ordenes < 8 AS sospechoso, CASE WHEN q_fabricada > bound AND ordenes < 8 THEN 'cap' ELSE 'none' END AS tratamiento FROM j
+WITH p AS ({_MADE}), q AS (
+ SELECT product_id, quantile_cont(fabricada, [0.25, 0.75, 0.995]) AS f, quantile_cont(planificada, [0.25, 0.75, 0.995]) AS g FROM p GROUP BY product_id),
+j AS (SELECT p.*, greatest(f[2] + 3 * (f[2] - f[1]), f[3], 0) AS bf, greatest(g[2] + 3 * (g[2] - g[1]), g[3], 0) AS bp FROM p JOIN q USING (product_id)),
+s AS (SELECT *, fabricada > bf AND NOT (planificada > 0 OR ordenes >= 2) AS sf, planificada > bp AND ordenes <= 1 AS sp FROM j)
+SELECT product_id, CAST(periodo AS VARCHAR) AS periodo, fabricada AS fabricada_raw, planificada AS planificada_raw, round(CASE WHEN sf THEN bf ELSE fabricada END, 6) AS fabricada, round(CASE WHEN sp THEN bp ELSE planificada END, 6) AS planificada,
+ fabricada > bf AS extremo_fabricada, planificada > bp AS extremo_planificada, sf AS sospechoso_fabricada, sp AS sospechoso_planificada,
+ CASE WHEN sf AND sp THEN 'cap_ambas' WHEN sf THEN 'cap_fabricada' WHEN sp THEN 'cap_planificada' ELSE 'none' END AS tratamiento FROM s
 """,
 )
 def suspicious_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Extremes are capped only where few orders stand behind them. A product's months are bounded, so its quartiles are too."""
-    p = _pp_panel(spark, sf_dir)
-    joined = p.join(S.robust_bound(p, "q_fabricada", ["product_id"], 1.5), "product_id")
-    return S.cap_suspicious(joined, "q_fabricada", "bound", F.col("ordenes") >= 8).select("product_id", F.col("periodo").cast("string").alias("periodo"), "q_fabricada_raw", "q_fabricada", "extremo", "sospechoso", "tratamiento")
+    """Extremes of made and planned quantities are capped only where no plan or order stands behind them."""
+    d = table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 200).cast("string").alias("product_id"), F.trunc(F.to_date("l_shipdate"), "MM").alias("periodo"), "l_quantity", "l_returnflag", "l_orderkey")
+    planned = F.when(F.col("l_returnflag") == "A", F.col("l_quantity")).otherwise(0.0)
+    p = d.groupBy("product_id", "periodo").agg(F.sum("l_quantity").alias("fabricada"), F.sum(planned).alias("planificada"), F.countDistinct("l_orderkey").alias("ordenes"))
+    capped = S.cap_suspicious(p, ["product_id"], "fabricada", "planificada", "ordenes").drop("ordenes")
+    return capped.withColumns({"periodo": F.col("periodo").cast("string"), "fabricada": F.round("fabricada", 6), "planificada": F.round("planificada", 6)})
 
 
 @query(
@@ -205,14 +219,23 @@ def latest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "c31_lot_bands",
     f"""
-WITH p AS ({panel_sql('brand')}), x AS (SELECT product_id, periodo, ceil(greatest(target_qty, 0)) AS q, least(greatest(coalesce(CASE WHEN month(periodo) % 3 > 0 THEN month(periodo) / 10.0::DOUBLE END, 0.25::DOUBLE), 0.10::DOUBLE), 1.0::DOUBLE) AS f FROM p), y AS (SELECT *, ceil(q / 5) * 5 AS best FROM x)
-SELECT product_id, CAST(periodo AS VARCHAR) AS periodo, CAST(best AS DOUBLE) AS qty_recomendada, CAST(least(floor(floor(q * (1 - f)) / 5) * 5, best) AS DOUBLE) AS qty_min_recomendada, CAST(greatest(ceil(ceil(q * (1 + f)) / 5) * 5, best) AS DOUBLE) AS qty_max_recomendada FROM y
+WITH p AS ({panel_sql('brand')}), h AS (SELECT product_id, periodo, target_qty, CASE WHEN right(product_id, 1) IN ('1', '3', '5') THEN 'PT' ELSE 'PP' END AS tipo, lag(target_qty) OVER w AS l1,
+  stddev_samp(target_qty) OVER (PARTITION BY product_id ORDER BY periodo ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING) AS sd FROM p WINDOW w AS (PARTITION BY product_id ORDER BY periodo)),
+x AS (SELECT *, ceil(greatest(target_qty, 0)) AS q, least(greatest(coalesce(CASE WHEN month(periodo) % 3 > 0 THEN month(periodo) / 10.0::DOUBLE END, 0.25::DOUBLE), 0.10::DOUBLE), 1.0::DOUBLE) AS f, floor(greatest(coalesce(l1, 0), 0) * 0.2::DOUBLE) AS inv FROM h),
+s AS (SELECT *, ceil(greatest(greatest(coalesce(sd, 0), 0) * 0.5::DOUBLE, q * 0.1::DOUBLE)) AS seg, floor(q * (1 - f)) AS mn, ceil(q * (1 + f)) AS mx FROM x),
+n AS (SELECT *, CASE WHEN tipo = 'PT' THEN greatest(q + seg - inv, 0) ELSE q END AS need, CASE WHEN tipo = 'PT' THEN greatest(mn + floor(seg * 0.7::DOUBLE) - ceil(inv * 1.1::DOUBLE), 0) ELSE mn END AS low, CASE WHEN tipo = 'PT' THEN mx + ceil(seg * 1.2::DOUBLE) ELSE mx END AS high FROM s),
+b AS (SELECT *, ceil(need / 5) * 5 AS best FROM n)
+SELECT product_id, CAST(periodo AS VARCHAR) AS periodo, tipo, CAST(best AS DOUBLE) AS qty_recomendada, CAST(least(floor(low / 5) * 5, best) AS DOUBLE) AS qty_min_recomendada, CAST(ceil(greatest(best, need, high) / 5) * 5 AS DOUBLE) AS qty_max_recomendada FROM b
 """,
 )
 def lots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Recommendations and bands in lots of five (C-31, D-23)."""
-    p = monthly_panel(spark, sf_dir).withColumn("f", F.when(F.month("periodo") % 3 > 0, F.month("periodo") / 10.0))
-    return S.lot_bands(p, "target_qty", "f").select("product_id", F.col("periodo").cast("string").alias("periodo"), "qty_recomendada", "qty_min_recomendada", "qty_max_recomendada")
+    """Recommendations and bands in lots of five (C-31, D-23); brands that end in 1, 3 or 5 are finished products."""
+    w = Window.partitionBy("product_id").orderBy("periodo")
+    p = monthly_panel(spark, sf_dir).withColumns({
+        "f": F.when(F.month("periodo") % 3 > 0, F.month("periodo") / 10.0), "tipo": F.when(F.substring("product_id", -1, 1).isin("1", "3", "5"), "PT").otherwise("PP"),
+        "l1": F.lag("target_qty").over(w), "sd": F.stddev_samp("target_qty").over(w.rowsBetween(-3, -1)),
+    })
+    return S.lot_bands(p, "target_qty", "f", kind="tipo", lag="l1", spread="sd").select("product_id", F.col("periodo").cast("string").alias("periodo"), "tipo", "qty_recomendada", "qty_min_recomendada", "qty_max_recomendada")
 
 
 @query(
@@ -230,13 +253,13 @@ def function_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     "j18_exogenous",
     f"""
 WITH p AS ({panel_sql('brand')}), m AS (SELECT DISTINCT periodo FROM p),
-c AS (SELECT periodo, CASE WHEN month(periodo) % 4 = 0 THEN 30 ELSE month(periodo) END AS dias_habiles FROM m),
-x AS (SELECT product_id, periodo, CASE WHEN month(periodo) % 2 = 0 THEN target_qty * 2 ELSE target_qty END AS pedidos FROM p WHERE year(periodo) % 2 = 0)
-SELECT p.product_id, CAST(p.periodo AS VARCHAR) AS periodo, p.target_qty, CAST(c.dias_habiles AS INTEGER) AS dias_habiles, x.pedidos FROM p LEFT JOIN c USING (periodo) LEFT JOIN x ON p.product_id = x.product_id AND p.periodo = x.periodo
+c AS (SELECT periodo, CASE WHEN month(periodo) % 4 = 0 THEN (30 + month(periodo)) / 2 ELSE month(periodo) END AS dias_habiles FROM m),
+x AS (SELECT product_id, periodo, CASE WHEN month(periodo) % 2 = 0 THEN (target_qty * 2 + target_qty) / 2 ELSE target_qty END AS pedidos FROM p WHERE year(periodo) % 2 = 0)
+SELECT p.product_id, CAST(p.periodo AS VARCHAR) AS periodo, p.target_qty, CAST(c.dias_habiles AS DOUBLE) AS dias_habiles, coalesce(x.pedidos, 0.0) AS pedidos FROM p LEFT JOIN c USING (periodo) LEFT JOIN x ON p.product_id = x.product_id AND p.periodo = x.periodo
 """,
 )
 def exogenous(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calendar rows for all sources with own rows in every fourth month; product rows of the source and of another one."""
+    """Calendar rows for all sources with own rows beside them in every fourth month; product rows of the source, of all and of another one."""
     p = monthly_panel(spark, sf_dir)
     months = p.select("periodo").distinct()
     general = months.select(F.lit("ALL").alias("source_type"), "periodo", F.month("periodo").alias("dias_habiles"))
@@ -289,32 +312,46 @@ def plan_and_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.select(F.when(F.col("todo") == 1, "global").otherwise("tipo").alias("nivel"), F.coalesce("tipo", F.lit("todos")).alias("grupo"), safe_ratio(F.col("ep"), F.col("h")).alias("wape_plan"), safe_ratio(F.col("em"), F.col("h")).alias("wape_modelo"), safe_ratio(F.col("ep") - F.col("em"), F.col("ep")).alias("ganancia"), (F.col("planes") > 1).alias("plan_informativo"))
 
 
+_ERRORS = "round(SUM(abs(hecho - plan)) / nullif(SUM(abs(hecho)), 0), 6) AS wape, round(SUM(plan - hecho) / nullif(SUM(abs(hecho)), 0) * 100, 6) AS bias_pct, round(AVG(CASE WHEN abs(hecho) + abs(plan) > 0 THEN 2 * abs(hecho - plan) / (abs(hecho) + abs(plan)) ELSE 0 END), 6) AS smape, round(AVG(abs(hecho - plan)), 6) AS mae, round(sqrt(AVG((hecho - plan) * (hecho - plan))), 6) AS rmse"
+
+
 @query(
     "g37_pilot_errors",
     f"""
-WITH p AS ({_PLAN}), v AS (SELECT producto, SUM(plan) AS t FROM p GROUP BY producto ORDER BY t DESC, producto LIMIT 10)
-SELECT tipo, COUNT(*) AS filas, SUM(abs(hecho - plan)) / SUM(plan) AS error FROM p WHERE producto IN (SELECT producto FROM v) GROUP BY tipo HAVING COUNT(*) >= 8
+WITH p AS ({_PLAN}), v AS (SELECT tipo, producto FROM (SELECT tipo, producto, row_number() OVER (PARTITION BY tipo ORDER BY SUM(hecho) DESC, producto) AS r FROM p GROUP BY tipo, producto) WHERE r <= 10)
+SELECT 'piloto' AS segmento, tipo AS valor, COUNT(*) AS filas, COUNT(DISTINCT producto) AS productos, {_ERRORS} FROM p JOIN v USING (tipo, producto) GROUP BY tipo
+UNION ALL SELECT 'tipo', tipo, COUNT(*), COUNT(DISTINCT producto), {_ERRORS} FROM p GROUP BY tipo
+UNION ALL SELECT 'categoria', CAST(producto % 7 AS VARCHAR), COUNT(*), COUNT(DISTINCT producto), {_ERRORS} FROM p WHERE (producto % 7 <> 6 OR month(periodo) = 1 AND producto = 6 AND year(periodo) < 1994) GROUP BY producto % 7 HAVING COUNT(*) >= 8
 """,
 )
 def pilot_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Errors by type over the ten products of most volume; types of fewer than eight rows have none."""
+    """Errors against what was made: pilots (a type's ten products of most volume), types, and categories of eight rows or more."""
     p = _plan(spark, sf_dir)
-    top = p.groupBy("producto").agg(F.sum("plan").alias("t")).orderBy(F.desc("t"), "producto").limit(10)
-    return p.join(top, "producto", "left_semi").groupBy("tipo").agg(F.count("*").alias("filas"), (F.sum(F.abs(F.col("hecho") - F.col("plan"))) / F.sum("plan")).alias("error")).where("filas >= 8")
+    rank = F.row_number().over(Window.partitionBy("tipo").orderBy(F.desc("t"), "producto"))
+    top = p.groupBy("tipo", "producto").agg(F.sum("hecho").alias("t")).withColumn("r", rank).where("r <= 10").select("tipo", "producto")
+    few = (F.col("producto") % 7 != 6) | ((F.month("periodo") == 1) & (F.col("producto") == 6) & (F.year("periodo") < 1994))
+    rows = p.join(top, ["tipo", "producto"], "left_semi").select(F.lit("piloto").alias("segmento"), F.col("tipo").alias("valor"), "producto", "plan", "hecho")
+    rows = rows.unionByName(p.select(F.lit("tipo").alias("segmento"), F.col("tipo").alias("valor"), "producto", "plan", "hecho"))
+    rows = rows.unionByName(p.where(few).select(F.lit("categoria").alias("segmento"), (F.col("producto") % 7).cast("string").alias("valor"), "producto", "plan", "hecho"))
+    return S.segment_errors(rows, ["segmento", "valor"], "producto", "hecho", "plan").where("segmento != 'categoria' OR filas >= 8")
 
 
 @query(
     "g46_dashboard_kpis",
     f"""
-WITH r AS (SELECT agency, {dec('cant_venta')} AS v, {dec('cant_devolucion')} AS d, {dec('total_venta')} AS tv, {dec('costo_venta')} AS c FROM ({SALES_SQL}) GROUP BY agency)
-SELECT agency, v, d, tv, coalesce(d / nullif(v, 0), 0) * 100 AS pct_devolucion, coalesce((tv - c) / nullif(tv, 0), 0) * 100 AS pct_margen, CAST(COUNT(*) OVER () AS BIGINT) AS agencias FROM r
+WITH r AS (SELECT agency, {dec('total_venta')} AS total_venta, {dec('total_devolucion')} AS total_devolucion, {dec('cant_venta')} - {dec('cant_devolucion')} AS cant_neto, {dec('costo_venta')} AS c FROM ({SALES_SQL}) GROUP BY agency),
+n AS (SELECT *, total_venta - total_devolucion AS total_neto FROM r)
+SELECT agency, total_venta, total_devolucion, total_neto, cant_neto, coalesce(total_neto / nullif(cant_neto, 0), 0) AS ticket_promedio, coalesce(total_devolucion / nullif(total_venta, 0) * 100, 0) AS tasa_devolucion,
+ coalesce((total_neto - c) / nullif(total_neto, 0) * 100, 0) AS rentabilidad_promedio, CAST(COUNT(*) OVER () AS BIGINT) AS agencias FROM n
 """,
 )
 def dashboard_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sums by agency and ratios made from the sums; a zero below the line gives 0."""
-    r = _rates(spark, sf_dir, "agency")
+    """Sums by agency and ratios made from the sums: returns by value, margin over net sales, ticket; a zero below the line gives 0."""
+    r = _rates(spark, sf_dir, "agency").join(sales(spark, sf_dir).groupBy("agency").agg(money_sum("total_devolucion").alias("total_devolucion")), "agency")
     n = r.agg(F.count("*").alias("n")).scalar()
-    return r.select("agency", "v", "d", "tv", (safe_ratio(F.col("d"), F.col("v")) * 100).alias("pct_devolucion"), (safe_ratio(F.col("tv") - F.col("c"), F.col("tv")) * 100).alias("pct_margen"), n.alias("agencias"))
+    r = r.select("agency", F.col("tv").alias("total_venta"), "total_devolucion", (F.col("tv") - F.col("total_devolucion")).alias("total_neto"), (F.col("v") - F.col("d")).alias("cant_neto"), "c")
+    ratio = lambda a, b: F.coalesce(F.try_divide(a, F.nullif(F.col(b), F.lit(0.0))), F.lit(0.0))
+    return r.select("agency", "total_venta", "total_devolucion", "total_neto", "cant_neto", ratio(F.col("total_neto"), "cant_neto").alias("ticket_promedio"), (ratio(F.col("total_devolucion"), "total_venta") * 100).alias("tasa_devolucion"), (ratio(F.col("total_neto") - F.col("c"), "total_neto") * 100).alias("rentabilidad_promedio"), n.alias("agencias"))
 
 
 @query(

@@ -36,11 +36,43 @@ def test_dispatch(spark, rate, label):
     assert spark.range(1).select(S.dispatch_class(F.lit(rate)).alias("x")).first()["x"] == label
 
 
-def test_own_exogenous_rows_count_before_general_ones(spark):
-    panel = spark.sql("SELECT 'a' product_id, DATE'2025-01-01' periodo")
-    calendar = spark.sql("SELECT * FROM VALUES ('ALL', DATE'2025-01-01', 1), ('pt', DATE'2025-01-01', 2), ('PP', DATE'2025-01-01', 3) t(source_type, periodo, dias)")
-    product = spark.sql("SELECT * FROM VALUES (NULL, 'a', DATE'2025-01-01', 7), ('PP', 'a', DATE'2025-01-01', 9) t(source_type, product_id, periodo, x)")
-    assert S.exogenous(panel, calendar, product, "PT").select("dias", "x").collect() == [(2, 7)]
+def test_exogenous_values_are_means_over_source_and_general_rows(spark):
+    panel = spark.sql("SELECT * FROM VALUES ('a', DATE'2025-01-01'), ('b', DATE'2025-02-01') t(product_id, periodo)")
+    calendar = spark.sql("SELECT * FROM VALUES ('ALL', DATE'2025-01-01', 10), ('pt', DATE'2025-01-01', 20), ('PP', DATE'2025-01-01', 3) t(source_type, periodo, dias)")
+    product = spark.sql("SELECT * FROM VALUES ('PT', 'a', DATE'2025-01-01', 1), (NULL, 'a', DATE'2025-01-01', 3), ('PP', 'a', DATE'2025-01-01', 9) t(source_type, product_id, periodo, x)")
+    got = {r["product_id"]: (r["dias"], r["x"]) for r in S.exogenous(panel, calendar, product, "PT").collect()}
+    assert got == {"a": (15.0, 2.0), "b": (0.0, 0.0)}
+
+
+def test_flags_that_were_set_stay(spark):
+    df = spark.createDataFrame([(1, 10.0, 4.0, 6.0, True), (2, 10.0, 4.0, None, False), (3, 10.0, 4.0, 6.0, None), (4, 10.0, 4.0, 1e13, True)], "k int, total_neto double, costo_venta double, rentabilidad double, flag_outlier boolean")
+    assert {r["k"]: (r["rentabilidad"], r["flag_outlier"]) for r in S.repair_margin(df).collect()} == {1: (6.0, True), 2: (6.0, True), 3: (6.0, False), 4: (6.0, True)}
+    assert [r["flag_outlier"] for r in S.repair_margin(df.drop("flag_outlier")).orderBy("k").collect()] == [False, True, False, True]
+
+
+def test_suspicious_extremes(spark):
+    rows = [("a", k, 10.0 + k % 3, 5.0, 4) for k in range(30)] + [("a", 30, 500.0, 0.0, 1), ("b", 0, None, 1.0, 1)]
+    got = {(r["p"], r["m"]): r for r in S.cap_suspicious(spark.createDataFrame(rows, "p string, m int, hecha double, plan double, ordenes int"), ["p"], "hecha", "plan", "ordenes").collect()}
+    peak = got["a", 30]
+    assert peak["sospechoso_hecha"] and peak["tratamiento"] == "cap_hecha" and peak["hecha_raw"] == 500.0 and 12.0 < peak["hecha"] < 500.0
+    assert sum(r["sospechoso_hecha"] for r in got.values()) == 1 and got["b", 0]["hecha"] == 0.0
+    backed = [(p, m, q, 1.0 if q == 500 else n, o) for p, m, q, n, o in rows]
+    kept = [r for r in S.cap_suspicious(spark.createDataFrame(backed, "p string, m int, hecha double, plan double, ordenes int"), ["p"], "hecha", "plan", "ordenes").collect() if r["m"] == 30]
+    assert kept[0]["extremo_hecha"] and not kept[0]["sospechoso_hecha"] and kept[0]["hecha"] == 500.0
+
+
+def test_finished_products_add_safety_and_take_off_stock(spark):
+    df = spark.createDataFrame([("PT", 100.0, 50.0, 40.0, None), ("PP", 100.0, 50.0, 40.0, None)], "t string, q double, l double, s double, f double")
+    got = {r["t"]: (r["qty_recomendada"], r["qty_min_recomendada"], r["qty_max_recomendada"]) for r in S.lot_bands(df, "q", "f", kind="t", lag="l", spread="s").collect()}
+    # safety 20, stock 10: 110; 75 + 14 - 11 = 78; 125 + 24 = 149
+    assert got == {"PT": (110.0, 75.0, 150.0), "PP": (100.0, 75.0, 125.0)}
+
+
+def test_products_without_values_stay(spark):
+    from siembra.plans.gold import cumulative_value
+
+    got = {r["product_id"]: r["pct_acumulado"] for r in cumulative_value(spark.createDataFrame([("a", 3.0), ("b", 1.0), ("c", None)], "product_id string, total double")).collect()}
+    assert got == {"a": 75.0, "b": 100.0, "c": 100.0}
 
 
 def test_bands_hold_their_order(spark):
