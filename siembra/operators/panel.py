@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from siembra.functions.dates import MONTH_NAMES, calendar, in_months, month_index
 from siembra.functions.numeric import lookup
 from siembra.operators.order_statistics import quantiles
+from siembra.sources.scratch import written
 
 LAGS = (1, 2, 3, 6, 12)
 ROLLS = (3, 6, 12)
@@ -21,6 +22,7 @@ def complete_grid(panel: DataFrame, key: str = "product_id", month: str = "perio
     The grid ends with the last month of the table, or of the key itself. Keys that were never
     active have no rows. The months come from ``sequence``, so nothing but the panel is joined.
     """
+    panel = written(panel, "panel")  # read for its end, its first months and its rows
     active = panel.where(F.col(qty) > 0).groupBy(key).agg(F.min(month).alias("__first"))
     own_end = panel.groupBy(key).agg(F.max(month).alias("__last"))
     if to_global_end:
@@ -99,6 +101,7 @@ def feature_matrix(panel: DataFrame, key: str = "product_id", month: str = "peri
 
 def product_summary(panel: DataFrame, key: str = "product_id", month: str = "periodo", qty: str = "target_qty", inactive_months: int = 12, top_share: float = 0.6, most_active_months: int = 4) -> DataFrame:
     """Totals, activity, state and seasonality of every product over its whole history."""
+    panel = written(panel, "panel")
     latest = panel.agg(F.max(month).alias("m")).scalar()
     active = panel.where(F.col(qty) > 0)
     totals = panel.groupBy(key).agg(F.sum(F.col(qty).cast("decimal(18,4)")).cast("double").alias("total_qty"), F.count("*").alias("meses_en_serie"), F.min(F.when(F.col(qty) > 0, F.col(month))).alias("primera_actividad"), F.max(F.when(F.col(qty) > 0, F.col(month))).alias("ultima_actividad"), F.count_if(F.col(qty) > 0).alias("meses_con_actividad"))

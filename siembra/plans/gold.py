@@ -290,7 +290,7 @@ def pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     The order is global, so cumulated values are built from ranges of the value: sums by range are
     combined first, and only the rows of one range are ordered together.
     """
-    return cumulative_value(sales(spark, sf_dir).groupBy("product_id").agg(money_sum("value").alias("total")))
+    return cumulative_value(sales(spark, sf_dir, "product_id", "value").groupBy("product_id").agg(money_sum("value").alias("total")))
 
 
 def cumulative_value(a: DataFrame) -> DataFrame:

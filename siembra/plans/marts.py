@@ -225,7 +225,7 @@ p AS (SELECT x.brand AS a, y.brand AS b, COUNT(*) AS n_ab FROM b x JOIN b y ON x
 
 @query("m01_pair_support", f"WITH {_BASKET} SELECT a, p.b AS b, n_ab, sa.c AS n_a, sb.c AS n_b, n.n AS n_baskets FROM p JOIN s sa ON sa.brand = a JOIN s sb ON sb.brand = p.b, n")
 def pair_support(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = M.baskets(sales(spark, sf_dir), "order_id", "brand", top_items=120)
+    pairs = M.baskets(sales(spark, sf_dir, "order_id", "brand"), "order_id", "brand", top_items=120)
     return M.pair_counts(pairs, "order_id", "brand")
 
 

@@ -25,7 +25,7 @@ t AS (SELECT * FROM b WHERE periodo > (SELECT MAX(periodo) FROM g) - INTERVAL 12
 
 def _baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Last month's quantity as the forecast of the last twelve months."""
-    g = P.complete_grid(monthly_panel(spark, sf_dir, "product_id"))
+    g = written(P.complete_grid(monthly_panel(spark, sf_dir, "product_id")), "grid")
     lag = F.coalesce(F.lag("target_qty").over(Window.partitionBy("product_id").orderBy("periodo")), F.lit(0.0))
     last = g.agg(F.max("periodo").alias("m")).scalar()
     return g.select("product_id", "periodo", F.col("target_qty").alias("y"), lag.alias("f")).where(F.col("periodo") > F.add_months(last, -12))
@@ -111,7 +111,7 @@ SELECT product_id, conf AS confianza_prediccion, rev AS requiere_revision, auto
 )
 def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The decision layer over lag-1 forecasts of parts; even-length ids count as seasonal."""
-    e = _baseline(spark, sf_dir).groupBy("product_id").agg(F.sum(F.abs(F.col("y") - F.col("f")).cast("decimal(24,6)")).cast("double").alias("e"), F.sum(F.col("y").cast("decimal(24,6)")).cast("double").alias("y"), F.max("f").alias("pred"), F.max("periodo").alias("periodo"))
+    e = written(_baseline(spark, sf_dir).groupBy("product_id").agg(F.sum(F.abs(F.col("y") - F.col("f")).cast("decimal(24,6)")).cast("double").alias("e"), F.sum(F.col("y").cast("decimal(24,6)")).cast("double").alias("y"), F.max("f").alias("pred"), F.max("periodo").alias("periodo")), "errors")
     p = e.select("product_id", "periodo", F.col("pred").alias("cantidad_predicha"), F.when(F.col("y") > 0, "activo").otherwise("inactivo").alias("estado_producto"), (F.length("product_id") % 2 == 0).alias("es_estacional"))
     errors = e.select("product_id", F.col("e").alias("error_absoluto_total"), F.when(F.col("y") > 0, F.col("e") / F.col("y")).alias("wape_producto"), F.when(F.col("e") > 60, "alta").otherwise("normal").alias("prioridad_revision"))
     segments = spark.createDataFrame([("activos_no_estacionales", True, 0.06, 0.01, 1.0), ("activos_estacionales", False, 0.11, 0.04, 0.5), ("inactivos", False, 0.20, 0.0, 0.0)], "segmento string, segmento_apto_automatizacion boolean, mean_wape double, std_wape double, pct_folds_below_wape_threshold double")

@@ -11,12 +11,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+def sales(spark: SparkSession, sf_dir: str, *wanted: str) -> DataFrame:
     """Invoice lines in the commercial vocabulary.
 
     agency = customer's nation, brand and family from the part, a returned line
     (``l_returnflag = 'R'``) is a return and any other a sale; cost is 60 % of value.
-    Nation, customer and part are joined without hints: their size decides.
+    Nation, customer and part are joined without hints: their size decides. With ``wanted`` columns only
+    the tables that hold them are joined: keys are taken to be found in the tables they point to.
     """
     lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderstatus")
@@ -24,36 +25,41 @@ def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
     part = table(spark, sf_dir, "part").select("p_partkey", "p_brand", "p_type", "p_name")
     returned = F.col("l_returnflag") == "R"
-    return (
-        lines.join(orders, lines.l_orderkey == orders.o_orderkey)
-        .join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-        .join(part, F.col("l_partkey") == F.col("p_partkey"))
-        .select(
-            F.col("n_name").alias("agency"),
-            F.col("p_partkey").alias("product_id"),
-            F.col("p_name").alias("product_name"),
-            F.col("p_brand").alias("brand"),
-            F.col("p_type").alias("family"),
-            F.col("c_custkey").alias("customer_id"),
-            F.col("c_mktsegment").alias("segment"),
-            F.col("l_orderkey").alias("order_id"),
-            F.col("l_linenumber").alias("line_no"),
-            F.col("o_orderstatus").alias("order_status"),
-            F.col("l_linestatus").alias("line_status"),
-            F.to_date("o_orderdate").alias("order_date"),
-            F.year("o_orderdate").alias("anio"),
-            F.month("o_orderdate").alias("mes"),
-            F.trunc(F.to_date("o_orderdate"), "MM").alias("periodo"),
-            F.col("l_quantity").alias("qty"),
-            F.col("l_extendedprice").alias("value"),
-            F.when(returned, 0.0).otherwise(F.col("l_extendedprice")).alias("total_venta"),
-            F.when(returned, F.col("l_extendedprice")).otherwise(0.0).alias("total_devolucion"),
-            F.when(returned, 0.0).otherwise(F.col("l_quantity")).alias("cant_venta"),
-            F.when(returned, F.col("l_quantity")).otherwise(0.0).alias("cant_devolucion"),
-            (F.col("l_extendedprice") * 0.6).alias("costo_venta"),
-        )
-    )
+    columns = {
+        "agency": F.col("n_name"),
+        "product_id": F.col("l_partkey"),
+        "product_name": F.col("p_name"),
+        "brand": F.col("p_brand"),
+        "family": F.col("p_type"),
+        "customer_id": F.col("o_custkey"),
+        "segment": F.col("c_mktsegment"),
+        "order_id": F.col("l_orderkey"),
+        "line_no": F.col("l_linenumber"),
+        "order_status": F.col("o_orderstatus"),
+        "line_status": F.col("l_linestatus"),
+        "order_date": F.to_date("o_orderdate"),
+        "anio": F.year("o_orderdate"),
+        "mes": F.month("o_orderdate"),
+        "periodo": F.trunc(F.to_date("o_orderdate"), "MM"),
+        "qty": F.col("l_quantity"),
+        "value": F.col("l_extendedprice"),
+        "total_venta": F.when(returned, 0.0).otherwise(F.col("l_extendedprice")),
+        "total_devolucion": F.when(returned, F.col("l_extendedprice")).otherwise(0.0),
+        "cant_venta": F.when(returned, 0.0).otherwise(F.col("l_quantity")),
+        "cant_devolucion": F.when(returned, F.col("l_quantity")).otherwise(0.0),
+        "costo_venta": F.col("l_extendedprice") * 0.6,
+    }
+    asked = set(wanted or columns)
+    out = lines
+    if asked & {"agency", "segment", "customer_id", "order_status", "order_date", "anio", "mes", "periodo"}:
+        out = out.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    if asked & {"agency", "segment"}:
+        out = out.join(customer, F.col("o_custkey") == F.col("c_custkey"))
+    if "agency" in asked:
+        out = out.join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    if asked & {"product_name", "brand", "family"}:
+        out = out.join(part, F.col("l_partkey") == F.col("p_partkey"))
+    return out.select(*(c.alias(name) for name, c in columns.items() if name in asked))
 
 
 #: The same rows as ``sales`` for the oracles.
@@ -81,7 +87,7 @@ def money_sum(column: str | F.Column) -> F.Column:
 
 def monthly_panel(spark: SparkSession, sf_dir: str, by: str = "brand") -> DataFrame:
     """(product_id, periodo, target_qty) from the sales lines, by brand (dense) or by part (sparse)."""
-    lines = sales(spark, sf_dir)
+    lines = sales(spark, sf_dir, by, "periodo", "cant_venta")
     return lines.groupBy(F.col(by).cast("string").alias("product_id"), "periodo").agg(money_sum("cant_venta").alias("target_qty"))
 
 

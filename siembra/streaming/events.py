@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siembra.sources.scratch import shared_folder
+
 LATE = "2 hours"
 
 
@@ -47,7 +48,7 @@ def run_to_table(spark: SparkSession, path: str, shape: Callable[[DataFrame], Da
 
     State and offsets go to the shared checkpoint folder of the session.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siembra-")
+    base = shared_folder(spark)
     name = f"stream_{uuid.uuid4().hex}"
     running = shape(read_events(spark, path)).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{base}/{name}").trigger(availableNow=True).start()
     running.awaitTermination()
