@@ -1,4 +1,4 @@
-"""Queries of backtests, learning curves and model comparisons."""
+"""Queries of backtests, learning curves and the stability of rules."""
 
 from __future__ import annotations
 
@@ -8,11 +8,13 @@ from pyspark.sql import functions as F
 from siembra.operators import backtest as B
 from siembra.operators import forecast as FC
 from siembra.operators import metrics as ME
+from siembra.operators import mining as M
 from siembra.operators import panel as P
+from siembra.operators import rule_stability as RS
 from siembra.plans.panels import _GRID
 from siembra.plans.registry import query
 from siembra.sources.scratch import written
-from siembra.sources.tables import monthly_panel, panel_sql
+from siembra.sources.tables import SALES_SQL, monthly_panel, panel_sql, sales
 
 
 def features(spark: SparkSession, sf_dir: str, by: str = "product_id") -> DataFrame:
@@ -54,3 +56,40 @@ def rolling_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = B.walk_forward_backtest(f, ["lag_1"], models=["linear_regression"]).where(F.col("model_name").isin(*B.BASELINES))
     e = p.groupBy("model_name", "fold_id").agg(*ME.error_metrics("target_qty", "prediccion")).drop("smape")
     return e.withColumns({c: F.round(c, 6) for c in ("mae", "rmse", "wape", "bias_pct")})
+
+
+_SPLIT = "CASE WHEN order_id % 10 < 6 THEN 'train' WHEN order_id % 10 < 8 THEN 'val' ELSE 'test' END"
+
+
+@query(
+    "m04_rule_consensus",
+    f"""
+WITH x AS (SELECT DISTINCT order_id, brand, {_SPLIT} AS s FROM ({SALES_SQL})), y AS (SELECT * FROM x WHERE order_id IN (SELECT order_id FROM x GROUP BY order_id HAVING COUNT(*) >= 2)),
+n AS (SELECT COUNT(DISTINCT order_id) FILTER (s = 'train') AS t, COUNT(DISTINCT order_id) FILTER (s = 'val') AS v, COUNT(DISTINCT order_id) FILTER (s = 'test') AS u FROM y),
+i AS (SELECT brand, COUNT(*) FILTER (s = 'train') AS t, COUNT(*) FILTER (s = 'val') AS v, COUNT(*) FILTER (s = 'test') AS u FROM y GROUP BY brand),
+p AS (SELECT a.brand AS antecedent, b.brand AS consequent, COUNT(*) FILTER (a.s = 'train') AS t, COUNT(*) FILTER (a.s = 'val') AS v, COUNT(*) FILTER (a.s = 'test') AS u FROM y a JOIN y b ON a.order_id = b.order_id AND a.brand <> b.brand GROUP BY ALL),
+r AS (
+ SELECT antecedent, consequent, p.t / n.t AS support, p.t / a.t AS confidence, p.t::DOUBLE * n.t / (a.t * b.t) AS lift, p.v / n.v AS support_val, p.v / a.v AS conf_val, p.u / n.u AS support_test, p.u / a.u AS conf_test
+ FROM p JOIN i a ON a.brand = antecedent JOIN i b ON b.brand = consequent, n),
+f AS (
+ SELECT *, (CAST(support_val >= 0.005 AND conf_val >= 0.05 AS INTEGER) + CAST(support_test >= 0.005 AND conf_test >= 0.05 AS INTEGER)) / 2 AS estabilidad_split
+ FROM r WHERE support >= 0.005 AND confidence >= 0.05 AND conf_val >= 0.1 AND conf_test >= 0.1 AND greatest(support_val, support_test) >= 0.005),
+k AS (
+ SELECT *, (rank() OVER (ORDER BY round(lift, 9)) + (COUNT(*) OVER (PARTITION BY round(lift, 9)) - 1) / 2) / COUNT(*) OVER () AS kl, (rank() OVER (ORDER BY round(confidence, 9)) + (COUNT(*) OVER (PARTITION BY round(confidence, 9)) - 1) / 2) / COUNT(*) OVER () AS kc,
+  (rank() OVER (ORDER BY round(conf_test, 9)) + (COUNT(*) OVER (PARTITION BY round(conf_test, 9)) - 1) / 2) / COUNT(*) OVER () AS kt FROM f)
+SELECT antecedent, consequent, round(lift, 6) AS lift, round(confidence, 6) AS confidence, round(conf_val, 6) AS conf_val, round(conf_test, 6) AS conf_test, CAST(estabilidad_split AS DOUBLE) AS estabilidad_split, round(0.3 * kl + 0.25 * kc + 0.25 * kt + 0.2 * estabilidad_split, 6) AS score_consenso FROM k
+""",
+)
+def rule_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brand rules of the training orders that hold in the later ones, with their consensus score."""
+    r = F.col("order_id") % 10
+    lines = sales(spark, sf_dir, "order_id", "brand").withColumn("s", F.when(r < 6, "train").when(r < 8, "val").otherwise("test"))
+    out = RS.consensus(lines, "order_id", "brand", "s", 0.005, 0.05, top=14_400)
+    return out.select("antecedent", "consequent", *(F.round(c, 6).alias(c) for c in ("lift", "confidence", "conf_val", "conf_test")), "estabilidad_split", F.round("score_consenso", 6).alias("score_consenso"))
+
+
+@query("m09_bootstrap_rules")
+def bootstrap_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brand rules with the share of thirty bootstrap resamples that find them."""
+    pairs = M.baskets(sales(spark, sf_dir, "order_id", "brand"), "order_id", "brand")
+    return RS.bootstrap(pairs, "order_id", "brand", min_support=0.005, min_confidence=0.12).drop("en_muestras")
