@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siembra.operators import backtest as B
+from siembra.operators import champions as CH
 from siembra.operators import forecast as FC
 from siembra.operators import metrics as ME
 from siembra.operators import mining as M
@@ -93,3 +94,43 @@ def bootstrap_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand rules with the share of thirty bootstrap resamples that find them."""
     pairs = M.baskets(sales(spark, sf_dir, "order_id", "brand"), "order_id", "brand")
     return RS.bootstrap(pairs, "order_id", "brand", min_support=0.005, min_confidence=0.12).drop("en_muestras")
+
+
+_KINDS = """CASE WHEN nz = 0 THEN 'sin_historia' WHEN nz < 6 THEN 'poca_historia' WHEN nz / n < 0.3 THEN 'intermitente' ELSE 'regular' END"""
+
+
+@query(
+    "d31_segment_champions",
+    f"""
+WITH p AS ({panel_sql('product_id')}), {_GRID},
+h AS (SELECT product_id, periodo, CAST(target_qty AS DOUBLE) AS y, coalesce(lag(target_qty) OVER w, 0.0) AS l1, coalesce(lag(target_qty, 12) OVER w, 0.0) AS l12 FROM g WINDOW w AS (PARTITION BY product_id ORDER BY periodo)),
+m AS (SELECT MAX(periodo) AS last FROM g),
+s AS (SELECT *, CASE WHEN periodo > last - INTERVAL 3 MONTH THEN 'test' WHEN periodo > last - INTERVAL 6 MONTH THEN 'val' ELSE 'train' END AS parte FROM h, m),
+k AS (SELECT product_id, COUNT(*) FILTER (parte = 'train') AS n, COUNT(*) FILTER (parte = 'train' AND y > 0) AS nz FROM s GROUP BY product_id),
+r AS (SELECT s.*, {_KINDS} AS tipo, CASE WHEN CAST(s.product_id AS BIGINT) % 5 = 0 THEN CAST(s.product_id AS BIGINT) % 900 ELSE CAST(s.product_id AS BIGINT) % 20 END AS categoria, CASE WHEN l12 > 0 THEN (l1 + l12) / 2 ELSE l1 END AS hy FROM s JOIN k USING (product_id)),
+e AS (
+ SELECT tipo, CAST(categoria AS VARCHAR) AS categoria, parte, y, 'lag_1' AS modelo, l1 AS p FROM r UNION ALL SELECT tipo, CAST(categoria AS VARCHAR), parte, y, 'lag_12', l12 FROM r UNION ALL SELECT tipo, CAST(categoria AS VARCHAR), parte, y, 'hybrid', hy FROM r),
+a AS (
+ SELECT CASE WHEN grouping(tipo) = 1 THEN NULL ELSE tipo END AS tipo, CASE WHEN grouping(categoria) = 1 THEN NULL ELSE categoria END AS categoria, 2 - grouping(tipo) - grouping(categoria) AS depth, modelo,
+  COUNT(*) FILTER (parte = 'train') AS n_train, COUNT(*) FILTER (parte = 'val') AS n_val, COUNT(*) FILTER (parte = 'test') AS n_test,
+  round(sum(abs(y - p)) FILTER (parte = 'val') / sum(y) FILTER (parte = 'val'), 9) AS wape, round(abs(sum(p - y) FILTER (parte = 'val') / sum(y) FILTER (parte = 'val')), 9) AS bias,
+  round(avg(CASE WHEN y + p > 0 THEN 2 * abs(y - p) / (y + p) ELSE 0 END) FILTER (parte = 'val'), 6) AS smape
+ FROM e GROUP BY GROUPING SETS ((modelo), (tipo, modelo), (tipo, categoria, modelo))),
+b AS (SELECT *, coalesce(wape, 1e300) AS w, coalesce(bias, 1e300) AS bb FROM a),
+c AS (SELECT * FROM b QUALIFY row_number() OVER (PARTITION BY depth, tipo, categoria ORDER BY w, bb, smape, modelo) = 1),
+o AS (SELECT * FROM c WHERE depth = 0 OR n_train >= 60 AND n_val >= 10 AND n_test >= 10)
+SELECT l.tipo, l.categoria, coalesce(x.modelo, t.modelo, g.modelo) AS modelo, CASE WHEN x.modelo IS NOT NULL THEN 'segment_specific' WHEN t.modelo IS NOT NULL THEN 'fallback_parent' ELSE 'fallback_global' END AS modo, l.n_train, l.n_val, l.n_test
+FROM (SELECT * FROM c WHERE depth = 2) l LEFT JOIN o x ON x.depth = 2 AND x.tipo = l.tipo AND x.categoria = l.categoria LEFT JOIN o t ON t.depth = 1 AND t.tipo = l.tipo JOIN o g ON g.depth = 0
+""",
+)
+def segment_champions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Baselines routed by how intermittent a product was in training, and by category within."""
+    f = features(spark, sf_dir)
+    last = f.agg(F.max("periodo").alias("m")).scalar()
+    part = F.when(F.col("periodo") > F.add_months(last, -3), "test").when(F.col("periodo") > F.add_months(last, -6), "val").otherwise("train")
+    rows = written(FC.baselines(f.withColumn("parte", part)).select("product_id", "periodo", "target_qty", "parte", *(F.col(f"{m}_pred").alias(m) for m in B.BASELINES)), "scored")
+    past = rows.groupBy("product_id").agg(F.count_if(F.col("parte") == "train").alias("n"), F.count_if((F.col("parte") == "train") & (F.col("target_qty") > 0)).alias("nz"))
+    kind = F.when(F.col("nz") == 0, "sin_historia").when(F.col("nz") < 6, "poca_historia").when(F.col("nz") / F.col("n") < 0.3, "intermitente").otherwise("regular")
+    number = F.col("product_id").cast("long")
+    rows = rows.join(past.select("product_id", kind.alias("tipo")), "product_id").withColumn("categoria", F.when(number % 5 == 0, number % 900).otherwise(number % 20))
+    return CH.champions(rows, ["tipo", "categoria"], "parte", "target_qty", list(B.BASELINES))
