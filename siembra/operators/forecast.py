@@ -1,8 +1,8 @@
 """Regression protocol over the monthly panel: fit, select, backtest, forecast recursively.
 
 Tree ensembles are MLlib's: random forests in two settings and boosted trees; linear models with and
-without a penalty. Extremely randomised trees, histogram boosting and SGD have no MLlib twin; their
-places are taken by a deeper forest, boosted trees and the penalised linear model.
+without a penalty. Histogram boosting and SGD have no MLlib twin; their places are taken by boosted trees and the
+penalised linear model. Extremely randomised trees are in ``extra_trees``.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from siembra.functions.numeric import history_cap
 from siembra.operators.metrics import best_model, error_metrics, holdout, periods_of, rolling_origin, segment_flags, walk_forward, walk_forward_summary
 from siembra.operators.panel import feature_matrix
 
+# Names of the features, and the published settings of the models below.
 FEATURES = ["lag_1", "lag_2", "lag_3", "lag_6", "lag_12", "rolling_mean_3", "rolling_mean_6", "rolling_mean_12", "rolling_max_12", "nonzero_6", "nonzero_12", "expanding_mean", "expanding_max", "months_since_first", "month", "quarter", "year", "month_sin", "month_cos", "share_top_3_meses", "seasonal_month_flag"]
 BASELINES = ("lag_1", "lag_12", "hybrid")
 
