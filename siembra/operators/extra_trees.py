@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Forest:
-    """Trees as tables of nodes: split feature (-1 for a leaf), threshold, place of the left child (the right one follows), mean."""
+    """Trees as tables of nodes: split feature (-1 for a leaf), threshold, place of the left child (the right one follows), mean, rows."""
 
     windows: list[int]
     feature: list[list[int]] = field(default_factory=list)
@@ -29,11 +29,12 @@ class Forest:
     left: list[list[int]] = field(default_factory=list)
     mean: list[list[float]] = field(default_factory=list)
     path: list[list[int]] = field(default_factory=list)
+    cover: list[list[float]] = field(default_factory=list)
 
     def __post_init__(self) -> None:
         if not self.feature:
             n = len(self.windows)
-            self.feature, self.threshold, self.left, self.mean, self.path = ([[x] for _ in range(n)] for x in (-1, 0.0, 0, 0.0, 1))
+            self.feature, self.threshold, self.left, self.mean, self.path, self.cover = ([[x] for _ in range(n)] for x in (-1, 0.0, 0, 0.0, 1, 0.0))
 
     def packed(self) -> tuple[np.ndarray, ...]:
         wide = max(len(t) for t in self.feature)
@@ -118,7 +119,7 @@ def fit(df: DataFrame, columns: Sequence[str], target: Column, cuts: Sequence[da
         for slot, f, n, s, a, b in ranges:
             low[slot, f], high[slot, f], count[slot] = a, b, n
             tree, node = frontier[slot]
-            forest.mean[tree][node] = s / n
+            forest.mean[tree][node], forest.cover[tree][node] = s / n, float(n)
         if level == depth:
             break
         place = np.array([draw(seed, t, forest.path[t][node], width) for t, node in frontier])
@@ -143,6 +144,7 @@ def fit(df: DataFrame, columns: Sequence[str], target: Column, cuts: Sequence[da
                     forest.threshold[tree].append(0.0)
                     forest.left[tree].append(0)
                     forest.mean[tree].append(0.0)
+                    forest.cover[tree].append(0.0)
                     forest.path[tree].append(2 * forest.path[tree][node] + k)
                 after += [(tree, child), (tree, child + 1)]
         frontier = sorted(after)

@@ -12,6 +12,7 @@ from siembra.operators import metrics as ME
 from siembra.operators import mining as M
 from siembra.operators import panel as P
 from siembra.operators import rule_stability as RS
+from siembra.operators import tree_shapley as TS
 from siembra.plans.panels import _GRID
 from siembra.plans.registry import query
 from siembra.sources.scratch import written
@@ -134,3 +135,27 @@ def segment_champions(spark: SparkSession, sf_dir: str) -> DataFrame:
     number = F.col("product_id").cast("long")
     rows = rows.join(past.select("product_id", kind.alias("tipo")), "product_id").withColumn("categoria", F.when(number % 5 == 0, number % 900).otherwise(number % 20))
     return CH.champions(rows, ["tipo", "categoria"], "parte", "target_qty", list(B.BASELINES))
+
+
+def _explained(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, list[str]]:
+    """The last three months of brands with the Shapley values (in the logarithm) of the random forest fitted on the months before."""
+    f = features(spark, sf_dir, "brand")
+    split = ME.holdout(ME.periods_of(f), validation=0)
+    before = f.where(F.col("periodo").isin(split["train"]))
+    columns = FC.active_features(before)
+    model = FC.fit(FC.trainable(before), FC.models()["random_forest_conservative"], columns)
+    return written(TS.explained(f.where(F.col("periodo").isin(split["test"])), TS.of_model(model.stages[-1]), columns), "explained"), columns
+
+
+@query("m16_shap_global")
+def shap_global(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean size and mean of every feature's contribution over the test months."""
+    rows, columns = _explained(spark, sf_dir)
+    return TS.importance(rows, columns)
+
+
+@query("m16_shap_products")
+def shap_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five strongest features of the twenty products of most volume in the test months."""
+    rows, columns = _explained(spark, sf_dir)
+    return TS.product_importance(rows, columns)
