@@ -10,8 +10,10 @@ from siembra.functions import dates as D
 from siembra.functions import numeric as N
 from siembra.functions import text as X
 from siembra.operators import mining as M
+from siembra.operators import one_class as OC
 from siembra.operators import relational as R
 from siembra.plans.registry import query
+from siembra.sources.scratch import written
 from siembra.sources.tables import SALES_SQL, money_sum, monthly_panel, panel_sql, sales, table
 
 
@@ -298,6 +300,15 @@ def customer_lof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.local_outlier_factor(c, "customer_id", ["a", "b", "c"]).withColumn("lof", F.round("lof", 5))
 
 
+@query("m08_one_class")
+def one_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers outside the boundary around nine tenths of them, by sales, returns, ticket and lines."""
+    c = sales(spark, sf_dir, "customer_id", "order_id", "total_venta", "total_devolucion").groupBy("customer_id").agg(money_sum("total_venta").alias("ventas"), money_sum("total_devolucion").alias("devolucion"), F.countDistinct("order_id").alias("ordenes"), F.count("*").cast("double").alias("lineas"))
+    c = written(c.withColumns({"ratio_devolucion": N.safe_ratio(F.col("devolucion"), F.col("ventas")), "ticket": F.col("ventas") / F.col("ordenes")}), "customers")
+    columns = ["ventas", "ratio_devolucion", "ticket", "lineas"]
+    return OC.scored(c, OC.fit(c, columns), columns).select("customer_id", F.round("score", 6).alias("score"), "es_anomalia")
+
+
 @query("m10_clusters")
 def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products by sales and return rate in the number of clusters with the best silhouette."""
