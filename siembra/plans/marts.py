@@ -84,7 +84,7 @@ def full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "j04_stock_match",
     """
-WITH p AS (SELECT p_partkey, p_name, p_brand, p_type FROM part WHERE p_partkey <= 500),
+WITH p AS (SELECT p_partkey, p_name, p_brand, p_type FROM part),
 pk AS (SELECT p_partkey, 'code:' || (p_partkey % 97) AS match_key, 1 AS pp FROM p UNION SELECT p_partkey, upper(p_brand), 2 FROM p UNION SELECT p_partkey, upper(p_type), 3 FROM p),
 s AS (SELECT s_suppkey, s_suppkey % 89 AS c FROM supplier),
 sk AS (SELECT s_suppkey, 'code:' || c AS match_key, 1 AS sp FROM s UNION SELECT s_suppkey, 'BRAND#' || lpad(CAST(s_suppkey % 60 AS VARCHAR), 2, '0'), 2 FROM s),
@@ -95,7 +95,7 @@ SELECT p_partkey, s_suppkey, score FROM j WHERE r = 1
 def stock_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Products and stock items by several keys with priorities; the best sum wins."""
     keys = lambda *pairs: F.explode(F.array(*(F.struct(k.alias("match_key"), F.lit(p).alias("prio")) for k, p in pairs)))
-    p = table(spark, sf_dir, "part").where("p_partkey <= 500")
+    p = table(spark, sf_dir, "part")
     pk = p.select("p_partkey", keys((F.concat(F.lit("code:"), (F.col("p_partkey") % 97).cast("string")), 1), (F.upper("p_brand"), 2), (F.upper("p_type"), 3)).alias("m")).select("p_partkey", "m.match_key", F.col("m.prio").alias("pp")).distinct()
     s = table(spark, sf_dir, "supplier")
     sk = s.select("s_suppkey", keys((F.concat(F.lit("code:"), (F.col("s_suppkey") % 89).cast("string")), 1), (F.concat(F.lit("BRAND#"), F.lpad((F.col("s_suppkey") % 60).cast("string"), 2, "0")), 2)).alias("m")).select("s_suppkey", "m.match_key", F.col("m.prio").alias("sp")).distinct()

@@ -13,7 +13,7 @@ _QUERIES: dict[str, Query] = {}
 _ORACLES: dict[str, str] = {}
 
 #: Modules of this package that register queries when imported.
-MODULES = ("gold", "marts", "panels", "planning", "commercial", "silver", "backtests", "identity")
+MODULES = ("gold", "marts", "panels", "planning", "commercial", "silver", "backtests", "identity", "catalogue")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
