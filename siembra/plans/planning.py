@@ -89,6 +89,71 @@ def stock_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_month(I.project_stock(_demand(spark, sf_dir)))
 
 
+_STOCK = f"""
+p AS ({panel_sql('product_id')}), d AS (SELECT product_id, periodo, target_qty AS q, row_number() OVER (PARTITION BY product_id ORDER BY periodo) AS k FROM p WHERE periodo > (SELECT MAX(periodo) FROM p) - INTERVAL 4 MONTH),
+pk AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id, 'code:' || p_partkey % 997 AS match_key, 'codigo' AS pt, 1 AS pp FROM part UNION ALL SELECT CAST(p_partkey AS VARCHAR), upper(p_brand), 'marca', 2 FROM part),
+sk AS (SELECT s_suppkey, 'code:' || s_suppkey % 89 AS match_key, 'codigo' AS st, 1 AS sp FROM supplier UNION ALL SELECT s_suppkey, 'BRAND#' || s_suppkey % 40, 'nombre', 2 FROM supplier),
+b AS (SELECT product_id, s_name, floor(abs(s_acctbal) / 100) AS stock, s_nationkey + 0.25::DOUBLE AS cost, pt || '_vs_' || st AS status FROM pk JOIN sk USING (match_key) JOIN supplier USING (s_suppkey) QUALIFY row_number() OVER (PARTITION BY product_id ORDER BY pp + sp, pp, sp, s_name) = 1),
+x AS (SELECT CAST(p_partkey AS VARCHAR) AS product_id, coalesce(stock, 0) AS stock, stock IS NOT NULL AS found, coalesce(status, 'sin_match_stock') AS status, coalesce(s_name, '') AS item, coalesce(cost, 0.0) AS cost,
+  CASE WHEN p_partkey % 7 = 0 THEN 10 ELSE 0 END AS lo, CASE WHEN p_partkey % 7 < 2 THEN 40 + p_partkey % 11 END AS hi FROM part LEFT JOIN b ON b.product_id = CAST(p_partkey AS VARCHAR))"""
+
+
+def _stock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts and suppliers' balances as stock items, matched by code and by name."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("product_id"), (F.col("p_partkey") % 997).cast("string").alias("c"), F.upper("p_brand").alias("b"))
+    supplier = table(spark, sf_dir, "supplier").withColumns({"stock_item": F.col("s_name"), "stock_item_description": F.lit(""), "stock_actual": F.floor(F.abs("s_acctbal") / 100).cast("double"), "stock_avg_cost": F.col("s_nationkey") + 0.25, "stock_asset_value": F.col("s_acctbal"), "stock_fecha_referencia": F.lit("2024-01-01").cast("date")})
+    key = lambda k, kind, rank, side: F.struct(k.alias("match_key"), F.lit(kind).alias(f"{side}_key_type"), F.lit(rank).alias(f"{side}_priority"))
+    ours = part.select("product_id", F.inline(F.array(key(F.concat(F.lit("code:"), "c"), "codigo", 1, "product"), key(F.col("b"), "marca", 2, "product"))))
+    number = F.col("s_suppkey")
+    theirs = supplier.select("stock_item", "stock_item_description", "stock_actual", "stock_avg_cost", "stock_asset_value", "stock_fecha_referencia", F.inline(F.array(key(F.concat(F.lit("code:"), (number % 89).cast("string")), "codigo", 1, "stock"), key(F.concat(F.lit("BRAND#"), (number % 40).cast("string")), "nombre", 2, "stock"))))
+    return I.current_stock(part, ours, theirs)
+
+
+@query(
+    "d21_stock_valuation",
+    f"""
+WITH RECURSIVE {_STOCK},
+r AS (
+ SELECT product_id, periodo, k, stock AS s, least(greatest(q + lo - stock, 0), CASE WHEN hi IS NULL THEN 1e18 ELSE greatest(hi - stock, 0) END) AS m, stock + least(greatest(q + lo - stock, 0), CASE WHEN hi IS NULL THEN 1e18 ELSE greatest(hi - stock, 0) END) - q AS e FROM d JOIN x USING (product_id) WHERE k = 1
+ UNION ALL SELECT d.product_id, d.periodo, d.k, r.e, least(greatest(d.q + lo - r.e, 0), CASE WHEN hi IS NULL THEN 1e18 ELSE greatest(hi - r.e, 0) END), r.e + least(greatest(d.q + lo - r.e, 0), CASE WHEN hi IS NULL THEN 1e18 ELSE greatest(hi - r.e, 0) END) - d.q FROM r JOIN d ON d.product_id = r.product_id AND d.k = r.k + 1 JOIN x ON x.product_id = d.product_id)
+SELECT product_id, CAST(periodo AS VARCHAR) AS periodo, CAST(stock AS DOUBLE) AS stock_actual, found AS stock_encontrado, status AS stock_match_status, item AS stock_item, CAST(m AS DOUBLE) AS cantidad_a_producir_ajustada, CAST(e AS DOUBLE) AS stock_proyectado_fin,
+ CASE WHEN NOT found THEN 'sin_stock_actual' WHEN s > hi THEN 'sobrestock' WHEN e < lo THEN 'riesgo_quiebre_stock' ELSE 'dentro_rango' END AS alerta_inventario, CAST(stock * cost AS DOUBLE) AS valor_stock_actual, CAST(m * cost AS DOUBLE) AS valor_produccion_ajustada FROM r JOIN x USING (product_id)
+""",
+)
+def stock_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four months of demand of every part against its stock and the last version of its policy, valued at cost."""
+    p = written(monthly_panel(spark, sf_dir, "product_id"), "panel")
+    last = p.agg(F.max("periodo").alias("m")).scalar()
+    demand = p.where(F.col("periodo") > F.add_months(last, -4)).select("product_id", "periodo", F.col("target_qty").alias("cantidad_predicha"))
+    k = F.col("p_partkey")
+    old = table(spark, sf_dir, "part").select(k.cast("string").alias("product_id"), F.lit("5").alias("stock_minimo"), F.lit("9").alias("stock_maximo"), F.lit(1).alias("version"))
+    new = table(spark, sf_dir, "part").select(k.cast("string").alias("product_id"), F.when(k % 7 == 0, "10").otherwise("").alias("stock_minimo"), F.when(k % 7 < 2, (k % 11 + 40).cast("string")).otherwise("n/a").alias("stock_maximo"), F.lit(2).alias("version"))
+    out = I.adjusted_for_stock(demand, _stock(spark, sf_dir), I.stock_policy(old.unionByName(new), "version"))
+    return text_month(out.select("product_id", "periodo", "stock_actual", "stock_encontrado", "stock_match_status", "stock_item", "cantidad_a_producir_ajustada", "stock_proyectado_fin", "alerta_inventario", "valor_stock_actual", "valor_produccion_ajustada"))
+
+
+@query(
+    "d22_policy_template",
+    f"WITH {_STOCK} SELECT product_id, stock AS stock_actual, found AS stock_encontrado, status AS stock_match_status, '' AS stock_minimo, '' AS stock_maximo, '' AS lead_time_dias, '' AS lote_minimo_produccion, '' AS observacion FROM x",
+)
+def policy_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.policy_template(table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("product_id")), _stock(spark, sf_dir))
+
+
+@query(
+    "d22_expert_template",
+    f"""{_LAG}, e AS (SELECT product_id, CAST(sum(y) AS DOUBLE) AS y, CAST(sum(abs(y - f)) AS DOUBLE) AS error_absoluto_total FROM t GROUP BY product_id),
+w AS (SELECT product_id, error_absoluto_total, CASE WHEN y > 0 THEN error_absoluto_total / y ELSE 0.0 END AS wape_producto, CASE WHEN (rank() OVER (ORDER BY error_absoluto_total DESC) + (COUNT(*) OVER (PARTITION BY error_absoluto_total) - 1) / 2.0) / COUNT(*) OVER () <= 0.2 THEN 'alta' ELSE 'normal' END AS prioridad_revision FROM e)
+SELECT 'PT' AS source_type, product_id, CAST(periodo AS VARCHAR) AS periodo, f AS cantidad_predicha, error_absoluto_total, wape_producto, coalesce(prioridad_revision, 'normal') AS prioridad_revision, '' AS criterio_experto, '' AS cantidad_ajustada_experto, '' AS motivo_ajuste, '' AS responsable_revision
+FROM t LEFT JOIN w USING (product_id) WHERE periodo = (SELECT MIN(periodo) FROM t) ORDER BY f DESC, product_id LIMIT 120""",
+)
+def expert_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of the last twelve months as the month ahead, with the products' errors over all twelve."""
+    b = written(_baseline(spark, sf_dir), "baseline").withColumn("source_type", F.lit("PT"))
+    errors = ME.high_error_products(b, "product_id", "y", "f").withColumn("source_type", F.lit("PT"))
+    return text_month(I.expert_template(b.select("source_type", "product_id", "periodo", F.col("f").alias("cantidad_predicha")), errors))
+
+
 @query("w25_demand_scenarios")
 def demand_scenarios(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = _demand(spark, sf_dir).withColumns({"prediccion_min": F.col("cantidad_predicha") * 0.8, "prediccion_max": F.col("cantidad_predicha") * 1.2})
