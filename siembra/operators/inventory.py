@@ -63,10 +63,14 @@ def current_stock(products: DataFrame, product_keys: DataFrame, stock_keys: Data
 
     ``product_keys`` has product_id, match_key, product_key_type and product_priority, ``stock_keys`` match_key, stock_key_type,
     stock_priority and the columns of the stock row. The least sum of priorities wins, then the product's, the stock's, the item's
-    name and its date, the latest. A product without any gets ``NO_STOCK``. Null keys match nothing.
+    name and its date, the latest. A product without any gets ``NO_STOCK``. Null keys match nothing. Whatever the product, of
+    the stock rows of one key the same one is best: the others are left out before the join, so that a key adds one pair a product.
     """
-    pairs = product_keys.dropDuplicates().join(stock_keys, "match_key").withColumns({"__score": F.col("product_priority") + F.col("stock_priority"), "stock_match_status": F.concat("product_key_type", F.lit("_vs_"), "stock_key_type"), "stock_encontrado": F.lit(True)})
-    values = F.struct("__score", "product_priority", "stock_priority", "stock_item", F.coalesce(-F.unix_date(F.to_date("stock_fecha_referencia")), F.lit(2**31 - 1)).alias("__day"), *(c for c in NO_STOCK if c != "stock_item"), "stock_fecha_referencia")
+    day = F.coalesce(-F.unix_date(F.to_date("stock_fecha_referencia")), F.lit(2**31 - 1)).alias("__day")
+    order = ("stock_actual", "stock_key_type", *(c for c in NO_STOCK if c not in ("stock_item", "stock_actual", "stock_encontrado", "stock_match_status")))
+    first = stock_keys.where("match_key IS NOT NULL").groupBy("match_key").agg(F.min(F.struct("stock_priority", "stock_item", day, *order, "stock_fecha_referencia")).alias("s")).select("match_key", "s.*")
+    pairs = product_keys.dropDuplicates().join(first, "match_key").withColumns({"__score": F.col("product_priority") + F.col("stock_priority"), "stock_match_status": F.concat("product_key_type", F.lit("_vs_"), "stock_key_type"), "stock_encontrado": F.lit(True)})
+    values = F.struct("__score", "product_priority", "stock_priority", "stock_item", "__day", *(c for c in NO_STOCK if c != "stock_item"), "stock_fecha_referencia")
     best = pairs.groupBy("product_id").agg(F.min(values).alias("b"))
     out = products.select("product_id").distinct().join(best, "product_id", "left")
     return out.select("product_id", *(F.coalesce(f"b.{c}", F.lit(v)).alias(c) for c, v in NO_STOCK.items()), F.col("b.stock_fecha_referencia").alias("stock_fecha_referencia"))

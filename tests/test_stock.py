@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from datetime import date
 
+from pyspark.sql import functions as F
+
 from siembra.operators import inventory as I
+from siembra.operators import relational as R
 
 PRODUCT = "product_id string, match_key string, product_key_type string, product_priority int"
 STOCK = "match_key string, stock_key_type string, stock_priority int, stock_item string, stock_item_description string, stock_actual double, stock_avg_cost double, stock_asset_value double, stock_fecha_referencia date"
@@ -45,3 +48,36 @@ def test_policy_valuation_and_templates(spark):
     errors = spark.createDataFrame([("PT", "b", 9.0, 0.3, "alta")], "source_type string, product_id string, error_absoluto_total double, wape_producto double, prioridad_revision string")
     review = I.expert_template(with_source, errors, 3).collect()
     assert [(r.product_id, r.prioridad_revision, r.criterio_experto) for r in review] == [("b", "alta", ""), ("a", "normal", ""), ("c", "normal", "")]
+
+
+def test_one_stock_row_of_a_key_is_joined(spark):
+    """A key that many products and many stock rows share adds one pair a product; the best pairs stay the same."""
+    products = spark.range(300).selectExpr("cast(id as string) AS product_id")
+    keys = products.selectExpr("product_id", "inline(array(struct('hot' AS match_key, 'nombre' AS product_key_type, 2 AS product_priority), struct(concat('c', cast(product_id as int) % 50) AS match_key, 'codigo' AS product_key_type, 1 AS product_priority)))")
+    rows = [("hot", "nombre", 2, f"I{k:03d}", "", float(k), 1.0, 1.0, None) for k in range(399, -1, -1)] + [(f"c{k}", "codigo", 1 + k % 3, f"C{j}{k}", "", 1.0, 1.0, 1.0, None) for k in range(25) for j in (2, 1)]
+    out = I.current_stock(products, keys, spark.createDataFrame(rows, STOCK)).cache()
+    got = {int(r.product_id): (r.stock_item, r.stock_match_status) for r in out.collect()}
+    assert got == {k: (f"C1{k % 50}", "codigo_vs_codigo") if k % 50 < 25 else ("I000", "nombre_vs_nombre") for k in range(300)}
+    joined = largest_join(I.current_stock(products, keys, spark.createDataFrame(rows, STOCK)))
+    assert 0 < joined <= 600
+
+
+def test_one_row_of_a_key_is_joined_among_equals(spark):
+    left = spark.range(300).selectExpr("id AS p", "'hot' AS k", "cast(id % 3 as int) AS a").union(spark.sql("SELECT 300L, NULL, 0"))
+    right = spark.range(400).selectExpr("id AS s", "if(id = 7, NULL, 'hot') AS k", "cast(2 - id % 2 as int) AS b")
+    best = lambda: R.candidate_best(left, right, "k", "p", F.col("a") + F.col("b"), "a", "b", "s", among=("b", "s"))
+    assert {(r.p, r.s, r.b) for r in best().collect()} == {(k, 1, 1) for k in range(300)}
+    assert 0 < largest_join(best()) <= 300
+
+
+def largest_join(df):
+    """Rows that the largest join of a run made."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan()
+    rows, todo = [], [plan.finalPhysicalPlan() if plan.nodeName() == "AdaptiveSparkPlan" else plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().endswith("Join"):
+            rows.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.plan()] if hasattr(node, "plan") and node.nodeName().endswith("QueryStage") else [node.children().apply(k) for k in range(node.children().size())]
+    return max(rows)
