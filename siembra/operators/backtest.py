@@ -98,10 +98,23 @@ def walk_forward_backtest(features: DataFrame, columns: Sequence[str], windows:
     inside = F.col("periodo").between(F.col("w.test_from"), F.col("w.test_until"))
     test = features.where(F.col("periodo") >= min(w["test_from"] for w in fits))
     scored = test.withColumn("w", F.explode(table)).where(inside).select(*kept, F.col("w.fold_id").alias("fold_id"), F.col("w.model_name").alias("model_name"), _predicted(LS.fitted(F.col("w.intercept"), F.col("w.slopes"), columns)).alias("prediccion"))
-    plain = _literal([{"fold_id": k, "test_from": a, "test_until": b} for k, a, b in sorted({(w["fold_id"], w["test_from"], w["test_until"]) for w in fits})])
+    return scored.unionByName(_naive(test, fits, kept))
+
+
+def baseline_backtest(features: DataFrame, windows: int = 6, step: int = 1, size: int = 3) -> DataFrame:
+    """The three baselines' part of ``walk_forward_backtest``: nothing is fitted, and of the features lag_1 and lag_12 suffice."""
+    cuts = folds(periods_of(features), windows, step, size)
+    kept = ["product_id", "periodo", "target_qty"]
+    if not cuts:
+        return features.limit(0).select(*kept, F.lit(0).alias("fold_id"), F.lit("").alias("model_name"), F.lit(0.0).alias("prediccion"))
+    return _naive(features.where(F.col("periodo") >= min(c["test_from"] for c in cuts)), cuts, kept)
+
+
+def _naive(test: DataFrame, cuts: Sequence[dict], kept: Sequence[str]) -> DataFrame:
+    plain = _literal([{"fold_id": k, "test_from": a, "test_until": b} for k, a, b in sorted({(w["fold_id"], w["test_from"], w["test_until"]) for w in cuts})])
+    inside = F.col("periodo").between(F.col("w.test_from"), F.col("w.test_until"))
     simple = F.explode(F.array(*(F.struct(F.lit(name).alias("model_name"), F.col(f"{name}_pred").alias("prediccion")) for name in BASELINES)))
-    naive = baselines(test).withColumn("w", F.explode(plain)).where(inside).select(*kept, F.col("w.fold_id").alias("fold_id"), simple.alias("s")).select(*kept, "fold_id", "s.*")
-    return scored.unionByName(naive)
+    return baselines(test).withColumn("w", F.explode(plain)).where(inside).select(*kept, F.col("w.fold_id").alias("fold_id"), simple.alias("s")).select(*kept, "fold_id", "s.*")
 
 
 def fold_errors(predictions: DataFrame) -> DataFrame:

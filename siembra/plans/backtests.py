@@ -19,9 +19,10 @@ from siembra.sources.scratch import written
 from siembra.sources.tables import SALES_SQL, monthly_panel, panel_sql, sales
 
 
-def features(spark: SparkSession, sf_dir: str, by: str = "product_id") -> DataFrame:
-    """The feature matrix of products' months, written once."""
-    return written(FC.prepared(P.complete_grid(monthly_panel(spark, sf_dir, by))), "features")
+def features(spark: SparkSession, sf_dir: str, by: str = "product_id", *wanted: str) -> DataFrame:
+    """The feature matrix of products' months, written once; only the ``wanted`` columns of it are made, if any are named."""
+    f = FC.prepared(P.complete_grid(monthly_panel(spark, sf_dir, by)))
+    return written(f.select(*wanted) if wanted else f, "features")
 
 
 @query("d17_walk_forward")
@@ -54,8 +55,8 @@ SELECT model_name, CAST(fold_id AS INTEGER) AS fold_id, round(avg(abs(y - p)), 6
 )
 def rolling_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors of the three baselines in six rolling windows."""
-    f = features(spark, sf_dir)
-    p = B.walk_forward_backtest(f, ["lag_1"], models=["linear_regression"]).where(F.col("model_name").isin(*B.BASELINES))
+    f = features(spark, sf_dir, "product_id", "product_id", "periodo", "target_qty", "lag_1", "lag_12")
+    p = B.baseline_backtest(f)
     e = p.groupBy("model_name", "fold_id").agg(*ME.error_metrics("target_qty", "prediccion")).drop("smape")
     return e.withColumns({c: F.round(c, 6) for c in ("mae", "rmse", "wape", "bias_pct")})
 
@@ -126,7 +127,7 @@ FROM (SELECT * FROM c WHERE depth = 2) l LEFT JOIN o x ON x.depth = 2 AND x.tipo
 )
 def segment_champions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Baselines routed by how intermittent a product was in training, and by category within."""
-    f = features(spark, sf_dir)
+    f = features(spark, sf_dir, "product_id", "product_id", "periodo", "target_qty", "lag_1", "lag_12")
     last = f.agg(F.max("periodo").alias("m")).scalar()
     part = F.when(F.col("periodo") > F.add_months(last, -3), "test").when(F.col("periodo") > F.add_months(last, -6), "val").otherwise("train")
     rows = written(FC.baselines(f.withColumn("parte", part)).select("product_id", "periodo", "target_qty", "parte", *(F.col(f"{m}_pred").alias(m) for m in B.BASELINES)), "scored")

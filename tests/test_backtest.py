@@ -13,7 +13,9 @@ from siembra.operators import forecast as FC
 from siembra.operators import least_squares as LS
 from siembra.operators import panel as P
 from siembra.operators.metrics import holdout, periods_of
+from siembra.plans import backtests as BT
 from siembra.sources.scratch import written
+from tests.conftest import DATA
 
 COLUMNS = ["lag_1", "lag_12", "rolling_mean_3", "rolling_max_12", "month_sin", "month_cos", "year", "quarter", "month"]
 
@@ -101,3 +103,12 @@ def test_seasonal_segments_are_reviewed(spark):
     got = {r["segmento"]: r for r in B.stability(spark.createDataFrame(rows, "model_name string, fold_id int, segmento string, wape double, mae double, rmse double, n long")).collect()}
     assert got["todos"]["segmento_apto_automatizacion"] and not got["estacionales"]["segmento_apto_automatizacion"]
     assert got["todos"]["rows_total"] == 40 and got["todos"]["std_wape"] == 0.0
+
+
+def test_baselines_alone_equal_those_of_the_whole_backtest(spark, features):
+    """Only lag_1 and lag_12 are read, and nothing is fitted."""
+    slim = features.select("product_id", "periodo", "target_qty", "lag_1", "lag_12")
+    rows = lambda df: sorted(tuple(r) for r in df.where(F.col("model_name").isin(*B.BASELINES)).select("product_id", "periodo", "model_name", "fold_id", "prediccion").collect())
+    assert rows(B.baseline_backtest(slim)) == rows(B.walk_forward_backtest(features, ["lag_1"])) != []
+    made = BT.features(spark, str(DATA), "product_id", *slim.columns)
+    assert made.columns == slim.columns and made.count() > 0
