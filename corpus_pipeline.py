@@ -14,7 +14,7 @@ from siembra.llm.ngram_join import drop_near_copies
 from siembra.llm.quality_classifier import fit_quality, keep_quality
 from siembra.llm.sentencepiece_codec import encode_pieces
 from siembra.llm.shared import materialise
-from siembra.llm.source_mix import mixed
+from siembra.llm.source_mix import mixed, places
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
@@ -41,8 +41,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document of the mix."""
-    return encode_pieces(docs, PIECES, keep=("doc_id", "lang", "source"))
+    """Piece ids of every document of the mix, with its place: the order in which the mix has them, ``mix_place`` from 0 on."""
+    return encode_pieces(places(docs), PIECES, keep=("doc_id", "lang", "source", "mix_place"))
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact_copies), ("n-gram Jaccard join", near_copies), ("source mix", source_mix), ("SentencePiece", token_ids)]

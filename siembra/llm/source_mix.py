@@ -20,6 +20,7 @@ import heapq
 from collections.abc import Mapping
 
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -135,3 +136,19 @@ def mixed(df: DataFrame, **options) -> DataFrame:
     """
     placed = mix_sources(df, **options).where("mix_slot is not null")
     return placed.repartitionByRange("mix_slot", "mix_rank").sortWithinPartitions("mix_slot", "mix_rank").select(*map(named, df.columns))
+
+
+def places(df: DataFrame, name: str = "mix_place") -> DataFrame:
+    """``df`` with the place of every row, from 0 on, in the order in which the table lies: file by file, row by row.
+
+    Spark reads files in any order, so the order of ``mixed`` is taken from the names of the files and the row numbers in
+    them; a table that isn't read from files counts by partitions. Only the rows of each file are counted and summed up.
+    """
+    try:
+        rows = df.select(*map(named, df.columns), F.col("_metadata.file_name").alias("__file"), F.col("_metadata.row_index").alias("__row"))
+    except AnalysisException:
+        rows = df.select(*map(named, df.columns), F.spark_partition_id().cast("string").alias("__file"), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__row"))
+    before = Window.orderBy(F.length("__file"), "__file").rowsBetween(Window.unboundedPreceding, -1)
+    first = rows.groupBy("__file").agg(F.count("*").alias("__n")).select(F.col("__file").alias("__named"), F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
+    # a row a file
+    return rows.join(F.broadcast(first), F.col("__file") == F.col("__named")).select(*map(named, df.columns), (F.col("__before") + F.col("__row")).alias(name))

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import numpy as np
+from pyspark.sql import functions as F
 
 from siembra.llm.source_mix import mix_sources, mixed
 
@@ -39,3 +40,17 @@ def test_the_others_go_on_in_their_proportions(spark):
 
 def test_sources_without_a_weight_stay_out(spark):
     assert {r["source"] for r in mixed(table(spark), weights={"a": 1, "rare": 1}).select("source").distinct().collect()} == {"a", "rare"}
+
+
+def test_token_ids_carry_the_place_in_the_mix(spark, tmp_path):
+    """The last stage's rows stand as the mix laid them, through written files read in any order; without the mix they stand otherwise."""
+    docs = table(spark).withColumn("lang", F.lit("en"))
+    slots = {r["doc_id"]: (r["mix_slot"], r["mix_rank"]) for r in mix_sources(docs, block_size=1).collect()}
+    want = {k: place for place, k in enumerate(sorted(slots, key=slots.get))}
+    corpus_pipeline.source_mix(spark, docs, "").write.option("maxRecordsPerFile", 700).parquet(str(tmp_path / "mix"))
+    docs.write.parquet(str(tmp_path / "plain"))
+    place = lambda name: {r["doc_id"]: r["mix_place"] for r in corpus_pipeline.token_ids(spark, spark.read.parquet(str(tmp_path / name)), "").collect()}
+    assert place("mix") == want
+    assert sorted(place("plain").values()) == sorted(want.values()) and place("plain") != want
+    held = {r["doc_id"]: r["mix_place"] for r in corpus_pipeline.token_ids(spark, corpus_pipeline.source_mix(spark, docs, "").cache(), "").collect()}
+    assert held == want
