@@ -15,6 +15,7 @@ from siembra.plans.gold import dec
 from siembra.plans.panels import _GRID, text_month
 from siembra.plans.planning import _LAG, _baseline
 from siembra.plans.registry import query
+from siembra.sources.scratch import written
 from siembra.sources.tables import SALES_SQL, money_sum, monthly_panel, panel_sql, sales, table
 
 
@@ -168,7 +169,7 @@ SELECT COUNT(*) AS pares, round(MAX(k * n / (sa.c * sb.c)), 6) AS lift_maximo, C
 """,
 )
 def rule_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = sales(spark, sf_dir).select("order_id", "family").distinct()
+    pairs = written(sales(spark, sf_dir, "order_id", "family").distinct(), "pairs")
     counts = M.pair_counts(pairs, "order_id", "family")
     lift = F.col("n_ab") * F.col("n_baskets") / (F.col("n_a") * F.col("n_b"))
     return counts.agg(F.count("*").alias("pares"), F.round(F.max(lift), 6).alias("lift_maximo"), F.count_if(lift > 1).alias("lift_sobre_uno"))
@@ -235,10 +236,11 @@ def capped_demand(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("m11_return_risk")
 def return_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Risk of a high return rate next month, learned on earlier periods and scored on the last fifth."""
-    a = sales(spark, sf_dir).groupBy(F.col("brand").alias("product_id"), "periodo").agg(money_sum("total_venta").alias("v"), money_sum("total_devolucion").alias("d"), money_sum("qty").alias("q"))
+    a = sales(spark, sf_dir, "brand", "periodo", "total_venta", "total_devolucion", "qty").groupBy(F.col("brand").alias("product_id"), "periodo").agg(money_sum("total_venta").alias("v"), money_sum("total_devolucion").alias("d"), money_sum("qty").alias("q"))
     a = a.withColumn("rate", safe_ratio(F.col("d"), F.col("v")))
     w = Window.partitionBy("product_id").orderBy("periodo")
     f = a.withColumns({"label": (F.lead("rate").over(w) > 0.5).cast("double"), "lag_rate": F.coalesce(F.lag("rate").over(w), F.lit(0.0)), "log_v": F.log1p("v")}).where("label is not null")
+    f = written(f, "risk")  # a row a brand and month: the forest reads it many times
     train, test = K.temporal_split(f)
     model = K.fit_risk(train, ["rate", "lag_rate", "log_v", "q"], "label")
     return text_month(K.score_risk(test, model).select("product_id", "periodo", "probabilidad", "riesgo", "label"))
