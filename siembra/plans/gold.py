@@ -112,7 +112,7 @@ SELECT *, {ratio('total_neto', 'cant_venta')} AS ticket_promedio, least({ratio('
 
 def _metrics(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
     """``cant_venta`` counts lines, so the ticket is net over lines."""
-    a = sales(spark, sf_dir).groupBy(key).agg(F.count("*").alias("cant_venta"), money_sum("total_venta").alias("total_ventas"), money_sum("total_devolucion").alias("total_devolucion"), money_sum(F.col("total_venta") - F.col("total_devolucion")).alias("total_neto"), money_sum("costo_venta").alias("total_costo"))
+    a = sales(spark, sf_dir, key, "total_venta", "total_devolucion", "costo_venta").groupBy(key).agg(F.count("*").alias("cant_venta"), money_sum("total_venta").alias("total_ventas"), money_sum("total_devolucion").alias("total_devolucion"), money_sum(F.col("total_venta") - F.col("total_devolucion")).alias("total_neto"), money_sum("costo_venta").alias("total_costo"))
     return a.withColumns({
         "ticket_promedio": safe_ratio(F.col("total_neto"), F.col("cant_venta")),
         "tasa_devolucion": capped(safe_ratio(F.col("total_devolucion"), F.col("total_ventas")) * 100, 100.0),
@@ -141,7 +141,7 @@ SELECT * FROM t UNION ALL SELECT * FROM h WHERE NOT EXISTS (SELECT 1 FROM t WHER
 )
 def commercial_indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transactional months with distinct orders, and history for the months they lack."""
-    s = sales(spark, sf_dir)
+    s = sales(spark, sf_dir, "anio", "mes", "brand", "family", "segment", "qty", "value", "order_id")
     t = s.where("anio >= 1998").groupBy("anio", "mes", "brand", "family", "segment").agg(money_sum("qty").alias("cantidad"), money_sum("value").alias("neto"), F.countDistinct("order_id").alias("transacciones")).withColumn("origen", F.lit("transaccional"))
     h = s.groupBy("anio", "mes", "brand", "family").agg(money_sum("qty").alias("cantidad"), money_sum("value").alias("neto")).withColumns({"origen": F.lit("historico"), "transacciones": F.lit(0).cast("long")})
     return t.unionByName(h.join(t.select("anio", "mes").distinct(), ["anio", "mes"], "left_anti"), allowMissingColumns=True)
