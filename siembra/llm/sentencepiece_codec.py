@@ -2,6 +2,7 @@
 
 A text is marked (a space before it, every space as the mark) and cut into words where no piece
 of the vocabulary can span: before a mark that follows another character, and around line ends.
+Words keep the space where the model has the mark: strings without the mark take half the memory.
 The distinct words of an Arrow chunk that aren't known yet are sorted, which walks their trie
 depth first: the forward states of the prefix shared with the word before stay, the rest is
 extended character by character along the trie of pieces. Encoded words are remembered by the
@@ -26,6 +27,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,7 +41,7 @@ REMEMBERED, LONGEST = 500_000, 64
 PAIRS = 500_000
 #: Bytes of text whose new words are sorted together.
 CHUNK = 1 << 20
-_WORDS = re.compile(f"\n+|{MARK}*[^{MARK}\n]+|{MARK}+")
+_WORDS = re.compile("\n+| *[^ \n]+| +")
 _UNIGRAM, _BPE, _NORMAL, _USER, _BYTE = 1, 2, 1, 4, 6
 
 
@@ -90,10 +92,10 @@ class Encoder:
         self.packed = np.zeros(0, np.int64), np.zeros(0, bool)
         self.root: dict = {}
         for piece, i in vocabulary.ids.items():
-            if vocabulary.bpe and len(piece) > 1 and self.merge(piece) != [i]:
-                continue  # no sequence of merges makes it
+            if " " in piece or vocabulary.bpe and len(piece) > 1 and self.merge(piece) != [i]:
+                continue  # no marked text has it, or no sequence of merges makes it
             node = self.root
-            for c in piece:
+            for c in piece.replace(MARK, " "):
                 node = node.setdefault(c, {})
             node[""] = i
 
@@ -182,7 +184,7 @@ class Encoder:
             if piece >= 0:
                 out.append(piece)
             else:
-                raw = [self.v.bytes[b] for b in word[at:i].encode()]
+                raw = [self.v.bytes[b] for b in word[at:i].replace(" ", MARK).encode()]
                 out += raw[::-1] if min(raw) >= 0 else [self.v.unknown]
             i = at
         return out[::-1]
@@ -201,10 +203,11 @@ class Codec:
         self.forget()
 
     @classmethod
-    def of(cls, key: int, vocabulary: Vocabulary) -> Codec:
+    def of(cls, key: int, shared: Broadcast) -> Codec:
+        """The worker's codec; the vocabulary is read from its broadcast only where there is none yet, for every copy read stays in memory."""
         if key not in cls._held:
             cls._held.clear()
-            cls._held[key] = cls(vocabulary)
+            cls._held[key] = cls(shared.value)
         return cls._held[key]
 
     def forget(self) -> None:
@@ -232,7 +235,7 @@ class Codec:
         ends = [0]
         for text in texts:
             if text:
-                words += _WORDS.findall(MARK + text.replace(" ", MARK))
+                words += _WORDS.findall(" " + text.replace(MARK, " "))
             ends.append(len(words))
         get = self.known.get
         numbers = [get(w, -1) for w in words]
@@ -282,7 +285,7 @@ def encode_pieces(df: DataFrame, model_path: str, text_col: str = "text", keep:
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField("ids", T.ArrayType(T.IntegerType(), False)), T.StructField("n_tokens", T.LongType()), T.StructField("round_trip", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(key, shared.value)
+        codec = Codec.of(key, shared)
         codec.encoder.unpack()
         for part, data, offsets in chunks(batches, "__text", CHUNK):
             ids, where = codec.encode(part.column("__text").to_pylist())
@@ -307,7 +310,7 @@ def decode_pieces(df: DataFrame, model_path: str, ids_col: str = "ids", text_col
     schema = T.StructType([*(df.schema[c] for c in keep), T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec.of(key, shared.value)
+        codec = Codec.of(key, shared)
         for batch in batches:
             lists = batch.column("__ids")
             ids, sizes = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().fill_null(0).to_numpy()
