@@ -74,8 +74,14 @@ def parse_ledger_number(c: Column) -> Column:
     With one kind of sign repeated, groups of three are thousands; else the last one is decimal.
     """
     raw = F.trim(c.cast("string"))
-    negative = raw.startswith("(") & raw.endswith(")")
-    text = F.replace(F.regexp_replace(raw, r"[()$%\s ]", ""), F.lit("−"), F.lit("-"))
+    sign = F.when(raw.startswith("(") & raw.endswith(")"), -1.0).otherwise(1.0)
+    # a column is spelled out wherever it is referred to, and code above 64 KB isn't compiled: the text is bound to a name once
+    plain = F.transform(F.array(F.translate(raw, "−()$%\t\n\x0b\f\r \xa0", "-")), _plain_ledger)[0]
+    return F.regexp_extract(plain, r"^([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?)\z", 1).try_cast("double") * sign
+
+
+def _plain_ledger(text: Column) -> Column:
+    """Ledger text without its thousands, with a decimal point."""
     count = lambda sign: F.length(text) - F.length(F.replace(text, F.lit(sign), F.lit("")))
     dots, commas = count("."), count(",")
     comma_last = F.locate(",", F.reverse(text)) < F.locate(".", F.reverse(text))
@@ -87,7 +93,7 @@ def parse_ledger_number(c: Column) -> Column:
         return F.when(thousands, drop(text, sign)).otherwise(last)
 
     both = F.when(comma_last, F.replace(drop(text, "."), F.lit(","), F.lit("."))).otherwise(drop(text, ","))
-    plain = (
+    return (
         F.when(F.upper(text).contains("E"), F.replace(text, F.lit(","), F.lit(".")))
         .when((dots > 0) & (commas > 0), both)
         .when(commas > 1, grouped(",", ","))
@@ -95,8 +101,6 @@ def parse_ledger_number(c: Column) -> Column:
         .when(dots > 1, grouped(".", r"\."))
         .otherwise(text)
     )
-    number = _double(plain)
-    return F.when(~F.upper(raw).isin("", "NULL", "NONE", "NAN"), F.when(negative, -number).otherwise(number))
 
 
 def half_even(c: Column, digits: int = 0) -> Column:

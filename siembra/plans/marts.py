@@ -200,10 +200,10 @@ def product_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("c21_ledger_numbers", "SELECT l_orderkey, l_linenumber, CAST(CASE WHEN l_returnflag = 'R' THEN -l_extendedprice ELSE l_extendedprice END AS DECIMAL(18,2))::DOUBLE AS valor FROM lineitem")
 def ledger_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Amounts written as (1.234,56) and $ 1,234.56 read back."""
-    us = F.format_number("l_extendedprice", 2)
-    eu = F.translate(us, ",.", ".,")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", F.format_number("l_extendedprice", 2).alias("us"))
+    us, eu = F.col("us"), F.translate("us", ",.", ".,")
     raw = F.when(F.col("l_returnflag") == "R", F.concat(F.lit("("), eu, F.lit(")"))).when(F.col("l_returnflag") == "A", F.concat(F.lit("$ "), us)).otherwise(eu)
-    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", N.parse_ledger_number(raw).alias("valor"))
+    return lines.select("l_orderkey", "l_linenumber", raw.alias("raw")).select("l_orderkey", "l_linenumber", N.parse_ledger_number(F.col("raw")).alias("valor"))
 
 
 @query("c25_calendar", "SELECT o_orderkey, CAST(quarter(o_orderdate) AS INTEGER) AS trimestre, CAST(isodow(o_orderdate) - 1 AS INTEGER) AS dia, CAST(weekofyear(o_orderdate) AS INTEGER) AS semana, CAST(day(o_orderdate) = 1 AS INTEGER) AS inicio, CAST(last_day(CAST(o_orderdate AS DATE)) = CAST(o_orderdate AS DATE) AS INTEGER) AS fin, CAST(year(o_orderdate) * 12 + month(o_orderdate) AS INTEGER) AS indice FROM orders")
