@@ -1,8 +1,8 @@
 """How well association rules hold: in later baskets, and under resampling, each from one count of pairs.
 
-Counts are conditional sums of one self-join of baskets. Splits are columns of it; a bootstrap resample is a weight of
+Counts are conditional sums over the pairs of a basket's items; baskets of the same items are added up before they are taken apart into pairs. Splits are columns of it; a bootstrap resample is a weight of
 each basket, a Poisson number of mean 1 drawn by a hash of basket and resample, so all resamples are columns of it too
-and come out the same whatever the partitions. A basket holds at most the top items, so its pairs are bounded.
+and come out the same whatever the partitions. A basket holds at most the top items, so its list and its pairs are bounded.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ CONSENSUS = {"lift": 0.30, "confidence": 0.25, "conf_test": 0.25, "estabilidad_s
 
 def _counted(pairs: DataFrame, basket: str, item: str, weights: dict[str, Column]) -> DataFrame:
     """Directed pairs (antecedent, consequent) with n_ab, n_a, n_b and n of each weight of the baskets."""
-    heavy = written(pairs.select(F.col(basket).alias("__basket"), F.col(item).alias("i"), *(w.alias(f"w_{k}") for k, w in weights.items())), "weights")
-    total = heavy.drop("i").distinct().agg(*(F.coalesce(F.sum(f"w_{k}"), F.lit(0)).alias(f"n_{k}") for k in weights))
-    single = heavy.groupBy("i").agg(*(F.sum(f"w_{k}").alias(f"s_{k}") for k in weights))
-    a = heavy.select("__basket", F.col("i").alias("antecedent"), *(f"w_{k}" for k in weights))
-    b = heavy.select("__basket", F.col("i").alias("consequent"))
-    both = a.join(b, "__basket").where("antecedent != consequent").groupBy("antecedent", "consequent").agg(*(F.sum(f"w_{k}").alias(f"ab_{k}") for k in weights))
+    own = [c for c in pairs.columns if c != item]  # what belongs to the basket: its key, and its part if it has one
+    whole = pairs.groupBy(*own).agg(F.array_sort(F.collect_set(item)).alias("items"))
+    alike = written(whole.groupBy("items").agg(*(F.sum(w).alias(f"w_{k}") for k, w in weights.items())), "weights")
+    added = [f"w_{k}" for k in weights]
+    total = alike.agg(*(F.coalesce(F.sum(f"w_{k}"), F.lit(0)).alias(f"n_{k}") for k in weights))
+    single = alike.select(F.explode("items").alias("i"), *added).groupBy("i").agg(*(F.sum(f"w_{k}").alias(f"s_{k}") for k in weights))
+    a = alike.select(F.explode("items").alias("antecedent"), "items", *added)
+    both = a.select("antecedent", F.explode("items").alias("consequent"), *added).where("antecedent != consequent").groupBy("antecedent", "consequent").agg(*(F.sum(f"w_{k}").alias(f"ab_{k}") for k in weights))
     side = lambda name, p: single.select(F.col("i").alias(name), *(F.col(f"s_{k}").alias(f"{p}_{k}") for k in weights))
     out = both.join(side("antecedent", "a"), "antecedent").join(side("consequent", "b"), "consequent")
     return out.crossJoin(F.broadcast(total))  # one row of totals
