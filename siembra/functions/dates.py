@@ -16,13 +16,14 @@ MONTH_NAMES = {v: k for k, v in MONTHS.items() if k != "setiembre"}
 
 
 def month_number(name: Column) -> Column:
-    return lookup(F.trim(F.lower(strip_accents(name))), MONTHS)
+    plain = lookup(F.trim(F.lower(name.cast("string"))), MONTHS)
+    return F.coalesce(plain, lookup(F.trim(F.lower(strip_accents(name))), MONTHS))  # accents are looked for only where the name isn't plain
 
 
 def month_start(year: Column, name: Column) -> Column:
     """First day of a named month; null if the year or the name isn't one."""
     y, m = year.try_cast("int"), month_number(name)
-    return F.when(y.between(1, 9999) & m.isNotNull(), F.make_date(y, m, F.lit(1)))
+    return F.when(y.between(1, 9999), F.make_date(y, m, F.lit(1)))
 
 
 def month_of(date: Column) -> Column:

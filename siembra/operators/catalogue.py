@@ -44,8 +44,8 @@ def clean_monthly_sales(df: DataFrame) -> DataFrame:
     """Sums by brand, family, product, code in parentheses and month; a month comes from year and month name. Rows without product or month go."""
     text = {c: clean_string(F.col(c)) for c in ("marca", "familia", "producto")}
     rows = df.withColumns({**text, "periodo": month_start(_number("anio").cast("int"), F.col("mes"))}).where("periodo IS NOT NULL AND producto != ''")
-    code = F.regexp_extract("producto", r"\((\d+)\)", 1)
-    rows = rows.withColumn("codigo_producto", F.when(code == "", "").otherwise(zfill(code)))
+    rows = rows.withColumn("__code", F.regexp_extract("producto", r"\((\d+)\)", 1))  # by itself: its pattern is sought once a row
+    rows = rows.withColumn("codigo_producto", F.when(F.col("__code") == "", "").otherwise(zfill(F.col("__code"))))
     sums = (_exact_sum(_number(c)).alias(c) for c in ("recuento_cliente", "cantidad", "ventas"))
     return rows.groupBy("marca", "familia", "producto", "codigo_producto", "periodo").agg(*sums)
 
