@@ -95,5 +95,4 @@ def until(moments: dict[date, Moments], last: date) -> Moments | None:
 
 def fitted(intercept: Column, slopes: Column, columns: Sequence[str]) -> Column:
     """The model's value for a row, from an array of slopes in the order of ``columns``."""
-    values = F.array(*(F.col(c).cast("double") for c in columns))
-    return intercept + F.aggregate(F.zip_with(values, slopes, lambda x, b: x * b), F.lit(0.0), lambda s, v: s + v)
+    return intercept + sum((F.col(c).cast("double") * slopes[k] for k, c in enumerate(columns)), F.lit(0.0))

@@ -60,27 +60,33 @@ def next_month_target(panel: DataFrame, key: str = "product_id", month: str = "p
 def point_in_time_profile(panel: DataFrame, key: str = "product_id", month: str = "periodo", qty: str = "target_qty", inactive_months: int = 12, top_share: float = 0.6, most_active_months: int = 4) -> DataFrame:
     """State and seasonality of every row from the months before it alone.
 
-    Quantities by month of the year and active months by year are running sums over the past, so
-    one sort by key and month serves all of it; the top three months and the median of active
-    months by year are array functions of those.
+    Quantities by month of the year are running sums over the past, and the active months of a year
+    are a number taken when it ends, so one sort by key and month serves all of it and a row holds one number a year;
+    the top three months and the median of active months by year are array functions of those.
     """
     w = _by(key, month)
     past = w.rowsBetween(Window.unboundedPreceding, -1)
     q = F.coalesce(F.col(qty).cast("double"), F.lit(0.0))
     active = q > 0
     sums = {f"__m{m}": F.coalesce(F.sum(F.when(active & (F.month(month) == m), q)).over(past), F.lit(0.0)) for m in range(1, 13)}
+    df = panel.withColumns(sums | {"ultima_actividad": F.last(F.when(active, F.col(month)), ignorenulls=True).over(past)})
     # distinct active months: a key has one row a month, so its rows are distinct already
-    df = panel.withColumns(sums | {"ultima_actividad": F.last(F.when(active, F.col(month)), ignorenulls=True).over(past), "__years": F.collect_list(F.when(active, F.year(month))).over(past)})
+    year = F.year(month)
+    df = df.withColumns({"__so_far": F.coalesce(F.count(F.when(active, year)).over(past), F.lit(0)), "__starts": ~year.eqNullSafe(F.lag(year).over(w))})
+    df = df.withColumn("__base", F.last(F.when(F.col("__starts"), F.col("__so_far")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    df = df.withColumn("__ended", F.when(F.col("__starts"), F.nullif(F.col("__so_far") - F.lag("__base").over(w), F.lit(0))))
+    df = df.withColumn("__ends", F.collect_list("__ended").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     months = F.array(*(F.struct((-F.col(f"__m{m}")).alias("minus"), F.lit(m).alias("month")) for m in range(1, 13)))
-    ranked = F.array_sort(F.filter(months, lambda x: x["minus"] < 0))
-    df = df.withColumn("__top", F.slice(ranked, 1, 3)).withColumn("__total", sum((F.col(f"__m{m}") for m in range(1, 13)), F.lit(0.0)))
+    ranked = F.filter(F.slice(F.sort_array(months), 1, 3), lambda x: x["minus"] < 0)
+    df = df.withColumn("__top", ranked).withColumn("__total", sum((F.col(f"__m{m}") for m in range(1, 13)), F.lit(0.0)))
     top = F.aggregate("__top", F.lit(0.0), lambda s, x: s - x["minus"])
     share = F.when(F.col("__total") > 0, top / F.col("__total")).otherwise(F.lit(0.0))
-    years = F.array_distinct("__years")
-    counts = F.array_sort(F.transform(years, lambda y: F.size(F.filter("__years", lambda x: x == y))))
+    running = F.nullif(F.col("__so_far") - F.col("__base"), F.lit(0))
+    df = df.withColumn("__counts", F.sort_array(F.when(running.isNull(), F.col("__ends")).otherwise(F.array_append("__ends", running))))
+    counts = F.col("__counts")
     n = F.size(counts)
     median = F.when(n > 0, (F.element_at(counts, F.greatest(F.floor((n + 1) / 2), F.lit(1)).cast("int")) + F.element_at(counts, F.greatest(F.floor(n / 2) + 1, F.lit(1)).cast("int"))) / 2.0).otherwise(F.lit(0.0))
-    seasonal = (F.size(years) >= 2) & ((share >= top_share) | (median <= most_active_months))
+    seasonal = (n >= 2) & ((share >= top_share) | (median <= most_active_months))
     names = F.transform("__top", lambda x: lookup(x["month"].cast("string"), {str(k): v for k, v in MONTH_NAMES.items()}))
     cutoff = F.add_months(F.col(month), -inactive_months)
     df = df.withColumns({

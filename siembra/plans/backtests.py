@@ -19,6 +19,10 @@ from siembra.sources.scratch import written
 from siembra.sources.tables import SALES_SQL, monthly_panel, panel_sql, sales
 
 
+#: The columns that backtests of linear models read.
+_MODELLED = ("product_id", "periodo", "target_qty", "estado_producto", "es_estacional", "ultima_actividad", *FC.FEATURES)
+
+
 def features(spark: SparkSession, sf_dir: str, by: str = "product_id", *wanted: str) -> DataFrame:
     """The feature matrix of products' months, written once; only the ``wanted`` columns of it are made, if any are named."""
     f = FC.prepared(P.complete_grid(monthly_panel(spark, sf_dir, by)))
@@ -28,14 +32,14 @@ def features(spark: SparkSession, sf_dir: str, by: str = "product_id", *wanted:
 @query("d17_walk_forward")
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stability by model and segment over six walk-forward folds of products."""
-    f = features(spark, sf_dir)
+    f = features(spark, sf_dir, "product_id", *_MODELLED)
     return B.stability(B.fold_errors(B.walk_forward_backtest(f, FC.active_features(f), least_rows=50)))
 
 
 @query("d18_learning_curve")
 def learning_curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Eight lengths of training and their errors."""
-    f = features(spark, sf_dir)
+    f = features(spark, sf_dir, "product_id", *_MODELLED)
     return B.learning_curve(f, FC.active_features(f), least_rows=50).withColumn("train_until", F.col("train_until").cast("string"))
 
 
