@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siembra.functions.numeric import safe_ratio
 from siembra.operators import silver as S
+from siembra.operators.relational import left_pairs
 from siembra.plans.gold import dec
 from siembra.plans.registry import query
 from siembra.sources.tables import SALES_SQL, money_sum, monthly_panel, panel_sql, sales, table
@@ -246,7 +247,7 @@ def function_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Left join on a name and an upper-cased type; names that repeat give several rows."""
     e = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("a"), F.col("p_name").alias("n"), F.upper("p_type").alias("t"))
     p = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("b"), F.col("p_name").alias("n"), F.upper("p_type").alias("t"))
-    return e.join(p, ["n", "t"], "left").select("a", "b")
+    return left_pairs(e, p, ["n", "t"], "a", "b")
 
 
 @query(
