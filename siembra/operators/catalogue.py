@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from siembra.functions.dates import month_index, month_start
 from siembra.functions.numeric import finite
 from siembra.functions.text import clean_string, ean_digits, ean_valid, item_leaf, normalize_product_name, padded_code, zfill
+from siembra.sources.scratch import written
 
 # Descriptions that say nothing. Callers add their company's own.
 GENERIC = ("", "PT", "PP", "PRODUCTO TERMINADO", "NONE", "NAN")
@@ -69,22 +70,31 @@ def forecasting_base(sales: DataFrame, dim: DataFrame) -> DataFrame:
 
     A product outside the catalogue that has the name of a finished one goes. A product is its EAN if that has 13 digits, else its
     code; it is inactive without sales in the last six months and seasonal if it was sold in four months of the year at most.
+    ``dim`` has one row a code, so what it says is looked up once a code and joined to the sums; names are normalised once a spelling.
     """
-    own = dim.select("codigo_producto", "ean13", "item_canonico", "producto_dashboard", "tipo_producto", "flag_conflicto_ean13")
-    rows = sales.join(own, "codigo_producto", "left").withColumns({
-        "producto_item": F.coalesce("item_canonico", "producto"), "producto_dashboard": F.coalesce("producto_dashboard", "producto"), "tipo": F.upper(F.trim(F.coalesce("tipo_producto", F.lit("OTRO")))),
-        "ean13": F.coalesce("ean13", F.lit("")), "flag_catalogo_conflicto": F.coalesce("flag_conflicto_ean13", F.lit(False)), "categoria_producto": F.upper(F.trim("familia")),
-    })
-    rows = rows.withColumn("__name", normalize_product_name(F.col("producto_dashboard")))
-    finished = rows.where("tipo = 'PT'").select("__name").distinct().withColumn("__finished", F.lit(True))
-    rows = rows.join(finished, "__name", "left").where((F.col("tipo") != "OTRO") | F.col("__finished").isNull())
-    rows = rows.withColumn("__key", F.when(F.length("ean13") == 13, F.col("ean13")).otherwise(F.col("codigo_producto")))
-    life = rows.groupBy("__key").agg(F.max("periodo").alias("__last"), F.countDistinct(F.when(F.col("cantidad") > 0, F.month("periodo"))).alias("__months"))
-    newest = rows.agg(F.max("periodo").alias("m")).scalar()
+    own = dim.select("codigo_producto", "ean13", "item_canonico", "producto_dashboard", "tipo_producto", "flag_conflicto_ean13").withColumn("__tipo", F.upper(F.trim(F.coalesce("tipo_producto", F.lit("OTRO")))))
+    kind = F.coalesce("__tipo", F.lit("OTRO"))
+    shown = sales.groupBy("codigo_producto", "producto").agg(F.lit(1).alias("n")).join(own, "codigo_producto", "left")
+    names = shown.groupBy(F.coalesce("producto_dashboard", "producto").alias("__shown")).agg(F.max(kind == "PT").alias("__pt")).withColumn("__name", normalize_product_name(F.col("__shown")))
+    finished = names.where("__pt").select("__name").distinct()
+    twins = names.join(finished, "__name", "left_semi").select(F.col("__shown").alias("__twin"))
+    gone = shown.where(kind == "OTRO").join(twins, F.coalesce("producto_dashboard", "producto").eqNullSafe(F.col("__twin"))).select(F.col("codigo_producto").alias("__code"), F.col("producto").alias("__product"))
+    rows = sales.join(gone, F.col("codigo_producto").eqNullSafe(F.col("__code")) & F.col("producto").eqNullSafe(F.col("__product")), "left_anti")
+
+    exact = lambda c: F.sum(F.col(c).cast("decimal(18,4)")).alias(c)
+    keys = ("periodo", "marca", "familia", "codigo_producto")
+    products = rows.repartition(*keys).groupBy(*keys, "producto").agg(F.count("*").alias("n"), F.max(F.col("cantidad") > 0).alias("__some"), *(exact(c) for c in ("cantidad", "ventas", "recuento_cliente")))
+    often = F.min(F.when(F.col("producto").isNotNull(), F.struct((-F.col("n")).alias("n"), "producto"))).getField("producto")
+    total = lambda c, name: F.sum(c).cast("double").alias(name)
+    sums = written(products.groupBy(*keys).agg(often.alias("producto"), F.max("__some").alias("__some"), total("cantidad", "qty_vendida"), total("ventas", "ventas_valor"), total("recuento_cliente", "clientes")), "sums")
+
+    months = sums.groupBy("codigo_producto", "periodo").agg(F.max("__some").alias("__some")).join(own.select("codigo_producto", "ean13"), "codigo_producto", "left")
+    key = lambda: F.when(F.length("ean13") == 13, F.col("ean13")).otherwise(F.col("codigo_producto"))
+    life = months.groupBy(key().alias("__key")).agg(F.max("periodo").alias("__last"), F.countDistinct(F.when(F.col("__some"), F.month("periodo"))).alias("__months"))
+    newest = sums.agg(F.max("periodo").alias("m")).scalar()
     state = F.when(month_index(newest) - month_index(F.col("__last")) >= INACTIVE_MONTHS, "INACTIVO").when(F.col("__months") <= SEASONAL_MONTHS, "ESTACIONAL").otherwise("ACTIVO")
-    rows = rows.join(life, "__key").withColumns({"estado_producto": state, "tipo_producto": F.when(F.col("tipo") == "PT", "PT").otherwise("OTRO")})
-    keys = ("periodo", "marca", "familia", "codigo_producto", "ean13", "tipo_producto", "categoria_producto", "estado_producto", "flag_catalogo_conflicto")
-    return rows.groupBy(*keys).agg(
-        F.mode("producto_item", True).alias("producto_item"), F.mode("producto_dashboard", True).alias("producto_dashboard"),
-        _exact_sum(F.col("cantidad")).alias("qty_vendida"), _exact_sum(F.col("ventas")).alias("ventas_valor"), _exact_sum(F.col("recuento_cliente")).alias("clientes"),
+    out = sums.join(own, "codigo_producto", "left").withColumn("__key", key()).join(life, "__key")
+    return out.select(
+        "periodo", "marca", "familia", "codigo_producto", F.coalesce("ean13", F.lit("")).alias("ean13"), F.when(kind == "PT", "PT").otherwise("OTRO").alias("tipo_producto"), F.upper(F.trim("familia")).alias("categoria_producto"), state.alias("estado_producto"),
+        F.coalesce("flag_conflicto_ean13", F.lit(False)).alias("flag_catalogo_conflicto"), F.coalesce("item_canonico", "producto").alias("producto_item"), F.coalesce("producto_dashboard", "producto").alias("producto_dashboard"), "qty_vendida", "ventas_valor", "clientes",
     )

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siembra.functions.dates import MONTH_NAMES
 from siembra.operators import catalogue as C
 from siembra.plans.registry import query
+from siembra.sources.scratch import written
 from siembra.sources.tables import table
 
 _MONTHS = "['" + "', '".join(MONTH_NAMES[m] for m in range(1, 13)) + "']"
@@ -93,5 +94,5 @@ SELECT u.* REPLACE (CAST(u.periodo AS VARCHAR) AS periodo), producto_item, produ
     ),
 )
 def forecasting_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sales = _monthly(spark, sf_dir)
+    sales = written(_monthly(spark, sf_dir), "sales")
     return C.forecasting_base(sales, C.canonical_products(_catalogue(spark, sf_dir), sales)).withColumn("periodo", F.col("periodo").cast("string"))

@@ -8,6 +8,7 @@ from siembra.functions import dates as D
 from siembra.functions import numeric as N
 from siembra.operators import catalogue as C
 from siembra.operators import rule_stability as RS
+from siembra.plans import catalogue as PC
 
 
 def optimised(df):
@@ -43,3 +44,16 @@ def test_baskets_of_the_same_items_are_one_row(spark, monkeypatch):
     out = {(r["antecedent"], r["consequent"]): (r["ab_base"], r["a_base"], r["b_base"], r["n_base"]) for r in RS._counted(pairs, "b", "i", {"base": F.lit(1)}).collect()}
     assert kept[0].count() == 2
     assert out == {("x", "y"): (40, 41, 40, 41), ("y", "x"): (40, 40, 41, 41), ("x", "z"): (1, 41, 1, 41), ("z", "x"): (1, 1, 41, 41)}
+
+
+def test_forecasting_base_reads_lines_and_names_once(spark):
+    """Repeated rows, products of one code and twins of finished ones; no plan goes back to the lines or normalises names by month."""
+    base = PC.forecasting_base(spark, "/root/testdata/sf0.001")
+    plan = base._jdf.queryExecution().executedPlan().toString()
+    assert "lineitem" not in plan and "translate" not in plan
+    month = lambda m: datetime.date(2024, m, 1)
+    rows = [("m", " f", p, c, month(t), 1.0, q, 2.0) for p, c, t, q in (("B", "0009", 1, 1.0), ("B", "0009", 1, 2.0), ("A", "0009", 1, -1.0), ("A x", "0009", 2, 0.0), ("Sal", "", 2, 1.0), ("sál", "", 2, 1.0), ("Ajo", "0001", 2, 1.0))]
+    sales = spark.createDataFrame(rows, "marca string, familia string, producto string, codigo_producto string, periodo date, recuento_cliente double, cantidad double, ventas double")
+    dim = spark.createDataFrame([("0001", "", "PT:SAL", "SAL", "PT", False)], "codigo_producto string, ean13 string, item_canonico string, producto_dashboard string, tipo_producto string, flag_conflicto_ean13 boolean")
+    got = {(r.codigo_producto, r.periodo.month): (r.producto_item, r.producto_dashboard, r.tipo_producto, r.categoria_producto, r.estado_producto, r.qty_vendida, r.clientes) for r in C.forecasting_base(sales, dim).collect()}
+    assert got == {("0009", 1): ("B", "B", "OTRO", "F", "ESTACIONAL", 2.0, 3.0), ("0009", 2): ("A x", "A x", "OTRO", "F", "ESTACIONAL", 0.0, 1.0), ("0001", 2): ("PT:SAL", "SAL", "PT", "F", "ESTACIONAL", 1.0, 1.0)}
