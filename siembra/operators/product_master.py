@@ -19,31 +19,48 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siembra.functions.text import normalize_product_name, stable_hash
 from siembra.sources.scratch import dropped, written
 
-SUMS = "codigo string, nombre string, tipo string, categoria string, periodo date, qty decimal(28,4), filas bigint"
+TOTAL = "decimal(28,4)"
+SUMS = f"codigo string, nombre string, tipo string, categoria string, periodo date, qty {TOTAL}, filas bigint"
 RUNS = "codigo string, nombre string, meses array<date>, desde date, hasta date, antes date, despues date"
 
 # Shares from which a gate warns and from which it fails.
 GATES = {"pct_codigos_con_conflicto": (0.02, 0.05), "pct_filas_sin_codigo": (0.05, 0.10), "pct_nombres_no_mapeados": (0.02, 0.05)}
 
 
+def condensed(base: DataFrame, *also: str) -> DataFrame:
+    """Base rows of one code, spelling, kind, category, month (and ``also``) as one, with their quantity and their number ``filas``.
+
+    Spellings are few and rows are many: what follows normalises each spelling once a month instead of once a row.
+    """
+    keys = ("codigo_producto", "producto_dashboard", "tipo_producto", "categoria_producto", "periodo", *also)
+    rows = base.withColumns({"periodo": F.trunc(F.to_date("periodo"), "MM"), "qty_vendida": _quantity(base)})
+    return rows.groupBy(*keys).agg(F.sum("qty_vendida").cast(TOTAL).alias("qty_vendida"), F.sum("filas" if "filas" in base.columns else F.lit(1)).alias("filas"))
+
+
+def _quantity(base: DataFrame) -> Column:
+    """The quantity of a base row, no number as 0; sums of ``condensed`` keep their width."""
+    return F.coalesce(F.col("qty_vendida").try_cast(TOTAL if "filas" in base.columns else "decimal(18,4)"), F.lit(0))
+
+
 def tidy(base: DataFrame, normalise: Callable[[Column], Column] = normalize_product_name) -> DataFrame:
-    """The columns the master reads: code, name as given and normalised, kind, category, first day of the month, quantity."""
+    """The columns the master reads: code, name as given and normalised, kind, category, first day of the month, quantity, and ``filas`` of condensed rows."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
     return base.select(
         F.trim(text("codigo_producto")).alias("codigo"), text("producto_dashboard").alias("original"), normalise(F.col("producto_dashboard")).alias("nombre"),
         F.col("tipo_producto").cast("string").alias("tipo"), F.col("categoria_producto").cast("string").alias("categoria"),
-        F.trunc(F.to_date("periodo"), "MM").alias("periodo"), F.coalesce(F.col("qty_vendida").try_cast("decimal(18,4)"), F.lit(0)).alias("qty"),
+        F.trunc(F.to_date("periodo"), "MM").alias("periodo"), _quantity(base).alias("qty"), *(["filas"] if "filas" in base.columns else []),
     )
 
 
 def sums(rows: DataFrame) -> DataFrame:
     """What rows of ``tidy`` add to the store."""
     keys = ("codigo", "nombre", "tipo", "categoria", "periodo")
-    return rows.where("periodo is not null").groupBy(*keys).agg(F.sum("qty").cast("decimal(28,4)").alias("qty"), F.count("*").alias("filas"))
+    return rows.where("periodo is not null").groupBy(*keys).agg(F.sum("qty").cast(TOTAL).alias("qty"), F.sum("filas" if "filas" in rows.columns else F.lit(1)).alias("filas"))
 
 
 def dominant(added: DataFrame) -> DataFrame:
@@ -82,6 +99,11 @@ def absorb(runs: DataFrame, names: DataFrame) -> DataFrame:
     return kept.unionByName(new.select(*columns))
 
 
+def _empty(spark: SparkSession, schema: str) -> DataFrame:
+    """No rows of a schema, without Python workers."""
+    return spark.range(0).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(schema)))
+
+
 @dataclass
 class ProductMaster:
     """The store in a folder that the driver and all executors share.
@@ -102,14 +124,14 @@ class ProductMaster:
     def runs(self) -> DataFrame:
         done = self._versions()
         if not done:
-            return self.spark.createDataFrame([], RUNS)
+            return _empty(self.spark, RUNS)
         return self.spark.read.schema(RUNS).parquet("{}/intervals/version={}/batch={}".format(self.folder, *done[-1]))
 
     def sums(self, *also: str, years: Sequence[int] | None = None) -> DataFrame:
         """What the batches in force (and those of ``also``) added, in all years or in ``years``."""
         ids = sorted({b for _, b in self._versions()} | set(also))
         if not ids or years == []:
-            return self.spark.createDataFrame([], SUMS)
+            return _empty(self.spark, SUMS)
         rows = self.spark.read.schema(f"{SUMS}, batch string, anio int").parquet(f"{self.folder}/sums").where(F.col("batch").isin(ids))
         return (rows if years is None else rows.where(F.col("anio").isin(years))).drop("batch", "anio")
 
@@ -121,7 +143,7 @@ class ProductMaster:
         if batch in {b for _, b in done}:
             return False
         path = f"{self.folder}/sums/batch={batch}"
-        added = sums(tidy(base, normalise)).withColumn("anio", F.year("periodo")).hint("rebalance", "periodo").sortWithinPartitions("anio", "periodo")
+        added = sums(tidy(condensed(base), normalise)).withColumn("anio", F.year("periodo")).hint("rebalance", "periodo").sortWithinPartitions("anio", "periodo")
         added.write.mode("overwrite").partitionBy("anio").parquet(path)
         own = self.spark.read.schema(f"{SUMS}, anio int").parquet(path)
         months = [r["periodo"] for r in own.select("periodo").distinct().collect()]

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import random
 from collections import Counter, defaultdict
-from datetime import date
+from datetime import date, datetime
 from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
 
 from siembra.operators import product_master as M
+from siembra.plans.identity import sku_master
 
 SCHEMA = "codigo_producto string, producto_dashboard string, tipo_producto string, categoria_producto string, periodo date, qty_vendida double"
 
@@ -120,3 +121,34 @@ def test_conflicts_and_gate(spark):
         M.require_quality(gate)
     mapped = {(r.codigo_producto, r.nombre_original): (r.nombre_canonico, r.decision_sugerida) for r in M.name_mapping(M.tidy(base(spark, two))).collect()}
     assert mapped["2", "c"] == ("A", "MANUAL_REVIEW") and mapped["3", "a"] == ("A", "AUTO_MERGE")
+
+
+def test_a_batch_normalises_spellings_not_rows(spark, tmp_path):
+    calls = spark.sparkContext.accumulator(0)
+
+    def upper(name):
+        calls.add(1)
+        return (name or "").upper()
+
+    rows = [("1", name, "PT", "C", date(2024, m, d), 1.5) for name in ("a", "b", None) for m in (1, 2) for d in range(1, 21)]
+    master = M.ProductMaster(spark, str(tmp_path / "m"))
+    master.absorb(base(spark, rows), "one", F.udf(upper, "string"))
+    assert 6 <= calls.value <= 12
+    assert sorted((r.nombre, r.periodo.month, float(r.qty), r.filas) for r in master.sums().collect()) == [(n, m, 30.0, 20) for n in ("", "A", "B") for m in (1, 2)]
+
+
+def test_condensed_rows_give_the_same_sums_gate_and_spellings(spark):
+    rng = random.Random(7)
+    rows = [(rng.choice(["7", " 7", "8", "", None]), rng.choice(["x", "X", "ñ", "", None]), rng.choice(["PT", "PP", None]), rng.choice(["K", None]), rng.choice([date(2023, rng.randint(1, 3), rng.randint(1, 28)), None]), rng.choice([9e13, 1.0, -2.5, 1e15, float("nan"), None])) for _ in range(300)]
+    plain, once = base(spark, rows), M.condensed(base(spark, rows))
+    assert once.count() < 300 and once.agg(F.sum("filas")).first()[0] == 300
+    columns = lambda df: sorted(map(str, df.select(sorted(df.columns)).collect()))
+    for rest in (lambda b: M.sums(M.tidy(b)), lambda b: M.quality_gate(M.sums(M.tidy(b))), lambda b: M.name_mapping(M.tidy(b)), lambda b: M.code_conflicts(M.sums(M.tidy(b)))):
+        assert columns(rest(once)) == columns(rest(plain)) == columns(rest(M.condensed(once)))
+
+
+def test_lines_without_number_count_in_the_master(spark, tmp_path):
+    spark.createDataFrame([(1, "hot bolt", "SMALL", "Brand#1")], "p_partkey long, p_name string, p_type string, p_brand string").write.parquet(str(tmp_path / "part.parquet"))
+    lines = [(1, 2.0, datetime(1996, 1, 5), 1), (1, 3.0, datetime(1997, 2, 5), None)]
+    spark.createDataFrame(lines, "l_partkey long, l_quantity double, l_shipdate timestamp, l_linenumber int").write.parquet(str(tmp_path / "lineitem.parquet"))
+    assert [(r.producto_canonico, r.vigente_desde, r.vigente_hasta) for r in sku_master(spark, str(tmp_path)).collect()] == [("HOT BOLT Y CO", "1996-01-01", "1997-02-01")]
