@@ -136,14 +136,14 @@ class ProductMaster:
         return (rows if years is None else rows.where(F.col("anio").isin(years))).drop("batch", "anio")
 
     def absorb(self, base: DataFrame, batch: str, normalise: Callable[[Column], Column] = normalize_product_name) -> bool:
-        """Add a batch of base rows; False if a batch of that id is in force already."""
+        """Add a batch of base rows, condensed or not; False if a batch of that id is in force already."""
         if not re.fullmatch(r"[A-Za-z0-9_.-]+", batch):
             raise ValueError(f"batch id {batch!r} has to be made of letters, digits, _, . and -")
         done = self._versions()
         if batch in {b for _, b in done}:
             return False
         path = f"{self.folder}/sums/batch={batch}"
-        added = sums(tidy(condensed(base), normalise)).withColumn("anio", F.year("periodo")).hint("rebalance", "periodo").sortWithinPartitions("anio", "periodo")
+        added = sums(tidy(base if "filas" in base.columns else condensed(base), normalise)).withColumn("anio", F.year("periodo")).hint("rebalance", "periodo").sortWithinPartitions("anio", "periodo")
         added.write.mode("overwrite").partitionBy("anio").parquet(path)
         own = self.spark.read.schema(f"{SUMS}, anio int").parquet(path)
         months = [r["periodo"] for r in own.select("periodo").distinct().collect()]
