@@ -11,6 +11,7 @@ from siembra.operators import forecast as FC
 from siembra.operators import metrics as ME
 from siembra.operators import mining as M
 from siembra.operators import panel as P
+from siembra.operators import panel_matrix as PM
 from siembra.operators import rule_stability as RS
 from siembra.operators import tree_shapley as TS
 from siembra.plans.panels import _GRID
@@ -32,7 +33,7 @@ def features(spark: SparkSession, sf_dir: str, by: str = "product_id", *wanted:
 @query("d17_walk_forward")
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stability by model and segment over six walk-forward folds of products."""
-    f = features(spark, sf_dir, "product_id", *_MODELLED)
+    f = written(PM.modelled(written(monthly_panel(spark, sf_dir, "product_id"), "panel"), FC.FEATURES), "features")
     return B.stability(B.fold_errors(B.walk_forward_backtest(f, FC.active_features(f), least_rows=50)))
 
 
