@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from siembra.functions.numeric import history_cap
+from siembra.functions.numeric import history_cap, safe_ratio
 from siembra.operators import extra_trees as ET
 from siembra.operators import least_squares as LS
 from siembra.operators.forecast import baselines, fit, models, predict, trainable
@@ -64,6 +64,13 @@ def with_segments(rows: DataFrame, by: Sequence[str] = ("fold_id", "model_name")
     volume first, and row by row only within a range.
     """
     by = list(by)
+    segments = F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in _segments().items())), lambda s: s.isNotNull())
+    return rows.join(volume_shares(rows, by), [*by, "product_id"]).withColumn("segmento", F.explode(segments)).drop("cum_share")
+
+
+def volume_shares(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, product_id, cum_share): the share of the volume from the largest product down to each."""
+    by = list(by)
     volume = rows.groupBy(*by, "product_id").agg(F.sum(F.col("target_qty").cast("decimal(24,6)")).alias("v"))
     placed = volume.withColumn("range", F.when(F.col("v") > 0, F.floor(F.log2(F.col("v").cast("double")) * 32)))
     ranges = placed.groupBy(*by, "range").agg(F.sum("v").alias("rv"))
@@ -73,14 +80,15 @@ def with_segments(rows: DataFrame, by: Sequence[str] = ("fold_id", "model_name")
     ranges = ranges.select(*(F.col(c).alias(f"r_{c}") for c in (*by, "range")), "above", "all")
     same = reduce(and_, (F.col(c).eqNullSafe(F.col(f"r_{c}")) for c in (*by, "range")))
     share = placed.join(ranges, same).withColumn("through", F.col("above") + inside)
-    share = share.select(*by, "product_id", F.when(F.col("all") > 0, F.col("through") / F.col("all")).otherwise(F.lit(0)).cast("double").alias("cum_share"))
+    return share.select(*by, "product_id", F.when(F.col("all") > 0, F.col("through") / F.col("all")).otherwise(F.lit(0)).cast("double").alias("cum_share"))
+
+
+def _segments() -> dict[str, Column]:
     active, seasonal = F.col("estado_producto") == "activo", F.coalesce(F.col("es_estacional"), F.lit(False))
-    named = {
+    return {
         "todos": F.lit(True), "activos": active, "inactivos": F.col("estado_producto") == "inactivo", "estacionales": seasonal, "no_estacionales": ~seasonal,
         "activos_estacionales": active & seasonal, "activos_no_estacionales": active & ~seasonal, "top_20pct_volumen": F.col("cum_share") <= 0.2, "top_50pct_volumen": F.col("cum_share") <= 0.5,
     }
-    segments = F.filter(F.array(*(F.when(test, F.lit(name)) for name, test in named.items())), lambda s: s.isNotNull())
-    return rows.join(share, [*by, "product_id"]).withColumn("segmento", F.explode(segments)).drop("cum_share")
 
 
 def walk_forward_backtest(features: DataFrame, columns: Sequence[str], windows: int = 6, step: int = 1, size: int = 3, models: Sequence[str] = tuple(PENALTIES), least_rows: int = 1) -> DataFrame:
@@ -117,9 +125,26 @@ def _naive(test: DataFrame, cuts: Sequence[dict], kept: Sequence[str]) -> DataFr
     return baselines(test).withColumn("w", F.explode(plain)).where(inside).select(*kept, F.col("w.fold_id").alias("fold_id"), simple.alias("s")).select(*kept, "fold_id", "s.*")
 
 
-def fold_errors(predictions: DataFrame) -> DataFrame:
-    """Errors by model, fold and segment."""
-    return with_segments(predictions).groupBy("model_name", "fold_id", "segmento").agg(*error_metrics("target_qty", "prediccion"))
+def fold_errors(predictions: DataFrame, by: Sequence[str] = ("fold_id", "model_name")) -> DataFrame:
+    """``error_metrics`` by model, fold and segment; ``by`` may be the fold alone if all models predict the same rows.
+
+    Rows are added up by the set of segments that they belong to, and only these sums go to each segment.
+    """
+    y, p = F.col("target_qty"), F.col("prediccion")
+    e, names = F.abs(y - p), _segments()
+    exact = lambda c: F.sum(c.cast("decimal(24,6)"))
+    belongs = sum((F.when(test, 1 << k).otherwise(0) for k, test in enumerate(names.values())), F.lit(0))
+    smape = F.when(F.abs(y) + F.abs(p) > 0, 2 * e / (F.abs(y) + F.abs(p))).otherwise(F.lit(0.0))
+    rows = predictions.join(volume_shares(predictions, by), [*by, "product_id"]).select("model_name", "fold_id", "target_qty", "prediccion", belongs.alias("belongs"))
+    sums = rows.groupBy("model_name", "fold_id", "belongs").agg(
+        F.count("*").alias("n"), F.count(e).alias("known"), F.sum(e).alias("e"), F.sum((y - p) ** 2).alias("ee"), F.sum(smape).alias("s"), exact(e).alias("xe"), exact(y).alias("xy"), exact(p - y).alias("xd"), exact(F.abs(y)).alias("xa"),
+    )
+    segment = F.explode(F.filter(F.array(*(F.when(F.col("belongs").bitwiseAND(1 << k) != 0, F.lit(name)) for k, name in enumerate(names))), lambda s: s.isNotNull()))
+    total = lambda c: F.sum(c).cast("double")
+    return sums.withColumn("segmento", segment).groupBy("model_name", "fold_id", "segmento").agg(
+        (F.sum("e") / F.sum("known")).alias("mae"), F.sqrt(F.sum("ee") / F.sum("known")).alias("rmse"), (F.sum("s") / F.sum("n")).alias("smape"),
+        safe_ratio(total("xe"), total("xy")).alias("wape"), (safe_ratio(total("xd"), total("xa")) * 100).alias("bias_pct"), F.sum("n").alias("n"),
+    )
 
 
 def stability(errors: DataFrame, most_wape: float = 0.10, most_std: float = 0.03, least_share: float = 0.67, seasonal_auto: bool = False) -> DataFrame:

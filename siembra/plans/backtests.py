@@ -34,7 +34,7 @@ def features(spark: SparkSession, sf_dir: str, by: str = "product_id", *wanted:
 def walk_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stability by model and segment over six walk-forward folds of products."""
     f = written(PM.modelled(written(monthly_panel(spark, sf_dir, "product_id"), "panel"), FC.FEATURES), "features")
-    return B.stability(B.fold_errors(B.walk_forward_backtest(f, FC.active_features(f), least_rows=50)))
+    return B.stability(B.fold_errors(B.walk_forward_backtest(f, FC.active_features(f), least_rows=50), ["fold_id"]))
 
 
 @query("d18_learning_curve")

@@ -12,7 +12,7 @@ from siembra.operators import backtest as B
 from siembra.operators import forecast as FC
 from siembra.operators import least_squares as LS
 from siembra.operators import panel as P
-from siembra.operators.metrics import holdout, periods_of
+from siembra.operators.metrics import error_metrics, holdout, periods_of
 from siembra.plans import backtests as BT
 from siembra.sources.scratch import written
 from tests.conftest import DATA
@@ -112,3 +112,19 @@ def test_baselines_alone_equal_those_of_the_whole_backtest(spark, features):
     assert rows(B.baseline_backtest(slim)) == rows(B.walk_forward_backtest(features, ["lag_1"])) != []
     made = BT.features(spark, str(DATA), "product_id", *slim.columns)
     assert made.columns == slim.columns and made.count() > 0
+
+
+def test_errors_by_sets_of_segments(spark):
+    """Sums by set of segments give each segment's errors; with models that predict the same rows shares are taken once a fold."""
+    rng = random.Random(3)
+    truth = [(f, f"p{k}", float(rng.randrange(0, 9)), rng.choice(["activo", "inactivo"]), rng.choice([True, False, None])) for f in (1, 2) for k in range(30) for _ in range(3)]
+    rows = [(f, m, p, y, max(y + rng.choice([-2.0, 0.0, 1.5]), 0.0), s, e) for f, p, y, s, e in truth for m in ("a", "b")]
+    df = spark.createDataFrame(rows, "fold_id int, model_name string, product_id string, target_qty double, prediccion double, estado_producto string, es_estacional boolean")
+    keys = ["model_name", "fold_id", "segmento"]
+    want = {tuple(r[:3]): r[3:] for r in B.with_segments(df).groupBy(*keys).agg(*error_metrics("target_qty", "prediccion")).collect()}
+    for by in (["fold_id", "model_name"], ["fold_id"]):
+        got = B.fold_errors(df, by)
+        assert {tuple(r[:3]): pytest.approx(r[3:]) for r in got.collect()} == want
+        assert got.columns == [*keys, "mae", "rmse", "smape", "wape", "bias_pct", "n"]
+    plan = B.fold_errors(df, ["fold_id"])._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate") < plan.index("Join")  # segments are spread after rows are added up
